@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, licenses, quality, toxicity
+from . import bpe, chat, decontaminate, html, licenses, quality, substrings, suffixarray, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_substrings": substrings.op2_substrings,
         "op3_licenses": licenses.op3_licenses,
         "op4_perspectives": chat.op4_perspectives,
         "op5_pages": html.op5_pages,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_bpe": bpe.op7_bpe,
+        "op8_suffixarray": suffixarray.op8_suffixarray,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_perspectives": chat.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op2_substrings": substrings.ORACLE, "op4_perspectives": chat.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
