@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, licenses, quality, substrings, suffixarray, toxicity
+from . import bpe, chat, decontaminate, html, licenses, quality, similarity, substrings, suffixarray, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_bpe": bpe.op7_bpe,
         "op8_suffixarray": suffixarray.op8_suffixarray,
+        "op9_similarity": similarity.op9_similarity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": substrings.ORACLE, "op4_perspectives": chat.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op2_substrings": substrings.ORACLE, "op4_perspectives": chat.ORACLE, "op9_similarity": similarity.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
