@@ -200,13 +200,14 @@ def search_shards(distinct: DataFrame, search: Search, shard_bytes: int) -> Data
     return distinct.select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(run, struct_of(FOUND))
 
 
-def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (binary) and found: the runs of each text with windows that occur elsewhere (start, los, his, least).
 
-    docs needs doc_id and text. One row comes back for each, found is null where nothing was.
+    docs needs doc_id and text. One row comes back for each, found is null where nothing was. The columns
+    in keep come along, as kept_ and their names.
     """
     binary = F.col("text").cast("binary").alias("text")
-    rows = identified(docs, binary).withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    rows = identified(docs, binary, *(F.col(c).alias(f"kept_{c}") for c in keep)).withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     frequent = frequent_grams(rows, units)
     runs = runs_of(rows, units, frequent)
     seen = W.partitionBy("g")
@@ -214,12 +215,12 @@ def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int
     rare = runs.filter("not frequent").withColumn("again", again).filter("again")
     shared = rare.select("uid", "start", "n", "g").union(runs.filter("frequent").select("uid", "start", "n", "g")) if len(frequent) else rare.select("uid", "start", "n", "g")
     own = shared.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "g")).alias("runs"))
-    texts = rows.select("uid", "doc_id", "ord", "text")
+    texts = rows.select("uid", "doc_id", "ord", "text", *(f"kept_{c}" for c in keep))
     joined = texts.join(own, "uid")
     distinct = run_texts(joined, units, True).groupBy("g", "content").agg(F.min("ord").alias("least"), F.count("*").alias("count"))
     found = search_shards(distinct, search, shard_bytes)
     placed = run_texts(joined, units, False).join(found, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "los", "his", "least")).alias("found"))
-    return texts.join(placed, "uid", "left").select("doc_id", "ord", "text", "found")
+    return texts.join(placed, "uid", "left").select("doc_id", "ord", "text", "found", *(f"kept_{c}" for c in keep))
 
 
 def covered(size: int, window: int, found: list | None, ord_: int | None = None) -> np.ndarray:

@@ -158,19 +158,20 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, li
     return [[(r.item, folded_words(bytes(r.text))) for r in part.toLocalIterator()] for part in parts]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = ()) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = (), with_text: bool = False) -> DataFrame:
     """Words of documents within windows of benchmark items.
 
     docs needs doc_id and text, benchmark item_id and text; other columns are left out but those in keep.
     Null or empty text has no words and is never contaminated; an empty benchmark hits nothing; a null
     item_id hits but is in no list. Every row gives one row, so repeated rows give repeated results. An
     item given twice counts once. Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
-    spans (array of structs from, to: hit words), items (array of item ids as strings, sorted).
+    spans (array of structs from, to: hit words), items (array of item ids as strings, sorted),
+    with with_text the text, and the columns in keep.
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     span = "array<struct<`from`:int,`to`:int>>"
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
-    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[2:])
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"kept_{c}") for c in keep))
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[2:])
     found = plain.withColumns({"spans": F.array().cast(span), "items": F.array().cast("array<string>")})
     for block in blocks_of(benchmark, block_bytes):
         shared, key = sc.broadcast(block), uuid.uuid4().hex
@@ -194,9 +195,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         n_words = [len(folded_words(t.encode() if t else None)) for t in text]
         n_hit = [sum(s["to"] - s["from"] for s in x) for x in spans]
         named = [[i for i in x if i] for x in items]
-        return [doc_id, n_words, n_hit, [len(x) for x in items], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], spans, named, *others]
+        return [doc_id, n_words, n_hit, [len(x) for x in items], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], spans, named, *([text] if with_text else []), *others]
 
-    return map_rows(found, digest, f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {span}, items array<string>{kept}")
+    out = map_rows(found, digest, f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {span}, items array<string>{', text string' * with_text}{kept}")
+    return out.withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

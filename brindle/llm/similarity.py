@@ -196,8 +196,22 @@ def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     none. Returns doc_id, class_id (smallest doc_id that links or copies lead to), n_links (vertices
     linked to this one), n_copies (rows with this set, itself included).
     """
-    ship(docs.sparkSession)
     rows = identified(docs, F.col("text").cast("binary").alias("text"))
+    return classes_of(rows, block).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row of each class of `join_similar`: that with the smallest doc_id. All columns stay."""
+    others = [c for c in docs.columns if c != "doc_id"]
+    rows = identified(docs, *(F.col(c).alias(f"own_{c}") for c in others))
+    classes = classes_of(rows.select("uid", "doc_id", F.col("own_text").cast("binary").alias("text")), block)
+    kept = rows.join(classes.filter("first").select("uid"), "uid", "left_semi")
+    return kept.select(*("doc_id" if c == "doc_id" else F.col(f"own_{c}").alias(c) for c in docs.columns))
+
+
+def classes_of(rows: DataFrame, block: int) -> DataFrame:
+    """The join over rows with uid, doc_id and text (binary); first marks one row of each class."""
+    ship(rows.sparkSession)
 
     def sketch(uid, doc_id, text):
         out: list[list] = [[], [], []]
@@ -230,8 +244,8 @@ def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     component = connected(found.select(F.col("uid").alias("a"), F.col("root").alias("b")), "classes").select(F.col("node").alias("vertex"), "label")
     about = vertex.join(degree, "vertex", "left").join(component, "vertex", "left").select("key", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "vertex").alias("label"))
     named = seen.select("uid", "doc_id", "key").join(about, "key", "left").withColumn("label", F.coalesce("label", "uid"))
-    ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(ids, "label").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    ids = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("least"))
+    return named.join(ids, "label").select("uid", "doc_id", F.col("least.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), (F.col("uid") == F.col("least.uid")).alias("first"))
 
 
 def op9_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,17 +33,17 @@ def search_bytes(contents: list[bytes], least: np.ndarray, count: np.ndarray, wi
     return out
 
 
-def remove_long_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_long_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove bytes within strings of `window` bytes that start anywhere else, in the same text or another.
 
-    docs needs doc_id and text; other columns are left out. Null and empty texts have no bytes. Repeated
+    docs needs doc_id and text; other columns are left out but those in keep. Null and empty texts have no bytes. Repeated
     rows are two places, so that all their strings go; null doc_ids are ordinary rows. An empty table
     gives no row. Strings are judged on the input. Returns doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 (of the bytes left), kept (these as text; a character that is cut goes whole), spans
     (array of structs from, to: bytes removed).
     """
 
-    def run(doc_id, _, text, found):
+    def run(doc_id, _, text, found, *rest):
         out: list[list] = [[] for _ in range(7)]
         for d, t, f in zip(doc_id, text, found, strict=True):
             raw = t or b""
@@ -55,13 +55,15 @@ def remove_long_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
             left = "".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True))
             for column, value in zip(out, (d, len(raw), int(gone.sum()), len(lo), hashlib.sha256(kept).hexdigest(), left, spans), strict=True):
                 column.append(value)
-        return out
+        return [*out, *rest]
 
     def search(contents, least, count):
         return search_bytes(contents, least, count, window)
 
-    found = find_repeats(docs, Units(False, window, gram, False), search, shard_bytes)
-    return map_rows(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<`from`:int,`to`:int>>", rows=64)
+    found = find_repeats(docs, Units(False, window, gram, False), search, shard_bytes, keep)
+    kept_columns = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[4:])
+    out = map_rows(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<`from`:int,`to`:int>>" + kept_columns, as_bytes=False, rows=64)
+    return out.withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
 def op8_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
