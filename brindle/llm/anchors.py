@@ -2,12 +2,12 @@
 
 A window is a fixed number of consecutive units (words or bytes) of one document. Each window has an
 anchor: of the grams in it the leftmost with the lowest hash. Equal windows have equal anchors, so that
-a window can occur again only where its anchor does. Consecutive windows with one anchor make a run.
+a window can occur again only where its anchor does. Consecutive windows with equal anchors make a run.
 
 1. Runs are drawn from each text (`runs_of`): one row for the anchor's hash, its document and place.
 2. Runs whose anchor stands nowhere else are dropped. Grams that are frequent in a sample of documents
-   get the highest hashes, so that they anchor only windows made of such grams alone; such runs go on
-   without a shuffle by anchor. So no anchor holds a large share of the rows.
+   get the highest hashes, so that they anchor only windows made of such grams alone; such runs are
+   kept without gathering them by anchor. So no anchor holds a large share of the rows.
 3. The texts of the other runs are cut out. Equal ones are counted once, with the smallest document.
 4. Runs go to shards by anchor; shards of a bounded size are indexed, and each run's windows searched.
 5. Results go back to every run of the same text, and then to the documents.
@@ -33,6 +33,8 @@ SAMPLE, SEED = 0.05, 7
 MOST_FREQUENT, LEAST_FREQUENT = 20_000, 25
 #: Bits of a position within a piece of text; longer texts are taken in pieces.
 PLACE = 24
+#: Windows of one run at most.
+LONGEST = 1024
 #: Bytes of distinct run texts in one shard.
 SHARD_BYTES = 1 << 20
 
@@ -100,7 +102,7 @@ class Frequent:
 
 
 def text_runs(text: bytes, units: Units, frequent: Frequent) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Anchor hash, first window, number of windows and whether the anchor is frequent, of each run in a text."""
+    """Of each run in a text: anchor hash, first window, number of windows, and kind."""
     h = units.hashes(text)
     if len(h) < units.window:
         return
@@ -112,28 +114,36 @@ def text_runs(text: bytes, units: Units, frequent: Frequent) -> Iterator[tuple[n
     for lo in range(0, len(h) - units.window + 1, piece):
         part = rank[lo : lo + piece + wide - 1]
         least = lowest(part << np.uint64(PLACE) | np.arange(len(part), dtype=np.uint64), wide)
-        at = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
-        first = np.append(0, np.flatnonzero(np.diff(at)) + 1)
-        of = at[first] + lo
-        yield grams[of].view(np.int64), first + lo, np.diff(np.append(first, len(at))), often[of]
+        at = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64) + lo
+        anchor = grams[at]
+        first = np.append(0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1)
+        n = np.diff(np.append(first, len(at)))
+        parts = -(-n // LONGEST)  # a text that repeats itself has one anchor for long
+        if (parts > 1).any():
+            first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+            n = np.diff(np.append(first, len(at)))
+        several = (at[first] != at[first + n - 1]).astype(np.int8)
+        yield anchor[first].view(np.int64), first + lo, n, np.where(often[at[first]], np.int8(FREQUENT), several)
 
 
-RUNS = "uid long, ord long, g long, start int, n int, frequent boolean"
+#: Kinds of runs: with one anchor, with equal anchors in several places, with a frequent anchor.
+ONE, SEVERAL, FREQUENT = range(3)
+RUNS = "uid long, g long, start int, n int, kind byte"
 
 
 def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
     """One row for each run of each text."""
 
-    def run(uid, ord_, text):
+    def run(uid, text):
         known = Frequent(frequent)
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for u, o, t in zip(uid, ord_, text, strict=True):
-            for g, start, n, often in text_runs(t or b"", units, known):
-                for column, values in zip(out, (np.full(len(g), u, np.int64), np.full(len(g), o, np.int64), g, start.astype(np.int32), n.astype(np.int32), often), strict=True):
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for u, t in zip(uid, text, strict=True):
+            for g, start, n, kind in text_runs(t or b"", units, known):
+                for column, values in zip(out, (np.full(len(g), u, np.int64), g, start.astype(np.int32), n.astype(np.int32), kind), strict=True):
                     column.append(values)
         return [np.concatenate(c) if c else [] for c in out]
 
-    return map_rows(rows.select("uid", "ord", "text"), run, RUNS, as_bytes=True)
+    return map_rows(rows.select("uid", "text"), run, RUNS, as_bytes=True)
 
 
 def frequent_grams(rows: DataFrame, units: Units) -> np.ndarray:
@@ -154,7 +164,7 @@ def cut(text: bytes, units: Units, starts: list[int], ns: list[int]) -> list[byt
 def run_texts(joined: DataFrame, units: Units, with_content: bool) -> DataFrame:
     """The runs of each text with a digest of their content, and the content itself if asked for."""
 
-    def run(uid, ord_, text, runs):
+    def run(uid, _, ord_, text, runs):
         out: list[list] = [[] for _ in range(6)]
         for u, o, t, own in zip(uid, ord_, text, runs, strict=True):
             starts = [r["start"] for r in own]
@@ -163,7 +173,7 @@ def run_texts(joined: DataFrame, units: Units, with_content: bool) -> DataFrame:
                 column += values
         return out if with_content else out[:5]
 
-    return map_rows(joined.select("uid", "ord", "text", "runs"), run, "uid long, ord long, start int, g long, key binary" + ", content binary" * with_content, as_bytes=True, rows=64)
+    return map_rows(joined.select("uid", "doc_id", "ord", "text", "runs"), run, "uid long, ord long, start int, g long, key binary" + ", content binary" * with_content, as_bytes=True, rows=64)
 
 
 #: Of a shard's contents, with their smallest document and count: for each, ranges of windows that occur elsewhere and the smallest document of each range.
@@ -209,13 +219,13 @@ def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int
     binary = F.col("text").cast("binary").alias("text")
     rows = identified(docs, binary, *(F.col(c).alias(f"kept_{c}") for c in keep)).withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     frequent = frequent_grams(rows, units)
-    runs = runs_of(rows, units, frequent)
-    seen = W.partitionBy("g")
-    again = (F.min("ord").over(seen) != F.max("ord").over(seen)) if units.by_document else (F.count("*").over(seen) > 1)
-    rare = runs.filter("not frequent").withColumn("again", again).filter("again")
-    shared = rare.select("uid", "start", "n", "g").union(runs.filter("frequent").select("uid", "start", "n", "g")) if len(frequent) else rare.select("uid", "start", "n", "g")
+    # a frequent anchor's runs are all kept, so they needn't meet: they are dealt out by document and place
+    seen = W.partitionBy("g", F.when(F.col("kind") == FREQUENT, F.xxhash64("uid", "start")))
+    again = (F.min("uid").over(seen) != F.max("uid").over(seen)) if units.by_document else (F.count("*").over(seen) > 1) | (F.col("kind") == SEVERAL)
+    shared = runs_of(rows, units, frequent).withColumn("again", (F.col("kind") == FREQUENT) | again).filter("again")
     own = shared.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "g")).alias("runs"))
-    texts = rows.select("uid", "doc_id", "ord", "text", *(f"kept_{c}" for c in keep))
+    # both joins below ask for the same columns and rows of texts, so that Spark shuffles them once
+    texts = rows.filter("uid is not null").select("uid", "doc_id", "ord", "text", *(f"kept_{c}" for c in keep))
     joined = texts.join(own, "uid")
     distinct = run_texts(joined, units, True).groupBy("g", "content").agg(F.min("ord").alias("least"), F.count("*").alias("count"))
     found = search_shards(distinct, search, shard_bytes)
