@@ -226,7 +226,9 @@ def classes_of(rows: DataFrame, block: int) -> DataFrame:
     vertex = seen.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "uid"))["uid"].alias("vertex"), F.count("*").alias("n_copies"))
     bands = seen.join(vertex.select(F.col("vertex").alias("uid")), "uid", "left_semi").select("uid", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    families = connected(bands.join(hubs, "band").select(F.col("uid").alias("a"), F.col("hub").alias("b")), "families")
+    # a vertex leads to the least of its hubs, and so do its other hubs: pairs of hubs are few where many vertices share them
+    led = scratch(bands.join(hubs.hint("merge"), "band").groupBy("uid").agg(F.min("hub").alias("b"), F.collect_set("hub").alias("hubs")), "hubs")
+    families = connected(led.select(F.col("uid").alias("a"), "b").union(led.select(F.explode("hubs").alias("a"), "b").distinct()), "families")
 
     sizes = families.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     member = families.join(sizes, "label").select(F.col("node").alias("uid"), "label", "n", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("block"))
@@ -235,7 +237,7 @@ def classes_of(rows: DataFrame, block: int) -> DataFrame:
         sets = [shingles(t) for t in text]
         return [uid, label, n, at, [min_hashes(s).tobytes() for s in sets], [s.tobytes() for s in sets]]
 
-    detailed = map_rows(rows.select("uid", "text").join(member, "uid").select("uid", "text", "label", "n", "block"), detail, "uid long, label long, n int, block int, hashes binary, shingles binary", as_bytes=True, rows=64)
+    detailed = map_rows(rows.select("uid", "text").join(member.hint("merge"), "uid").select("uid", "text", "label", "n", "block"), detail, "uid long, label long, n int, block int, hashes binary, shingles binary", as_bytes=True, rows=64)
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     cells = detailed.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "n")
     found = scratch(cells.groupBy("label", "i", "j").applyInArrow(compare_cell, struct_of(CELL)), "links")
