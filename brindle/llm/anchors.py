@@ -134,7 +134,7 @@ RUNS = "uid long, g long, start int, n int, kind byte"
 def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
     """One row for each run of each text."""
 
-    def run(uid, text):
+    def run(uid, text, *_):
         known = Frequent(frequent)
         out: list[list[np.ndarray]] = [[] for _ in range(5)]
         for u, t in zip(uid, text, strict=True):
@@ -143,7 +143,7 @@ def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
                     column.append(values)
         return [np.concatenate(c) if c else [] for c in out]
 
-    return map_rows(rows.select("uid", "text"), run, RUNS, as_bytes=True)
+    return map_rows(rows.select("uid", "text", "doc_id", "ord"), run, RUNS, as_bytes=True)
 
 
 def frequent_grams(rows: DataFrame, units: Units) -> np.ndarray:
@@ -213,24 +213,34 @@ def search_shards(distinct: DataFrame, search: Search, shard_bytes: int) -> Data
 def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (binary) and found: the runs of each text with windows that occur elsewhere (start, los, his, least).
 
-    docs needs doc_id and text. One row comes back for each, found is null where nothing was. The columns
-    in keep come along, as kept_ and their names.
+    docs needs doc_id and text. One row comes back for each, found is null where nothing was. With
+    by_document, texts that equal one of a smaller doc_id (by MD5) aren't indexed, since all their windows
+    stand there: these have copy, and no found. The columns in keep come along, as kept_ and their names.
     """
     binary = F.col("text").cast("binary").alias("text")
     rows = identified(docs, binary, *(F.col(c).alias(f"kept_{c}") for c in keep)).withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    # the joins below ask for the same columns and rows of texts, so that Spark shuffles them once
+    texts = rows.filter("uid is not null").select("uid", "doc_id", "ord", "text", *(f"kept_{c}" for c in keep))
     frequent = frequent_grams(rows, units)
+    indexed = texts
+    if units.by_document:
+        digests = rows.select("uid", "ord", F.md5("text").alias("digest")).filter("digest is not null")
+        firsts = digests.groupBy("digest").agg(F.min("ord").alias("first"))
+        copies = digests.join(firsts, "digest").filter("ord > first").select("uid", F.lit(True).alias("copy"))
+        indexed = texts.join(copies, "uid", "left").filter("copy is null")
     # a frequent anchor's runs are all kept, so they needn't meet: they are dealt out by document and place
     seen = W.partitionBy("g", F.when(F.col("kind") == FREQUENT, F.xxhash64("uid", "start")))
     again = (F.min("uid").over(seen) != F.max("uid").over(seen)) if units.by_document else (F.count("*").over(seen) > 1) | (F.col("kind") == SEVERAL)
-    shared = runs_of(rows, units, frequent).withColumn("again", (F.col("kind") == FREQUENT) | again).filter("again")
+    shared = runs_of(indexed, units, frequent).withColumn("again", (F.col("kind") == FREQUENT) | again).filter("again")
     own = shared.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "g")).alias("runs"))
-    # both joins below ask for the same columns and rows of texts, so that Spark shuffles them once
-    texts = rows.filter("uid is not null").select("uid", "doc_id", "ord", "text", *(f"kept_{c}" for c in keep))
     joined = texts.join(own, "uid")
     distinct = run_texts(joined, units, True).groupBy("g", "content").agg(F.min("ord").alias("least"), F.count("*").alias("count"))
     found = search_shards(distinct, search, shard_bytes)
     placed = run_texts(joined, units, False).join(found, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "los", "his", "least")).alias("found"))
-    return texts.join(placed, "uid", "left").select("doc_id", "ord", "text", "found", *(f"kept_{c}" for c in keep))
+    placed = texts.join(placed, "uid", "left")
+    if units.by_document:
+        placed = placed.join(copies, "uid", "left")
+    return placed.select("doc_id", "ord", "text", "found", *(["copy"] if units.by_document else []), *(f"kept_{c}" for c in keep))
 
 
 def covered(size: int, window: int, found: list | None, ord_: int | None = None) -> np.ndarray:

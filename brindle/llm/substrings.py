@@ -54,11 +54,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     words removed).
     """
 
-    def run(doc_id, ord_, text, found):
+    def run(doc_id, ord_, text, found, copy):
         out: list[list] = [[] for _ in range(6)]
-        for d, o, t, f in zip(doc_id, ord_, text, found, strict=True):
+        for d, o, t, f, c in zip(doc_id, ord_, text, found, copy, strict=True):
             words = plain_words(t)
-            gone = covered(len(words), window, f, o)
+            gone = np.full(len(words), len(words) >= window) if c else covered(len(words), window, f, o)
             spans = [{"from": int(a), "to": int(b)} for a, b in zip(*ranges(gone), strict=True)]
             kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words)
             for column, value in zip(out, (d, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), spans), strict=True):
