@@ -128,7 +128,9 @@ def text_runs(text: bytes, units: Units, frequent: Frequent) -> Iterator[tuple[n
 
 #: Kinds of runs: with one anchor, with equal anchors in several places, with a frequent anchor.
 ONE, SEVERAL, FREQUENT = range(3)
-RUNS = "uid long, g long, start int, n int, kind byte"
+#: A run's first window, number of windows and kind are one number: two bits for the kind, PLACES for the windows.
+PLACES = 11
+RUNS = "uid long, g long, place long"
 
 
 def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
@@ -136,10 +138,10 @@ def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
 
     def run(uid, text, *_):
         known = Frequent(frequent)
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        out: list[list[np.ndarray]] = [[] for _ in range(3)]
         for u, t in zip(uid, text, strict=True):
             for g, start, n, kind in text_runs(t or b"", units, known):
-                for column, values in zip(out, (np.full(len(g), u, np.int64), g, start.astype(np.int32), n.astype(np.int32), kind), strict=True):
+                for column, values in zip(out, (np.full(len(g), u, np.int64), g, (start << PLACES | n) << 2 | kind), strict=True):
                     column.append(values)
         return [np.concatenate(c) if c else [] for c in out]
 
@@ -167,8 +169,9 @@ def run_texts(joined: DataFrame, units: Units, with_content: bool) -> DataFrame:
     def run(uid, _, ord_, text, runs):
         out: list[list] = [[] for _ in range(6)]
         for u, o, t, own in zip(uid, ord_, text, runs, strict=True):
-            starts = [r["start"] for r in own]
-            contents = cut(t, units, starts, [r["n"] for r in own])
+            places = [r["place"] >> 2 for r in own]
+            starts = [p >> PLACES for p in places]
+            contents = cut(t, units, starts, [p & ((1 << PLACES) - 1) for p in places])
             for column, values in zip(out, ([u] * len(own), [o] * len(own), starts, [r["g"] for r in own], [xxhash.xxh3_128_digest(c) for c in contents], contents), strict=True):
                 column += values
         return out if with_content else out[:5]
@@ -229,10 +232,11 @@ def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int
         copies = digests.join(firsts, "digest").filter("ord > first").select("uid", F.lit(True).alias("copy"))
         indexed = texts.join(copies, "uid", "left").filter("copy is null")
     # a frequent anchor's runs are all kept, so they needn't meet: they are dealt out by document and place
-    seen = W.partitionBy("g", F.when(F.col("kind") == FREQUENT, F.xxhash64("uid", "start")))
-    again = (F.min("uid").over(seen) != F.max("uid").over(seen)) if units.by_document else (F.count("*").over(seen) > 1) | (F.col("kind") == SEVERAL)
-    shared = runs_of(indexed, units, frequent).withColumn("again", (F.col("kind") == FREQUENT) | again).filter("again")
-    own = shared.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "g")).alias("runs"))
+    kind = F.col("place").bitwiseAND(3)
+    seen = W.partitionBy("g", F.when(kind == FREQUENT, F.xxhash64("uid", "place")))
+    again = (F.min("uid").over(seen) != F.max("uid").over(seen)) if units.by_document else (F.count("*").over(seen) > 1) | (kind == SEVERAL)
+    shared = runs_of(indexed, units, frequent).withColumn("again", (kind == FREQUENT) | again).filter("again")
+    own = shared.groupBy("uid").agg(F.collect_list(F.struct("place", "g")).alias("runs"))
     joined = texts.join(own, "uid")
     distinct = run_texts(joined, units, True).groupBy("g", "content").agg(F.min("ord").alias("least"), F.count("*").alias("count"))
     found = search_shards(distinct, search, shard_bytes)
