@@ -155,6 +155,11 @@ def frequent_grams(rows: DataFrame, units: Units) -> np.ndarray:
     return np.array([r.g for r in found], np.int64).view(np.uint64)
 
 
+def content_key(content: bytes) -> bytes:
+    """96 bits of a run's text, by which results find their way back."""
+    return xxhash.xxh3_128_digest(content)[:12]
+
+
 def cut(text: bytes, units: Units, starts: list[int], ns: list[int]) -> list[bytes]:
     """Texts of runs; words are joined by one space."""
     if not units.words:
@@ -172,7 +177,7 @@ def run_texts(joined: DataFrame, units: Units, with_content: bool) -> DataFrame:
             places = [r["place"] >> 2 for r in own]
             starts = [p >> PLACES for p in places]
             contents = cut(t, units, starts, [p & ((1 << PLACES) - 1) for p in places])
-            for column, values in zip(out, ([u] * len(own), [o] * len(own), starts, [r["g"] for r in own], [xxhash.xxh3_128_digest(c) for c in contents], contents), strict=True):
+            for column, values in zip(out, ([u] * len(own), [o] * len(own), starts, [r["g"] for r in own], [content_key(c) for c in contents], contents), strict=True):
                 column += values
         return out if with_content else out[:5]
 
@@ -196,7 +201,7 @@ def search_shards(distinct: DataFrame, search: Search, shard_bytes: int) -> Data
 
         def results():
             found = search(held[1], np.array(held[2], np.int64), np.array(held[3], np.int64))
-            rows = [(xxhash.xxh3_128_digest(c), *f) for c, f in zip(held[1], found, strict=True) if f[0]]
+            rows = [(content_key(c), *f) for c, f in zip(held[1], found, strict=True) if f[0]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["key", "los", "his", "least"])
 
         for batch in batches:
