@@ -8,7 +8,7 @@ document labels alone, and then point at the sentences that offend.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -58,38 +58,91 @@ def sentences(text: str | None) -> list[set[bytes]]:
     return [*out, now] if now else out
 
 
+class Bags(NamedTuple):
+    """Documents as sentences of distinct words, in flat arrays: training holds each word's bytes once."""
+
+    words: list[bytes]
+    word: np.ndarray
+    sentence: np.ndarray
+    doc_of: np.ndarray
+
+
+def gather(texts: Iterable[str | None]) -> Bags:
+    """word and sentence: one entry for each distinct word of each sentence. doc_of: the document of each sentence."""
+    number: dict[bytes, int] = {}
+    word, sizes, doc_of = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for s in sentences(text):
+            word.extend([number.setdefault(w, len(number)) for w in s])
+            sizes.append(len(s))
+            doc_of.append(d)
+    sizes = np.array(sizes, np.int32)
+    return Bags(list(number), np.array(word, np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.array(doc_of, np.int32))
+
+
+class Lists(NamedTuple):
+    """Lists of numbers, end to end."""
+
+    values: np.ndarray
+    ends: np.ndarray
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the lists asked for, and how many each has."""
+        ends = self.ends[which]
+        n = ends - np.where(which > 0, self.ends[which - 1], 0)
+        first = ends - n
+        return self.values[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def features_of(words: list[bytes]) -> tuple[list[bytes], Lists]:
+    """All features, and those of each word."""
+    number: dict[bytes, int] = {}
+    values, sizes = array("i"), array("i")
+    for w in words:
+        own = [number.setdefault(f, len(number)) for f in features(w)]
+        values.extend(own)
+        sizes.append(len(own))
+    return list(number), Lists(np.array(values, np.int32), np.cumsum(np.array(sizes, np.int64)))
+
+
+def choose(bags: Bags, names: list[bytes], of_word: Lists, labels: list[int]) -> np.ndarray:
+    """Numbers of the features that stand much oftener in toxic documents, the most telling first."""
+    df = np.zeros((2, len(names)), np.int64)
+    edges = np.searchsorted(bags.doc_of[bags.sentence], np.arange(len(labels) + 1))
+    for toxic, lo, hi in zip(labels, edges[:-1], edges[1:], strict=True):
+        df[toxic, np.unique(of_word.take(np.unique(bags.word[lo:hi]))[0])] += 1
+    n_toxic = sum(labels)
+    ratio = (df[1] + 0.5) / (n_toxic + 1) / ((df[0] + 0.5) / (len(labels) - n_toxic + 1))
+    good = np.flatnonzero((df[1] >= LEAST_TOXIC) & (ratio >= LEAST_RATIO)).tolist()
+    good.sort(key=lambda f: (-df[1, f] * math.log(ratio[f]), names[f]))
+    return np.array(good[:MOST_FEATURES], np.int64)
+
+
 def train(rows: Iterable[tuple[str | None, int]], rounds: int = 300, rate: float = 0.3, l1: float = 2e-4) -> Model:
     """Fit weights, none below zero, by proximal gradient steps on the documents' log loss."""
-    bags, labels, df = [], [], (Counter(), Counter())
-    for text, toxic in rows:
-        bag = sentences(text)
-        bags.append(bag)
-        labels.append(int(toxic))
-        df[int(toxic)].update({f for s in bag for w in s for f in features(w)})
-    n_toxic = sum(labels)
-    n_clean = len(labels) - n_toxic
-    if not n_toxic:
+    rows = list(rows)
+    labels = [int(toxic) for _, toxic in rows]
+    if not any(labels):
         return Model({}, LEAST_BIAS)
-    ratio = {f: (n + 0.5) / (n_toxic + 1) / ((df[0][f] + 0.5) / (n_clean + 1)) for f, n in df[1].items() if n >= LEAST_TOXIC}
-    chosen = sorted((f for f, r in ratio.items() if r >= LEAST_RATIO), key=lambda f: (-df[1][f] * math.log(ratio[f]), f))[:MOST_FEATURES]
-    at = {f: i for i, f in enumerate(chosen)}
-    of_word: dict[bytes, list[int]] = {}
-    sent, feat, doc_of, silent = [], [], [], np.zeros(len(bags))
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = set()
-            for w in s:
-                if w not in of_word:
-                    of_word[w] = [at[f] for f in features(w) if f in at]
-                own.update(of_word[w])
-            if own:
-                sent += [len(doc_of)] * len(own)
-                feat += own
-                doc_of.append(d)
-            else:
-                silent[d] += 1
+    bags = gather(text for text, _ in rows)
+    names, of_word = features_of(bags.words)
+    picked = choose(bags, names, of_word, labels)
+    chosen = [names[f] for f in picked]
+    place = np.full(len(names), -1, np.int64)
+    place[picked] = np.arange(len(picked))
+    del names
+    # the chosen features of each sentence, once each
+    telling = np.flatnonzero(np.add.reduceat(np.append(place[of_word.values] >= 0, False), np.append(0, of_word.ends[:-1]))) if bags.words else np.zeros(0, np.int64)
+    held = np.isin(bags.word, telling)
+    own, n = of_word.take(bags.word[held])
+    pairs = np.repeat(bags.sentence[held], n).astype(np.int64) * max(1, len(chosen)) + place[own]
+    pairs = np.unique(pairs[place[own] >= 0])
+    sent, feat = pairs // max(1, len(chosen)), pairs % max(1, len(chosen))
+    spoken, sent = np.unique(sent, return_inverse=True)
+    doc_of = bags.doc_of[spoken]
+    silent = (np.bincount(bags.doc_of, minlength=len(labels)) - np.bincount(doc_of, minlength=len(labels))).astype(float)
+    del bags, of_word, pairs, own, place
     y = np.array(labels, float)
-    sent, feat, doc_of = np.array(sent, int), np.array(feat, int), np.array(doc_of, int)
     theta, bias = np.zeros(len(chosen)), -5.0
     square, square_b = np.full(len(chosen), 1e-8), 1e-8
     for _ in range(rounds):
