@@ -170,20 +170,31 @@ def compare_cell(cell: pa.Table) -> pa.Table:
     return pa.table({"uid": uid[has], "links": links[has].astype(np.int64), "root": uid[root][has]})
 
 
-def connected(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """node, label: the smallest node that edges (a, b) lead to. Labels go to neighbours and then to their labels' labels, until they stand still."""
+#: Rounds of `connected` beyond which it raises; they grow with the logarithm of the longest chain.
+MOST_ROUNDS = 200
+
+
+def connected(edges: DataFrame, name: str, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """node, label: the smallest node that edges (a, b) lead to.
+
+    Labels go to neighbours, to the label that a neighbour had so far (so that a whole tree follows, wherever a
+    smaller label meets it) and then to their labels' labels, until they stand still. Labels that don't stand
+    still within the given rounds raise an error.
+    """
     both = scratch(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), name)
     labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), name)
     total = None
     for _ in range(rounds):
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
-            break
+            return labels
         total = now
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = scratch(labels.join(near, "node").select("node", F.least("label", "m").alias("label")), name)
+        least = F.least("label", "m")
+        sent = labels.join(near, "node").select(F.explode(F.array(F.struct("node", least.alias("label")), F.struct(F.col("label").alias("node"), least.alias("label")))).alias("x")).select("x.*")
+        step = scratch(sent.groupBy("node").agg(F.min("label").alias("label")), name)
         labels = scratch(step.join(step.select(F.col("node").alias("label"), F.col("label").alias("m")), "label", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label")), name)
-    return labels
+    raise RuntimeError(f"{name}: labels still change after {rounds} rounds")
 
 
 def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -149,6 +149,27 @@ def test_similarity(spark, rows, docs):
     assert similarity.join_similar(table(spark, [])).count() == 0
 
 
+def test_connected_long_chains(spark):
+    n, rng = 1200, np.random.default_rng(3)
+    down = [0, *range(n - 1, 0, -1)]  # a smaller label enters a tree at the end far from its root
+    teeth = [x for k in range(0, n, 100) for x in (k, *range(k + 99, k, -1))]
+    for order in (down, teeth, [*teeth[::-1]], rng.permutation(n).tolist()):
+        edges = [(a, b) for a, b in zip(order, order[1:])] + [(n + a, n + b) for a, b in zip(order[:300], order[1:300])]
+        got = {r.node: r.label for r in similarity.connected(spark.createDataFrame(edges, "a long, b long"), "chain").collect()}
+        assert got == {**dict.fromkeys(range(n), 0), **{n + x: n + min(order[:300]) for x in order[:300]}}
+    with pytest.raises(RuntimeError):
+        similarity.connected(spark.createDataFrame(edges, "a long, b long"), "chain", rounds=2)
+
+
+def test_similarity_long_chain(spark):
+    n, words = 1050, np.random.default_rng(4).integers(0, 1 << 40, 8 * 1050 + 104)
+    place = {i: p for p, i in enumerate([0, *range(n - 1, 0, -1)])}
+    docs = table(spark, [(i, " ".join(f"w{w}" for w in words[8 * p : 8 * p + 104])) for i, p in place.items()])  # neighbours share 92 of 108 shingles
+    got = results(similarity.join_similar(docs, 32))
+    assert got == sorted(((i, 0, 2 - (place[i] in (0, n - 1)), 1) for i in range(n)), key=repr)
+    assert [r.doc_id for r in similarity.keep_one(docs, 32).collect()] == [0]
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return bpe.Bpe(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
