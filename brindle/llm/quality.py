@@ -2,7 +2,8 @@
 
 Each document's histogram of character classes and its histogram of common words are compared with those
 of its language by Jensen-Shannon distance. The references are the mean histograms of the documents of
-that language which pass the base rules and the length guards. Texts under the guards, and languages
+that language which pass the base rules and the length guards. Any language with enough such documents has
+a reference of character classes, a listed one also of common words. Texts under the guards, and languages
 without a reference, are judged by the base rules alone.
 """
 
@@ -26,8 +27,9 @@ COMMON = {
 LEAST_CHARS, LEAST_WORDS = 200, 50
 #: Documents that a language's reference must rest on.
 LEAST_DOCUMENTS = 20
-#: Jensen-Shannon distances (base 2, 0 to 1) beyond which a document is rejected.
-MOST_CHARS, MOST_WORDS = 0.3, 0.5
+#: Jensen-Shannon distance (base 2, 0 to 1) of character classes beyond which a document is rejected; for common words the
+#: bound is this share of the distance that a text without any common word has to the language's reference.
+MOST_CHARS, MOST_WORDS = 0.3, 0.9
 
 SPACE = "[ \\t-\\r]+"
 #: Character classes that are counted by pattern.
@@ -94,31 +96,34 @@ def js_distance(p: Column, q: Column) -> Column:
     def half(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
 
-    return F.sqrt(F.greatest(F.lit(0.0), (half(p, q) + half(q, p)) / 2))
+    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), (half(p, q) + half(q, p)) / 2)))
 
 
 def judge_quality(docs: DataFrame, common: Mapping[str, Sequence[str]] = COMMON, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS, most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS) -> DataFrame:
     """Base counts and the divergence verdict of each document.
 
     docs needs doc_id, text and lang; other columns are left out. Null text is empty and fails the base
-    rules. A null or unlisted language has no reference: the distances are null and the base rules decide.
+    rules. A null language and one with few documents have no reference: the distances are null and the base
+    rules decide. An unlisted language has no common words: js_words is null.
     Every row gives one row, repeated rows and null doc_id included; an empty table gives none. The
     features are written once to the scratch folder, since references need all of them first; references
-    are at most one row for each listed language, so their join is a broadcast of that bound.
+    are at most one row for each language with LEAST_DOCUMENTS documents, so their join is a broadcast of that bound.
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars,
     js_words (rounded to 6 places), kept.
     """
     seen = scratch(histograms(docs, common), "quality")
     guard = (F.col("n_chars") >= least_chars) & (F.col("n_words") >= least_words)
-    fit = seen.filter(guard & ~F.col("base_failed") & F.col("common").isNotNull()).select("lang", shares(F.col("chars")).alias("c"), shares(F.col("common")).alias("w"))
+    fit = seen.filter(guard & ~F.col("base_failed") & F.col("lang").isNotNull()).select("lang", shares(F.col("chars")).alias("c"), shares(F.col("common")).alias("w"))
     n_chars, n_common = len(CLASSES) + 4, max(map(len, common.values()), default=0) + 1
     means = [F.avg(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(n_chars)] + [F.avg(F.get("w", F.lit(k))).alias(f"w{k}") for k in range(n_common)]
     reference = fit.groupBy("lang").agg(F.count("*").alias("n"), *means).filter(F.col("n") >= LEAST_DOCUMENTS)
     reference = reference.select(F.col("lang").alias("_lang"), F.array(*(f"c{k}" for k in range(n_chars))).alias("_c"), F.array(*(f"w{k}" for k in range(n_common))).alias("_w"))
+    none = F.array(*(F.lit(0.0) for _ in range(n_common - 1)), F.lit(1.0))
+    reference = reference.withColumn("_most_words", most_words * js_distance(none, F.col("_w")))
     both = seen.join(F.broadcast(reference), F.col("lang") == F.col("_lang"), "left")
     both = both.withColumn("js_chars", F.when(guard, F.round(js_distance(shares(F.col("chars")), F.col("_c")), 6)))
     both = both.withColumn("js_words", F.when(guard, F.round(js_distance(shares(F.col("common")), F.col("_w")), 6)))
-    diverges = (F.coalesce("js_chars", F.lit(0.0)) > most_chars) | (F.coalesce("js_words", F.lit(0.0)) > most_words)
+    diverges = (F.coalesce("js_chars", F.lit(0.0)) > most_chars) | F.coalesce(F.col("js_words") > F.col("_most_words"), F.lit(False))
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", (~F.col("base_failed") & ~diverges).alias("kept"))
 
 

@@ -63,6 +63,20 @@ def test_quality_counts(spark, rows, docs):
     assert quality.judge_quality(table(spark, [])).count() == 0
 
 
+def test_quality_verdict(spark):
+    rng = np.random.default_rng(6)
+
+    def prose(lang, n=150):
+        return " ".join(rng.choice(quality.COMMON[lang]) if rng.random() < 0.2 else "".join(rng.choice(list("bcdfgklmnorstuv"), 6)) for _ in range(n))
+
+    rows = [(k, prose("en"), "en") for k in range(40)] + [(k, prose("en"), "xx") for k in range(100, 140)]
+    rows += [(200, prose("de"), "en"), (201, " ".join("".join(rng.choice(list("bcdfgklmnorstuv"), 6)) for _ in range(150)), "en"), (202, " ".join(str(x) for x in rng.integers(10**5, 10**6, 150)), "xx"), (203, prose("en"), None)]
+    got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sorted(i for i, r in got.items() if not r.kept) == [200, 201, 202]
+    assert not any(r.base_failed for r in got.values())
+    assert got[100].js_chars is not None and got[100].js_words is got[203].js_chars is got[203].js_words is None
+
+
 def test_substrings(spark, rows, docs):
     where = {}
     for i, t in rows:
