@@ -124,19 +124,18 @@ def _versioned() -> list[Rule]:
 
 def _permissive() -> list[Rule]:
     out = []
-    for label, names, keyword in (
-        ("mit", ("mit", "expat"), "mit"), ("isc", ("isc",), "isc"), ("zlib", ("zlib", "zlib libpng"), "zlib"), ("bsd-2-clause", ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"), "bsd"),
-        ("bsd-3-clause", ("bsd 3 clause", "3 clause bsd", "new bsd", "revised bsd", "modified bsd"), "bsd"), ("bsd-4-clause", ("bsd 4 clause", "4 clause bsd", "original bsd"), "bsd"),
-        ("0bsd", ("0bsd", "zero clause bsd"), "bsd"), ("wtfpl", ("wtfpl", "do what the fuck you want to public"), ""), ("python", ("python software foundation", "psf"), ""),
-        ("openssl", ("openssl",), ""), ("postgresql", ("postgresql",), ""), ("ncsa", ("university of illinois ncsa open source", "ncsa"), "ncsa"), ("x11", ("x11",), ""), ("ruby", ("ruby",), ""), ("curl", ("curl",), ""), ("libpng", ("libpng",), ""),
+    for label, names in (
+        ("mit", ("mit", "expat")), ("isc", ("isc",)), ("zlib", ("zlib", "zlib libpng")), ("bsd-2-clause", ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd")),
+        ("bsd-3-clause", ("bsd 3 clause", "3 clause bsd", "new bsd", "revised bsd", "modified bsd")), ("bsd-4-clause", ("bsd 4 clause", "4 clause bsd", "original bsd")),
+        ("0bsd", ("0bsd", "zero clause bsd")), ("wtfpl", ("wtfpl", "do what the fuck you want to public")), ("python", ("python software foundation", "psf")),
+        ("openssl", ("openssl",)), ("postgresql", ("postgresql",)), ("ncsa", ("university of illinois ncsa open source", "ncsa")), ("x11", ("x11",)), ("ruby", ("ruby",)), ("curl", ("curl",)), ("libpng", ("libpng",)),
     ):
         for name in names:
-            gate = keyword or name
             out += [
                 _rule(30, label, f"{name} license", rf"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?{name} license", 0.95),
                 _rule(31, label, f"{name} licence", rf"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?{name} licence", 0.95),
-                _rule(32, label, gate, rf"spdx license identifier {name}", 1.0),
-                _rule(55, label, f"{name} licen", rf"{name} (?:style )?licen[cs]e", 0.7),
+                _rule(32, label, name, rf"spdx license identifier {name}", 1.0),
+                _rule(55, label, name, rf"{name} (?:style )?licen[cs]e", 0.7),
             ]
     texts = {
         "mit": ("permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from re import _parser as parser
 
 import numpy as np
 import pytest
@@ -216,6 +217,38 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 300
 
 
+def samples(parsed):
+    """Texts that a parsed pattern matches, each alternative and each optional part with and without."""
+    out = [""]
+    for op, arg in parsed:
+        if op is parser.LITERAL:
+            more = [chr(arg)]
+        elif op is parser.IN:
+            more = [chr(v) for _, v in arg]
+        elif op is parser.ANY:
+            more = ["x"]
+        elif op is parser.SUBPATTERN:
+            more = samples(arg[3])
+        elif op is parser.BRANCH:
+            more = [x for branch in arg[1] for x in samples(branch)]
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+            more = [*([""] if arg[0] == 0 else []), *samples(arg[2])]
+        else:
+            assert op is parser.ASSERT_NOT
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_licenses_gate():
+    for rule in licenses.rules():
+        for text in samples(parser.parse(rule.pattern.pattern)):
+            if rule.pattern.fullmatch(text):  # "(" and ")" never stand in words
+                assert rule.keyword in text and any(h in text.encode() for h in licenses.HINTS), (text, rule)
+    for text in ("an mit style license", "zlib style licence", "2 clause bsd style license", "spdx license identifier expat"):
+        assert licenses.detect(text.encode().split()), text
+
+
 def test_html(spark):
     page = '<body><nav>Menu a b</nav><div id=main><h1>T &amp; x</h1><p>One, two.<p>Three\n <b>fo</b>ur.<br>Five.<div class="comments"><p>Nice post, I say.</div></div><footer>End</footer>'
     rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", "<script>var a='<p>'</script>")], "page_id long, url string, html string")
