@@ -2,9 +2,9 @@
 
 A page's text is cut into blocks, each with the tag path from the root. For every distinct path the text
 and the punctuation of its blocks are set against the number of its nodes. Both ratios are smoothed over
-the page's blocks in order and fused; paths over a threshold hold content. The smallest element that
-holds most of the content is the article, and its text is kept whole but for parts that are no article
-text: menus, adverts, forms, comments and the like.
+the page's blocks in order and fused; paths over a threshold hold content, and so do headings right before
+it. The smallest element that holds all of the content is the article, and its text is kept whole but for
+parts that are no article text: menus, adverts, forms, comments and the like.
 """
 
 from __future__ import annotations
@@ -175,8 +175,9 @@ def content_scores(elements: list[Element], blocks: list[Block]) -> list[float]:
     return [0.0 if elements[b.element].outside else math.sqrt(t * (1.0 + m)) for b, t, m in zip(blocks, texts, marks, strict=True)]
 
 
-#: Share of the mean fused ratio that a path needs, and share of the content that the article holds at least.
-THRESHOLD, MOST_OF = 0.5, 0.7
+#: Share of the mean fused ratio that a path needs.
+THRESHOLD = 0.5
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def main_text(page: str | None) -> str:
@@ -194,21 +195,23 @@ def main_text(page: str | None) -> str:
     for b, s in zip(blocks, scores, strict=True):
         by.setdefault(elements[b.element].path, []).append(s)
     chosen = {p for p, s in by.items() if sum(s) / len(s) >= least}
-    mass: dict[int, int] = {}
-    total = 0
-    for b in blocks:
+    holds: list[int] | None = None  # the elements around all content so far, from the root
+    before = False
+    for b in reversed(blocks):
         e = elements[b.element]
-        if e.path in chosen and not e.outside:
-            total += len(b.text)
-            k = b.element
+        if e.outside:
+            continue
+        before = e.path in chosen or before and e.tag in HEADINGS
+        if before:
+            line, k = [], b.element
             while k >= 0:
-                mass[k] = mass.get(k, 0) + len(b.text)
+                line.append(k)
                 k = elements[k].parent
-    # elements are numbered in page order, so a child has a larger number than its parent
-    holds = [k for k, n in mass.items() if n >= MOST_OF * total and elements[k].tag not in ("p", "h1", "h2", "h3", "li", "pre")]
-    article = max(holds, default=0)
-    if named := [k for k in holds if elements[k].tag in ("article", "main")]:
-        article = max(named)
+            around = set(line)
+            holds = line[::-1] if holds is None else [k for k in holds if k in around]
+    holds = [k for k in holds or [0] if elements[k].tag not in ("p", "li", "pre", *HEADINGS)]
+    named = [k for k in holds if elements[k].tag in ("article", "main")]
+    article = (named or holds)[-1]
 
     def within(k: int) -> bool:
         while k > article:

@@ -255,6 +255,17 @@ def test_html(spark):
     assert results(html.extract_pages(rows)) == [(1, "u", "T & x One, two. Three four. Five.", 33), (2, None, "", 0), (3, "u", "", 0)]
 
 
+def test_html_keeps_content_beside():
+    p = "One sentence, and some more words here; then an end. " * 4
+    whole = [
+        f"<div class=content><h1>Title</h1><div class=text><p>{p}<p>{p}<p>{p}</div></div>", f"<div class=wrap><div class=first><p>{p * 3}</div><div class=second><p>{p}</div></div>",
+        f"<div><p>Intro, this is {p}</p><ul>{f'<li>{p}' * 8}</ul></div>", f"<main><article><p>{p * 3}</article><section><h2>More</h2><p>{p}</section></main>",
+    ]
+    for page in whole:
+        assert html.main_text(f"<body><nav>Menu a b</nav>{page}<footer>End</footer>") == " ".join(re.sub("<[^>]*>", " ", page).split())
+    assert html.main_text(f"<body><div><p class=lead>{p * 9}</p><p>Short</p></div>").endswith("Short")
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 70, "ann", "bye"), (2, 0, "system", "alone"), (3, None, None, "x"), (3, None, None, "x")]
     got = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
