@@ -1,39 +1,52 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
-Each document's histogram of character classes and its histogram of common words are compared with those
-of its language by Jensen-Shannon distance. The references are the mean histograms of the documents of
-that language which pass the base rules and the length guards. Any language with enough such documents has
-a reference of character classes, a listed one also of common words. Texts under the guards, and languages
-without a reference, are judged by the base rules alone.
+Each document's histogram of character classes and its histogram of common words are compared by
+Jensen-Shannon distance with fixed references of its language. Texts under the length guards, and languages
+without a reference, are judged by the base rules alone. Everything is one narrow pass over the documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+import string
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import table
 
-#: Common words of each language that has a reference.
+#: Common words of a language and how often they stand in a thousand words of prose, roughly.
 COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "on", "with", "as", "are", "this", "by"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "est", "pour", "qui", "dans", "au"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no"],
+    "en": "the 62 of 31 and 28 to 26 a 22 in 20 is 11 that 11 it 10 for 9 was 9 on 7 with 7 as 7 be 6 by 5 he 7 are 5 this 5 at 5 from 4 not 5 have 4 but 4 his 5 they 4 which 3 or 4 an 3 you 5 we 4 one 3 had 4 were 3 all 3 their 3 there 3 has 3 would 2 will 2",
+    "fr": "de 50 la 30 le 25 et 23 les 20 des 16 en 13 un 12 du 12 une 11 que 11 est 11 pour 9 qui 9 dans 9 a 9 par 7 plus 5 pas 6 au 6 sur 6 ne 6 se 6 ce 6 il 8 sont 4 avec 5 son 4 je 5 elle 3 nous 4 vous 4 mais 4 on 4 aux 3 ou 3 cette 3 sa 3 comme 3 ses 2",
+    "de": "der 32 die 32 und 27 in 18 den 12 von 9 zu 11 das 14 mit 9 sich 8 des 8 auf 7 für 7 ist 10 im 7 dem 7 nicht 9 ein 9 eine 8 als 6 auch 6 es 8 an 6 werden 4 aus 5 er 7 hat 5 dass 5 sie 9 nach 4 wird 4 bei 4 einer 4 um 4 am 4 sind 4 noch 3 wie 4 einem 3 über 3",
+    "es": "de 60 la 37 que 31 el 29 en 26 y 25 a 21 los 16 se 12 del 12 las 11 un 11 por 10 con 9 no 11 una 8 su 8 para 8 es 9 al 6 lo 6 como 5 más 4 o 4 pero 4 sus 3 le 4 ha 3 me 4 si 3 sin 2 sobre 2 este 2 ya 2 entre 2 cuando 2 todo 2 esta 2 ser 2 son 2",
+}
+#: Shares of the character classes in prose, roughly: white space, #*$%&|<>, beyond ASCII, A-Z, 0-9, punctuation, a e i o u, and all others.
+CHARS = {
+    "en": [0.17, 0.001, 0.001, 0.025, 0.008, 0.03, 0.31, 0.455],
+    "fr": [0.165, 0.001, 0.02, 0.02, 0.008, 0.035, 0.33, 0.421],
+    "de": [0.145, 0.001, 0.005, 0.05, 0.008, 0.03, 0.31, 0.451],
+    "es": [0.165, 0.001, 0.01, 0.02, 0.008, 0.03, 0.345, 0.421],
 }
 #: Guards: shorter texts are too small a sample for a distance.
 LEAST_CHARS, LEAST_WORDS = 200, 50
-#: Documents that a language's reference must rest on.
-LEAST_DOCUMENTS = 20
 #: Jensen-Shannon distance (base 2, 0 to 1) of character classes beyond which a document is rejected; for common words the
 #: bound is this share of the distance that a text without any common word has to the language's reference.
-MOST_CHARS, MOST_WORDS = 0.3, 0.9
+MOST_CHARS, MOST_WORDS = 0.25, 0.8
+#: Signs that are taken off a word's ends before it is looked for among the common ones.
+AROUND = ".,;:!?\"'()"
 
 SPACE = "[ \\t-\\r]+"
 #: Character classes that are counted by pattern.
-CLASSES = ("[A-Z]", "[0-9]")
+CLASSES = ("[A-Z]", "[0-9]", r"[.,;:!?'\"()\-]")
+
+
+def shares_of(words: str) -> dict[str, float]:
+    """Word to share, from a line of COMMON."""
+    parts = words.split()
+    return {w: int(n) / 1000 for w, n in zip(parts[::2], parts[1::2], strict=True)}
 
 
 def window_hashes(words: Column, size: int = 5) -> Column:
@@ -51,7 +64,7 @@ def with_repeats(df: DataFrame, size: int = 5) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(total["n"], F.lit(0)).cast("long"))
 
 
-def histograms(docs: DataFrame, common: Mapping[str, Sequence[str]] = COMMON) -> DataFrame:
+def histograms(docs: DataFrame, common: Mapping[str, str] = COMMON) -> DataFrame:
     """doc_id, lang, the base counts, and the counts `chars` and `common` as arrays."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", text.alias("text"))
@@ -59,24 +72,26 @@ def histograms(docs: DataFrame, common: Mapping[str, Sequence[str]] = COMMON) ->
     base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: line.rlike("[^ \\t-\\r]")))
     base = base.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w)))
     base = with_repeats(base.withColumn("hashes", window_hashes(F.col("word_hashes"))))
+    lists = {lang: list(shares_of(words)) for lang, words in common.items()}
     listed = F.lit(None).cast("array<string>")
-    for lang, words in common.items():
+    for lang, words in lists.items():
         listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, words))).otherwise(listed)
-    most = max(map(len, common.values()), default=0)
-    letters = "".join(chr(97 + i) for i in range(most))  # a letter for each listed word, a dot for others
-    every = sorted({w for words in common.values() for w in words})
-    code = F.array_join(F.transform(F.filter("words", lambda w: w.isin(every)), lambda w: F.substring(F.lit("." + letters), F.array_position("listed", w).cast("int") + 1, F.lit(1))), "")
+    letters = string.ascii_letters[: max(map(len, lists.values()), default=0)]  # a letter for each listed word, a dot for others
+    every = sorted({w for words in lists.values() for w in words})
+    bare = F.transform("words", lambda w: F.lower(F.btrim(w, F.lit(AROUND))))
+    code = F.array_join(F.transform(F.filter(bare, lambda w: w.isin(every)), lambda w: F.substring(F.lit("." + letters), F.array_position("listed", w).cast("int") + 1, F.lit(1))), "")
     base = base.withColumn("listed", listed).withColumn("code", F.when(F.col("listed").isNotNull(), code))
     n_chars = F.length("text").cast("long")
     counted = base.select(
         "doc_id", "lang", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words", n_chars.alias("n_chars"), (F.octet_length("text") - F.length("text")).cast("long").alias("beyond"), *(F.regexp_count("text", F.lit(c)).cast("long").alias(f"class{k}") for k, c in enumerate(CLASSES)),
+        F.length(F.regexp_replace("text", "[^aeiou]+", "")).cast("long").alias("vowels"),
         F.array(*(F.length("code") - F.length(F.replace(F.col("code"), F.lit(x))) for x in letters)).alias("hits"), F.col("listed").isNotNull().alias("has_list"),
     )
-    # white space, symbols, other than ASCII (by the bytes beyond one a character), the counted classes, and the rest: a-z and punctuation
-    known = [F.col("n_symbols"), F.col("beyond"), *(F.col(f"class{k}") for k in range(len(CLASSES)))]
-    chars = F.array(F.col("n_chars") - F.col("word_chars"), *known, F.greatest(F.lit(0), F.col("word_chars") - sum(known, F.lit(0))))
+    # beyond ASCII by the bytes beyond one a character; all others last
+    known = [F.col("n_chars") - F.col("word_chars"), F.col("n_symbols"), F.col("beyond"), *(F.col(f"class{k}") for k in range(len(CLASSES))), F.col("vowels")]
+    chars = F.array(*known, F.greatest(F.lit(0), F.col("n_chars") - sum(known, F.lit(0))))
     hit = F.aggregate("hits", F.lit(0), lambda a, x: a + x)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select(
@@ -87,7 +102,7 @@ def histograms(docs: DataFrame, common: Mapping[str, Sequence[str]] = COMMON) ->
 
 def shares(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(counts, lambda x: x / total)
+    return F.transform(counts, lambda x: F.try_divide(x, total))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -99,31 +114,36 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), (half(p, q) + half(q, p)) / 2)))
 
 
-def judge_quality(docs: DataFrame, common: Mapping[str, Sequence[str]] = COMMON, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS, most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS) -> DataFrame:
+def js_of(p: list[float], q: list[float]) -> float:
+    """The same distance of two lists, for what is known before any document."""
+    half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+    return math.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
+
+
+def judge_quality(docs: DataFrame, common: Mapping[str, str] = COMMON, chars: Mapping[str, list[float]] = CHARS, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS, most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS) -> DataFrame:
     """Base counts and the divergence verdict of each document.
 
     docs needs doc_id, text and lang; other columns are left out. Null text is empty and fails the base
-    rules. A null language and one with few documents have no reference: the distances are null and the base
-    rules decide. An unlisted language has no common words: js_words is null.
-    Every row gives one row, repeated rows and null doc_id included; an empty table gives none. The
-    features are written once to the scratch folder, since references need all of them first; references
-    are at most one row for each language with LEAST_DOCUMENTS documents, so their join is a broadcast of that bound.
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars,
-    js_words (rounded to 6 places), kept.
+    rules. A null language and one without references have no distances, nor have texts under the guards:
+    the base rules decide. A distance at its bound passes. Every row gives one row, repeated rows and null
+    doc_id included; an empty table gives none. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, js_chars, js_words (rounded to 6 places), kept.
     """
-    seen = scratch(histograms(docs, common), "quality")
+    width = max((len(shares_of(w)) for w in common.values()), default=0)
+    of_chars, of_words, most = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>"), F.lit(None).cast("double")
+    for lang, words in common.items():
+        known = list(shares_of(words).values())
+        known = [*known, *[0.0] * (width - len(known)), 1.0 - sum(known)]
+        here = F.col("lang") == lang
+        of_words = F.when(here, F.array(*map(F.lit, known))).otherwise(of_words)
+        most = F.when(here, F.lit(most_words * js_of([0.0] * width + [1.0], known))).otherwise(most)
+    for lang, known in chars.items():
+        of_chars = F.when(F.col("lang") == lang, F.array(*map(F.lit, known))).otherwise(of_chars)
     guard = (F.col("n_chars") >= least_chars) & (F.col("n_words") >= least_words)
-    fit = seen.filter(guard & ~F.col("base_failed") & F.col("lang").isNotNull()).select("lang", shares(F.col("chars")).alias("c"), shares(F.col("common")).alias("w"))
-    n_chars, n_common = len(CLASSES) + 4, max(map(len, common.values()), default=0) + 1
-    means = [F.avg(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(n_chars)] + [F.avg(F.get("w", F.lit(k))).alias(f"w{k}") for k in range(n_common)]
-    reference = fit.groupBy("lang").agg(F.count("*").alias("n"), *means).filter(F.col("n") >= LEAST_DOCUMENTS)
-    reference = reference.select(F.col("lang").alias("_lang"), F.array(*(f"c{k}" for k in range(n_chars))).alias("_c"), F.array(*(f"w{k}" for k in range(n_common))).alias("_w"))
-    none = F.array(*(F.lit(0.0) for _ in range(n_common - 1)), F.lit(1.0))
-    reference = reference.withColumn("_most_words", most_words * js_distance(none, F.col("_w")))
-    both = seen.join(F.broadcast(reference), F.col("lang") == F.col("_lang"), "left")
-    both = both.withColumn("js_chars", F.when(guard, F.round(js_distance(shares(F.col("chars")), F.col("_c")), 6)))
-    both = both.withColumn("js_words", F.when(guard, F.round(js_distance(shares(F.col("common")), F.col("_w")), 6)))
-    diverges = (F.coalesce("js_chars", F.lit(0.0)) > most_chars) | F.coalesce(F.col("js_words") > F.col("_most_words"), F.lit(False))
+    both = histograms(docs, common).withColumns({"of_chars": of_chars, "of_words": of_words, "char_shares": shares(F.col("chars")), "word_shares": shares(F.col("common"))})
+    both = both.withColumn("js_chars", F.when(guard, F.round(js_distance(F.col("char_shares"), F.col("of_chars")), 6)))
+    both = both.withColumn("js_words", F.when(guard, F.round(js_distance(F.col("word_shares"), F.col("of_words")), 6)))
+    diverges = F.coalesce(F.col("js_chars") > most_chars, F.lit(False)) | F.coalesce(F.col("js_words") > most, F.lit(False))
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", (~F.col("base_failed") & ~diverges).alias("kept"))
 
 

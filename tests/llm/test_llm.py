@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 from re import _parser as parser
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brindle.llm import bpe, chat, decontaminate, html, licenses, quality, similarity, substrings, suffixarray, toxicity
@@ -64,18 +66,48 @@ def test_quality_counts(spark, rows, docs):
     assert quality.judge_quality(table(spark, [])).count() == 0
 
 
+def brute_distance(p, q):
+    half = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x)
+    return math.sqrt(max(0, (half(p, q) + half(q, p)) / 2))
+
+
+def brute_quality(text, lang):
+    """js_chars, js_words and whether they reject, by plain loops."""
+    words = WORD.findall(text)
+    if len(words) < quality.LEAST_WORDS or len(text) < quality.LEAST_CHARS or lang not in quality.COMMON:
+        return None, None, False
+    shares = quality.shares_of(quality.COMMON[lang])
+    bare = Counter(w.strip(quality.AROUND).lower() for w in words)
+    own = [bare[w] / len(words) for w in shares]
+    reference = [*shares.values(), 1 - sum(shares.values())]
+    kinds = Counter("s" if c in " \t\n\v\f\r" else "y" if c in "#*$%&|<>" else "b" if c > "\x7f" else "U" if "A" <= c <= "Z" else "9" if c in "0123456789" else "." if c in ".,;:!?'\"()-" else "v" if c in "aeiou" else "o" for c in text)
+    by_words, by_chars = brute_distance([*own, 1 - sum(own)], reference), brute_distance([kinds[k] / len(text) for k in "sybU9.vo"], quality.CHARS[lang])
+    none = brute_distance([0] * len(own) + [1], reference)
+    return round(by_chars, 6), round(by_words, 6), by_chars > quality.MOST_CHARS or by_words > quality.MOST_WORDS * none
+
+
 def test_quality_verdict(spark):
     rng = np.random.default_rng(6)
 
-    def prose(lang, n=150):
-        return " ".join(rng.choice(quality.COMMON[lang]) if rng.random() < 0.2 else "".join(rng.choice(list("bcdfgklmnorstuv"), 6)) for _ in range(n))
-
-    rows = [(k, prose("en"), "en") for k in range(40)] + [(k, prose("en"), "xx") for k in range(100, 140)]
-    rows += [(200, prose("de"), "en"), (201, " ".join("".join(rng.choice(list("bcdfgklmnorstuv"), 6)) for _ in range(150)), "en"), (202, " ".join(str(x) for x in rng.integers(10**5, 10**6, 150)), "xx"), (203, prose("en"), None)]
-    got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert sorted(i for i, r in got.items() if not r.kept) == [200, 201, 202]
-    assert not any(r.base_failed for r in got.values())
-    assert got[100].js_chars is not None and got[100].js_words is got[203].js_chars is got[203].js_words is None
+    def prose(lang, n=150, share=0.35):
+        known = quality.shares_of(quality.COMMON[lang])
+        common = rng.choice(list(known), n, p=np.array(list(known.values())) / sum(known.values()))
+        odd = ["".join(rng.choice(list("aeiobcdfgklmnrstuv"), 6)) for _ in range(n)]
+        return " ".join((c if rng.random() < share else o) + "." * (k % 9 == 0) for k, (c, o) in enumerate(zip(common, odd)))
+
+    rows = [(k, prose(lang), lang) for k, lang in enumerate(["en", "fr", "de", "es"] * 5)]
+    bad = [(200, prose("de"), "en"), (201, prose("en", share=0), "en"), (202, " ".join(str(x) for x in rng.integers(10**5, 10**6, 150)), "es"), (203, prose("fr") + " $%&" * 300, "fr")]
+    free = [(300, prose("de"), None), (301, prose("en", share=0), "xx"), (302, prose("en", 49, 0), "en"), (303, "é " * 60 + prose("en", 12), "en"), (304, None, "en"), (305, "", "fr"), (305, "", "fr"), (None, prose("es"), "es"), (306, prose("en", 30000), "en")]
+    every = [*rows, *bad, *free]
+    got = quality.judge_quality(spark.createDataFrame(every, "doc_id long, text string, lang string").withColumn("js_words", F.lit("clash")).withColumn("kept", F.lit(1))).collect()
+    assert len(got) == len(every)
+    for (i, text, lang), r in zip(sorted(every, key=lambda x: (x[0] is None, x[0])), sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), strict=True):
+        by_chars, by_words, rejected = brute_quality(text or "", lang)
+        assert (r.js_chars is None, r.js_words is None) == (by_chars is None, by_words is None), i
+        assert by_chars is None or abs(r.js_chars - by_chars) < 2e-6 and abs(r.js_words - by_words) < 2e-6, (i, r, by_chars, by_words)
+        assert r.kept == (not r.base_failed and not rejected), i
+    assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 100)
+    assert sorted(r.doc_id for r in got if r.doc_id in range(200, 300) and not r.kept) == [200, 201, 202, 203]
 
 
 def test_substrings(spark, rows, docs):
@@ -114,7 +146,7 @@ def test_suffix_array(spark, rows, docs):
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     unique = [(i, t) for i, t in rows if i is not None][:-1]
     assert results(suffixarray.remove_long_repeats(docs).select(columns)) == brute_bytes(rows, 400)
-    assert results(suffixarray.remove_long_repeats(table(spark, unique), window=60, gram=16, shard_bytes=500).select(columns)) == brute_bytes(unique, 60)
+    assert results(suffixarray.remove_long_repeats(table(spark, unique), window=60, reported=60, gram=16, shard_bytes=500).select(columns)) == brute_bytes(unique, 60)
     assert suffixarray.remove_long_repeats(table(spark, [])).count() == 0
 
 
