@@ -2,9 +2,10 @@
 
 A page's text is cut into blocks, each with the tag path from the root. For every distinct path the text
 and the punctuation of its blocks are set against the number of its nodes. Both ratios are smoothed over
-the page's blocks in order and fused; paths over a threshold hold content, and so do headings right before
-it. The smallest element that holds all of the content is the article, and its text is kept whole but for
-parts that are no article text: menus, adverts, forms, comments and the like.
+the page's blocks in order and fused; paths over a threshold hold content. Paths under it are kept only
+where content surrounds them: headings right before it, and blocks between content, or in the same article
+or main element, that aren't mostly links. Parts that are no article text by their markup (menus,
+adverts, forms, comments and the like) have no score and are never kept.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +40,37 @@ OUTSIDE_WORDS = {
 }
 MAIN_WORDS = {"article", "content", "main", "post", "story", "entry", "body", "text"}
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+#: Most tags: a few attributes of usual length. The bounds keep a text of `<` without `>` linear; other tags are read piece by piece.
+SHORT = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,40})([^>\"']{0,100}(?:\"[^\"]{0,200}\"[^>\"']{0,100}){0,4})>")
 MARKED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?¡¿…。，、]")
 
 
+#: Elements whose id says nothing about their part of the page.
+OWN_IDS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "section", "li", "dt", "dd", "pre", "blockquote", "figure", "table", "td", "th", "tr"} | INLINE
+
+
 class Element(NamedTuple):
+    """path: a number for each distinct tag path; in_article: an article or main element is around it."""
+
     tag: str
-    path: str
+    path: int
     parent: int
     outside: bool
+    in_article: bool
+
+
+class Tag(NamedTuple):
+    """start and end in the page; name is empty for comments and declarations."""
+
+    start: int
+    end: int
+    closes: bool
+    name: str
+    attributes: str
 
 
 class Block(NamedTuple):
@@ -56,13 +79,13 @@ class Block(NamedTuple):
     linked: int
 
 
-def attribute_marks(attributes: str) -> tuple[set[str], str, bool]:
+def attribute_marks(attributes: str, with_id: bool = True) -> tuple[set[str], str, bool]:
     """Words of class and id, role, and whether the element is hidden."""
     words: set[str] = set()
     role, hidden = "", False
     for name, value in MARKED.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
-        if name in ("class", "id"):
+        if name == "class" or name == "id" and with_id:
             for w in value.split():
                 words.update(x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", w).lower()) if x)
         elif name == "role":
@@ -72,14 +95,48 @@ def attribute_marks(attributes: str) -> tuple[set[str], str, bool]:
     return words, role, hidden
 
 
+def tags(page: str) -> Iterator[Tag]:
+    """Tags, comments and declarations in order, in linear time; a `<` that starts none is text. Takes no tag inside a raw element if told its end."""
+    quotes, last = True, {'"': page.rfind('"'), "'": page.rfind("'")}
+    at = page.find("<")
+    while at >= 0:
+        resume = at + 1
+        if quotes and (m := SHORT.match(page, at)):
+            resume = (yield Tag(at, m.end(), m[1] == "/", m[2].lower(), m[3])) or m.end()
+        elif page.startswith("!--", at + 1):
+            end = page.find("-->", at + 4)
+            resume = end + 3 if end >= 0 else len(page)
+            resume = (yield Tag(at, resume, False, "", "")) or resume
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            if (end := page.find(">", at)) < 0:
+                return
+            resume = (yield Tag(at, end + 1, False, "", "")) or end + 1
+        elif m := NAME.match(page, at + 1):
+            end, look = -1, m.end()
+            while quotes and (stop := STOP.search(page, look)):
+                c, k = stop[0], stop.start()
+                if c == ">":
+                    end = k
+                    break
+                look = page.find(c, k + 1) + 1 if k < last[c] else k + 1  # a quote that never ends is an ordinary character
+            if end < 0:  # a quote swallows the rest of the page: from here on quotes are ordinary characters
+                quotes = False
+                if (end := page.find(">", m.end())) < 0:
+                    return
+            resume = (yield Tag(at, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end])) or end + 1
+        at = page.find("<", resume)
+
+
 def parse(page: str) -> tuple[list[Element], list[Block]]:
     """Elements with their paths, and the text blocks in page order."""
-    elements = [Element("", "", -1, False)]
-    stack, inline = [0], 0
+    elements = [Element("", 0, -1, False, False)]
+    paths: dict[tuple[int, str], int] = {}
+    stack = [0]
+    open_now: Counter[str] = Counter()
     blocks: list[Block] = []
     pieces: list[str] = []
     linked = at = 0
-    raw_until = None
+    in_link = False
 
     def flush() -> None:
         nonlocal linked
@@ -89,59 +146,65 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             pieces.clear()
         linked = 0
 
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def pop(k: int) -> None:
+        open_now.subtract(elements[e].tag for e in stack[k:])
+        del stack[k:]
+
+    def close(ends: set[str], limits: set[str]) -> None:
+        """Close the innermost open element of `ends`, and all in it, unless one of `limits` is around the place."""
+        if any(open_now[e] for e in ends):
+            for k in range(len(stack) - 1, 0, -1):
+                tag = elements[stack[k]].tag
+                if tag in ends:
+                    return pop(k)
+                if tag in limits:
+                    return None
+        return None
+
+    found = tags(page)
+    tag = next(found, None)
+    while tag is not None:
+        resume = None
+        if tag.start > at:
+            piece = page[at : tag.start]
             pieces.append(piece)
-            if inline:
+            if in_link:
                 linked += len(piece)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if name in INLINE:
-            if name == "a":
-                inline = 0 if m[1] else 1
-            words = attribute_marks(m[3])[0] if m[3] and not m[1] else ()
-            if not (words and OUTSIDE_WORDS & words):
-                continue
+        at, name = tag.end, tag.name
         if name == "br":
             pieces.append(" ")
-            continue
-        flush()
-        inline = 0
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].tag == name:
-                    del stack[k:]
-                    break
-            continue
-        if name in VOID:
-            continue
-        if name in CLOSES_P or name in CLOSES:
-            ends = CLOSES.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                tag = elements[stack[k]].tag
-                if tag in ends:
-                    del stack[k:]
-                    break
-                if tag in LIMITS and tag not in ends:
-                    break
-        up = elements[stack[-1]]
-        words, role, hidden = attribute_marks(m[3]) if m[3] else (set(), "", False)
-        in_article = "/article" in up.path or "/main" in up.path
-        root = name in ("html", "body", "article", "main")
-        outside = up.outside or name in OUTSIDE or not root and (role in OUTSIDE_ROLES or hidden or bool(OUTSIDE_WORDS & words)) or name == "header" and not in_article or not root and not in_article and "header" in words and not MAIN_WORDS & words
-        mark = "." + "-".join(sorted(words)) if words else ""
-        elements.append(Element(name, f"{up.path}/{name}{mark}", stack[-1], outside))
-        stack.append(len(elements) - 1)
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
+        elif name in INLINE and (tag.closes or not OUTSIDE_WORDS & attribute_marks(tag.attributes, False)[0]):
+            if name == "a":
+                in_link = not tag.closes
+            if tag.closes and open_now[name]:  # it is an element that is outside
+                flush()
+                close({name}, set())
+        elif name:
+            flush()
+            in_link = False
+            if tag.closes:
+                close({name}, set())
+            elif name not in VOID:
+                close(CLOSES.get(name, set()), LIMITS - CLOSES.get(name, set()))
+                if name in CLOSES_P:
+                    close({"p"}, LIMITS)
+                up = elements[stack[-1]]
+                words, role, hidden = attribute_marks(tag.attributes, name not in OWN_IDS) if tag.attributes else (set(), "", False)
+                root = name in ("html", "body", "article", "main")
+                marked = not root and (role in OUTSIDE_ROLES or hidden or bool(OUTSIDE_WORDS & words))
+                top = not up.in_article and (name == "header" or not root and "header" in words and not MAIN_WORDS & words)
+                step = (up.path, f"{name}.{'-'.join(sorted(words))}")
+                elements.append(Element(name, paths.setdefault(step, len(paths) + 1), stack[-1], up.outside or name in OUTSIDE or marked or top, up.in_article or name in ("article", "main")))
+                if name not in RAW or tag.attributes.rstrip().endswith("/"):
+                    stack.append(len(elements) - 1)
+                    open_now[name] += 1
+                else:
+                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                    resume = at = end.end() if end else len(page)
+        try:
+            tag = found.send(resume)
+        except StopIteration:
+            tag = None
     if at < len(page):
         pieces.append(page[at:])
     flush()
@@ -163,8 +226,8 @@ def smoothed(values: list[float], radius: int = 2) -> list[float]:
 
 
 def content_scores(elements: list[Element], blocks: list[Block]) -> list[float]:
-    """Fused tag-path ratios of each block: text per node times punctuation per node, smoothed; 0 outside."""
-    by: dict[str, list[float]] = {}
+    """Fused tag-path ratios of each block: text per node times punctuation per node, smoothed; 0 outside. Text of links doesn't count."""
+    by: dict[int, list[float]] = {}
     for b in blocks:
         t = by.setdefault(elements[b.element].path, [0.0, 0.0, 0.0])
         t[0] += max(0, len(b.text) - b.linked)
@@ -178,47 +241,72 @@ def content_scores(elements: list[Element], blocks: list[Block]) -> list[float]:
 #: Share of the mean fused ratio that a path needs.
 THRESHOLD = 0.5
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Share of its text from which on a block counts as links.
+LINKS = 0.5
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    elements, blocks = parse(page)
-    if not blocks:
-        return ""
-    scores = content_scores(elements, blocks)
+def chosen_blocks(elements: list[Element], blocks: list[Block], scores: list[float]) -> list[bool]:
+    """Blocks whose path has the threshold on average, and headings right before such."""
     inside = [s for s in scores if s > 0]
-    if not inside:
-        return ""
-    least = THRESHOLD * sum(inside) / len(inside)
-    by: dict[str, list[float]] = {}
+    least = THRESHOLD * sum(inside) / max(1, len(inside))
+    by: dict[int, list[float]] = {}
     for b, s in zip(blocks, scores, strict=True):
-        by.setdefault(elements[b.element].path, []).append(s)
-    chosen = {p for p, s in by.items() if sum(s) / len(s) >= least}
-    holds: list[int] | None = None  # the elements around all content so far, from the root
-    before = False
+        if not elements[b.element].outside:
+            by.setdefault(elements[b.element].path, []).append(s)
+    content = {p for p, s in by.items() if inside and sum(s) / len(s) >= least}
+    out, before = [], False
     for b in reversed(blocks):
         e = elements[b.element]
-        if e.outside:
-            continue
-        before = e.path in chosen or before and e.tag in HEADINGS
-        if before:
-            line, k = [], b.element
-            while k >= 0:
-                line.append(k)
-                k = elements[k].parent
-            around = set(line)
-            holds = line[::-1] if holds is None else [k for k in holds if k in around]
-    holds = [k for k in holds or [0] if elements[k].tag not in ("p", "li", "pre", *HEADINGS)]
-    named = [k for k in holds if elements[k].tag in ("article", "main")]
-    article = (named or holds)[-1]
-
-    def within(k: int) -> bool:
-        while k > article:
-            k = elements[k].parent
-        return k == article
-
-    return " ".join(b.text for b in blocks if not elements[b.element].outside and within(b.element))
+        if not e.outside:
+            before = e.path in content or before and e.tag in HEADINGS
+        out.append(before and not e.outside)
+    return out[::-1]
+
+
+def main_text(page: str | None) -> str:
+    elements, blocks = parse(page) if page else ([], [])
+    chosen = chosen_blocks(elements, blocks, content_scores(elements, blocks))
+    if not any(chosen):
+        return ""
+    article = deepest = None  # the smallest element around all content, from which an article or main around it is looked for
+    for b, c in zip(blocks, chosen, strict=True):
+        if c:
+            deepest = b.element if deepest is None else common(elements, deepest, b.element)
+    k = deepest
+    while k > 0 and article is None:
+        article = k if elements[k].tag in ("article", "main") else None
+        k = elements[k].parent
+    around, first = deepest if article is None else article, chosen.index(True)
+    last = len(chosen) - 1 - chosen[::-1].index(True)
+    if elements[around].tag in HEADINGS or elements[around].tag in ("p", "li", "pre"):
+        around = elements[around].parent
+    within: dict[int, bool] = {}
+    texts = []
+    for i, (b, c) in enumerate(zip(blocks, chosen, strict=True)):
+        near = (article is not None or first < i < last) and b.linked <= LINKS * len(b.text)
+        if c or near and not elements[b.element].outside and inside_of(elements, b.element, around, within):
+            texts.append(b.text)
+    return " ".join(texts)
+
+
+def common(elements: list[Element], a: int, b: int) -> int:
+    """The innermost element around both; parents have smaller numbers."""
+    while a != b:
+        if a > b:
+            a = elements[a].parent
+        else:
+            b = elements[b].parent
+    return a
+
+
+def inside_of(elements: list[Element], k: int, around: int, known: dict[int, bool]) -> bool:
+    line = []
+    while k > around and k not in known:
+        line.append(k)
+        k = elements[k].parent
+    answer = known.get(k, k == around)
+    known |= dict.fromkeys(line, answer)
+    return answer
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
