@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, map_rows, table
+from .common import FOLD, carrying, map_rows, table
 
 #: Labelled documents that the weights are trained on at most: toxic ones and clean ones, chosen by a hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 2000, 3000
@@ -24,7 +24,6 @@ MOST_TOXIC, MOST_CLEAN = 2000, 3000
 PREFIXES = range(3, 9)
 #: A feature must stand in so many toxic documents of the sample, and so many times as often as in clean ones.
 LEAST_TOXIC, LEAST_RATIO = 2, 3.0
-MOST_FEATURES = 60_000
 #: Sentences end at these bytes.
 END = b"\x01"
 SENTENCES = bytes(1 if b in b".!?\n" else FOLD[b] for b in range(256))
@@ -115,7 +114,7 @@ def choose(bags: Bags, names: list[bytes], of_word: Lists, labels: list[int]) ->
     ratio = (df[1] + 0.5) / (n_toxic + 1) / ((df[0] + 0.5) / (len(labels) - n_toxic + 1))
     good = np.flatnonzero((df[1] >= LEAST_TOXIC) & (ratio >= LEAST_RATIO)).tolist()
     good.sort(key=lambda f: (-df[1, f] * math.log(ratio[f]), names[f]))
-    return np.array(good[:MOST_FEATURES], np.int64)
+    return np.array(good, np.int64)
 
 
 def train(rows: Iterable[tuple[str | None, int]], rounds: int = 300, rate: float = 0.3, l1: float = 2e-4) -> Model:
@@ -165,14 +164,14 @@ def train(rows: Iterable[tuple[str | None, int]], rounds: int = 300, rate: float
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> list[tuple[str | None, int]]:
-    """The bounded training sample: rows whose crc32(doc_id as text) mod 5 is not 0, toxic ones and clean ones."""
+    """The bounded training sample: rows whose crc32(doc_id as text) mod 5 is not 0, toxic ones and clean ones. A doc_id with several texts trains with the least of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.filter("toxic = 1").orderBy(*order).limit(most_toxic).union(known.filter("toxic = 0").orderBy(*order).limit(most_clean))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic")
-    return [(r.text, r.toxic) for r in rows.collect()]
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "toxic")
+    return [(r.text, r.toxic) for r in rows.toLocalIterator()]
 
 
 def score_tokens(words: list[bytes], of_word: dict[bytes, float], model: Model) -> tuple[float, list[tuple[int, float]]]:
@@ -208,18 +207,18 @@ def score_tokens(words: list[bytes], of_word: dict[bytes, float], model: Model)
 KNOWN = 1_000_000
 
 
-def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """Toxicity of each text under a trained model, row by row, without a shuffle.
 
-    docs needs doc_id and text; other columns are left out but those in keep. Null and empty texts score 0.
-    Every row gives one row, repeated rows included; a null doc_id is never held out. Returns doc_id,
-    held_out, score, predicted, offending (array of structs sentence, score: sentences from 0, split at
-    . ! ? and newline, whose own chance is a half or more), and the columns in keep.
+    docs needs doc_id and text; with carry all columns come along in the struct carried_row, else other
+    columns are left out. Null and empty texts score 0. Every row gives one row, repeated rows included; a
+    null doc_id is never held out. Returns doc_id, held_out, score, predicted, offending (array of structs
+    sentence, score: sentences from 0, split at . ! ? and newline, whose own chance is a half or more).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     of_word: dict[bytes, float] = {}
 
-    def run(doc_id, held_out, text, *rest):
+    def run(doc_id, held_out, text):
         if len(of_word) > KNOWN:
             of_word.clear()
         scores, offending = [], []
@@ -227,15 +226,13 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -
             s, o = score_tokens(tokens(t), of_word, shared.value)
             scores.append(s)
             offending.append([{"sentence": k, "score": p} for k, p in o])
-        return [doc_id, held_out, scores, [int(s >= 0.5) for s in scores], offending, *rest]
+        return [doc_id, held_out, scores, [int(s >= 0.5) for s in scores], offending]
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", *(F.col(c).alias(f"kept_{c}") for c in keep))
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[3:])
-    out = map_rows(columns, run, f"doc_id long, held_out boolean, score double, predicted int, offending array<struct<sentence:int,score:double>>{kept}")
-    return out.withColumnsRenamed({f"kept_{c}": c for c in keep})
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", *carrying(docs, carry))
+    return map_rows(columns, run, "doc_id long, held_out boolean, score double, predicted int, offending array<struct<sentence:int,score:double>>")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, train(labelled(docs, table(spark, sf_dir, "labels")))).drop("offending")
+    return score_documents(docs, train(labelled(docs, table(spark, sf_dir, "labels"))))
