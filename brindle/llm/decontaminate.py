@@ -3,8 +3,8 @@
 The automaton is built over the words of all items (each item added from the root). Training text is
 streamed through it word by word; the state and the length of the longest match that ends there give
 every window of an item that occurs. Items are taken in blocks of bounded size, one automaton a block,
-so that what a worker holds doesn't grow with the benchmark; each block is one more narrow step over the
-documents, and no step shuffles.
+so that what a worker holds doesn't grow with the benchmark: a worker gathers documents and sends them
+through one automaton after the other, in one pass over the documents and without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import folded_words, map_rows, table
+from .common import carrying, folded_words, map_rows, table
 
 #: Consecutive item words that count; an item of fewer words is one window.
 WINDOW = 13
@@ -29,7 +30,7 @@ Span = tuple[int, int]
 class SuffixAutomaton:
     """Suffix automaton of several word sequences, with the items that each window belongs to."""
 
-    def __init__(self, items: Sequence[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: Sequence[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.ids = window, {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -143,66 +144,78 @@ def merged(spans: Sequence[Span]) -> list[Span]:
     return out
 
 
+#: A worker's automata, the last used last; beyond MOST_BUILT the least recently used is built again when it is needed.
 _BUILT: dict[str, SuffixAutomaton] = {}
+MOST_BUILT = 4
+#: Documents that a worker sends through one automaton before it takes the next, where there are several.
+ROWS_OF_A_PASS = 1024
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Item ids (as strings) and words, in blocks of about block_bytes; one block is read at a time.
+def built(key: str, block: Broadcast, window: int) -> SuffixAutomaton:
+    automaton = _BUILT.pop(key, None) or SuffixAutomaton(block.value, window)
+    _BUILT[key] = automaton
+    if len(_BUILT) > MOST_BUILT:
+        del _BUILT[next(iter(_BUILT))]
+    return automaton
 
-    Items without words are left out. An item without an id has the empty string.
-    """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(size // block_bytes) + 1
-    parts = [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
-    return [[(r.item, folded_words(bytes(r.text))) for r in part.toLocalIterator()] for part in parts]
 
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Item ids (as strings) and words, in blocks of about block_bytes, one at a time.
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = (), with_text: bool = False) -> DataFrame:
+    Items without words are left out. Equal items are one.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).filter("text is not null").distinct()
+    block, size = [], 0
+    for r in items.toLocalIterator():
+        if words := folded_words(bytes(r.text)):
+            block.append((r.item, words))
+            size += len(r.text)
+            if size >= block_bytes:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """Words of documents within windows of benchmark items.
 
-    docs needs doc_id and text, benchmark item_id and text; other columns are left out but those in keep.
-    Null or empty text has no words and is never contaminated; an empty benchmark hits nothing; a null
-    item_id hits but is in no list. Every row gives one row, so repeated rows give repeated results. An
-    item given twice counts once. Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
-    spans (array of structs from, to: hit words), items (array of item ids as strings, sorted),
-    with with_text the text, and the columns in keep.
+    docs needs doc_id and text, benchmark item_id and text; with carry all columns of docs come along in the
+    struct carried_row, else other columns are left out. Null or empty text has no words and is never
+    contaminated; an empty benchmark hits nothing. An item_id that is null hits, but is no item of n_items
+    or the list. Every row gives one row, so repeated rows give repeated results. An item given twice
+    counts once. Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (hit words, as
+    from-to, comma-joined), items (item ids as strings, sorted, comma-joined).
     """
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    span = "array<struct<`from`:int,`to`:int>>"
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"kept_{c}") for c in keep))
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[2:])
-    found = plain.withColumns({"spans": F.array().cast(span), "items": F.array().cast("array<string>")})
-    for block in blocks_of(benchmark, block_bytes):
-        shared, key = sc.broadcast(block), uuid.uuid4().hex
-
-        def add(doc_id, text, *rest, shared=shared, key=key):
-            if key not in _BUILT:
-                _BUILT.clear()
-                _BUILT[key] = SuffixAutomaton(shared.value, window)
-            *others, spans, items = rest
-            new_spans, new_items = [], []
-            for t, s, i in zip(text, spans, items, strict=True):
-                hit, of = _BUILT[key].matches(folded_words(t.encode() if t else None))
-                new_spans.append([{"from": a, "to": b} for a, b in (merged([*hit, *((x["from"], x["to"]) for x in s)]) if s else hit)])
-                new_items.append(sorted({*i, *of}))
-            return [doc_id, text, *others, new_spans, new_items]
-
-        found = map_rows(found, add, f"doc_id long, text string{kept}, spans {span}, items array<string>")
-
-    def digest(doc_id, text, *rest):
-        *others, spans, items = rest
-        n_words = [len(folded_words(t.encode() if t else None)) for t in text]
-        n_hit = [sum(s["to"] - s["from"] for s in x) for x in spans]
-        named = [[i for i in x if i] for x in items]
-        return [doc_id, n_words, n_hit, [len(x) for x in items], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], spans, named, *([text] if with_text else []), *others]
-
-    out = map_rows(found, digest, f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {span}, items array<string>{', text string' * with_text}{kept}")
-    return out.withColumnsRenamed({f"kept_{c}": c for c in keep})
+    sc = docs.sparkSession.sparkContext
+    run_id = uuid.uuid4().hex
+    blocks = [(f"{run_id}-{k}", sc.broadcast(block)) for k, block in enumerate(blocks_of(benchmark, block_bytes))]
+
+    def run(doc_id, text):
+        words = [folded_words(t) for t in text]
+        spans: list[list[Span]] = [[] for _ in words]
+        items: list[set[str | None]] = [set() for _ in words]
+        for key, block in blocks:
+            automaton = built(key, block, window)
+            for w, s, i in zip(words, spans, items, strict=True):
+                hit, of = automaton.matches(w)
+                s += hit
+                i |= of
+        spans = [merged(s) for s in spans]
+        n_hit = [sum(b - a for a, b in s) for s in spans]
+        named = [sorted(x for x in i if x is not None) for i in items]
+        lists = [",".join(x) for x in named]
+        return [
+            doc_id, [len(w) for w in words], n_hit, [len(x) for x in named], [hashlib.sha256(x.encode()).hexdigest() for x in lists],
+            [h > 0 and 20 * h >= len(w) for h, w in zip(n_hit, words, strict=True)], [",".join(f"{a}-{b}" for a, b in s) for s in spans], lists,
+        ]
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carrying(docs, carry))
+    return map_rows(plain, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string, items string", rows=256 if len(blocks) <= MOST_BUILT else ROWS_OF_A_PASS)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""
@@ -214,9 +227,13 @@ sizes AS (SELECT DISTINCT k FROM item_window),
 doc_window AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM words, sizes WHERE len(w) >= k)),
 hit AS (SELECT doc_id, d.k, p, item_id FROM doc_window d JOIN item_window i ON d.k = i.k AND d.g = i.g),
-covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT doc_id, k, p FROM hit)) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+word AS (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT doc_id, k, p FROM hit)),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM word GROUP BY doc_id),
+stretch AS (SELECT doc_id, min(q) - 1 AS lo, max(q) AS hi FROM (SELECT doc_id, q, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS r FROM word) GROUP BY doc_id, r),
+span AS (SELECT doc_id, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS spans FROM stretch GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(spans, '') AS spans, coalesce(ids, '') AS items
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN span USING (doc_id)
 """
