@@ -2,13 +2,14 @@
 
 Rules are regular expressions over a text's lower-cased words joined by spaces. A keyword automaton looks
 for the rules' keywords first, and only rules whose keyword occurs are tried. Detections are then taken by
-priority; one that lies within a detection already taken is suppressed.
+priority; one that lies within a detection already taken is suppressed. Rules are written by hand, one a
+line, or for families of licenses made from their names and versions.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import cache
 from itertools import product
 from typing import NamedTuple
@@ -45,6 +46,158 @@ def _rule(priority: int, label: str, keyword: str, pattern: str, weight: float)
     return Rule(priority, label, keyword, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), weight)
 
 
+#: Words that make a bare name and number a license.
+UNDER = r"(?:under|licen[cs]ed?|terms of|conditions of|license identifier)(?: the)?(?: terms of)?(?: the)?(?: gnu)? "
+LICENSED = r"licen[cs](?:es?|ed|ing)"
+
+#: Hand-written signatures, one a line: label | keyword | pattern | priority | weight. The pattern matches whole words.
+SIGNATURES = r"""
+bsd | bsd license | (?:the )?bsd license | 58 | 0.7
+bsd | bsd licence | (?:the )?bsd licence | 58 | 0.7
+bsd | bsd licensed | bsd licensed | 58 | 0.7
+bsd | bsd style | bsd style licen[cs]ed? | 57 | 0.6
+bsd | bsd copyright | bsd copyright (?:notice|terms) | 57 | 0.6
+bsd | berkeley software distribution | berkeley software distribution(?: licen[cs]e)? | 57 | 0.6
+bsd-2-clause | 2 clause bsd | 2 clause bsd | 54 | 0.8
+bsd-2-clause | two clause bsd | two clause bsd(?: licen[cs]e)? | 54 | 0.8
+bsd-2-clause | bsd two clause | bsd two clause(?: licen[cs]e)? | 54 | 0.8
+bsd-3-clause | 3 clause bsd | 3 clause bsd | 54 | 0.8
+bsd-3-clause | three clause bsd | three clause bsd(?: licen[cs]e)? | 54 | 0.8
+bsd-3-clause | bsd three clause | bsd three clause(?: licen[cs]e)? | 54 | 0.8
+bsd-3-clause-clear | clear bsd | (?:3 clause )?clear bsd(?: licen[cs]e)? | 50 | 0.9
+bsd-3-clause-clear | no express or implied licenses | no express or implied licenses to any party s patent rights are granted | 20 | 0.9
+bsd-4-clause | advertising materials mentioning | all advertising materials mentioning features or use of this software must display | 16 | 0.95
+bsd-3-clause | endorse or promote products | may be used to endorse or promote products derived from this software without specific prior written permission | 19 | 0.8
+bsd | redistributions of source code | redistributions of source code must retain the (?:above|accompanying) copyright notice | 25 | 0.8
+bsd | redistributions in binary form | redistributions in binary form must reproduce the above copyright notice | 25 | 0.8
+bsd-1-clause | bsd 1 clause | bsd 1 clause(?: licen[cs]e)? | 54 | 0.8
+mit | mit licensed | mit licensed | 56 | 0.7
+mit | massachusetts institute | massachusetts institute of technology licen[cs]e | 56 | 0.7
+mit | opensource org licenses mit | opensource org licenses mit(?: license)?(?: php| html)? | 20 | 1.0
+mit | above copyright notice and this permission | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software | 18 | 0.9
+mit | mit x11 | mit x11(?: licen[cs]e)? | 54 | 0.8
+mit-0 | mit no attribution | mit no attribution(?: licen[cs]e)? | 30 | 0.95
+mit-0 | mit 0 | spdx license identifier mit 0 | 21 | 1.0
+isc | opensource org licenses isc | opensource org licenses isc(?: license)? | 20 | 1.0
+isc | isc licensed | isc licensed | 56 | 0.7
+apache-2 | apache 2 | apache 2 0 licen[cs]ed? | 40 | 0.8
+apache-2 | apache 2 | apache 2 licen[cs]ed? | 40 | 0.8
+apache-2 | apache v2 | apache v2(?: 0)?(?: licen[cs]e)? | 40 | 0.8
+apache-2 | alv2 | alv2 | 60 | 0.5
+apache-2 | asl 2 | (?:under|licen[cs]ed?|the) asl 2(?: 0)? | 60 | 0.6
+apache-2 | you may not use this file except | you may not use this file except in compliance with the license you may obtain a copy of the license at | 30 | 0.7
+apache-2 | opensource org licenses apache | opensource org licenses apache(?: license)? 2 0 | 20 | 1.0
+apache-1.1 | developed by the apache software foundation | this product includes software developed by the apache software foundation | 30 | 0.8
+gpl | gpl licensed | gpl licensed | 62 | 0.6
+gpl | the gpl | (?:under|of) the gpl | 62 | 0.6
+gpl | gnu gpl | gnu gpl | 63 | 0.6
+gpl | gnu org licenses gpl | gnu org licenses gpl(?: html| txt| en html)? | 60 | 0.7
+gpl-2-or-later | redistribute it and or modify | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version | 8 | 1.0
+gpl-3-or-later | redistribute it and or modify | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version | 8 | 1.0
+gpl-2-with-classpath-exception | classpath exception | (?:gpl|general public license) ?(?:version |v ?)?2(?: 0)? (?:only )?with (?:the )?classpath exception | 9 | 1.0
+gpl-2-with-classpath-exception | link this library with independent modules | permission to link this library with independent modules to produce an executable | 20 | 0.8
+gpl-3-with-gcc-exception | gcc runtime library exception | gcc runtime library exception(?: version 3 1)? | 20 | 0.9
+gpl-3-with-autoconf-exception | autoconf exception | autoconf exception | 20 | 0.9
+gpl-2-with-bison-exception | bison parser skeleton | you may create a larger work that contains part or all of the bison parser skeleton | 20 | 0.9
+gpl-2-with-linux-syscall-note | linux syscall note | with linux syscall note | 20 | 1.0
+lgpl | the lgpl | (?:under|of) the lgpl | 62 | 0.6
+lgpl | gnu lgpl | gnu lgpl | 63 | 0.6
+lgpl | lgpl licensed | lgpl licensed | 62 | 0.6
+agpl | the agpl | (?:under|of) the agpl | 62 | 0.6
+agpl | gnu agpl | gnu agpl | 63 | 0.6
+mpl-2.0 | mozilla org mpl 2 0 | mozilla org mpl 2 0 | 18 | 1.0
+mpl-2.0 | this source code form is subject to | this source code form is subject to the terms of the mozilla public license v 2 0 | 10 | 1.0
+mpl-2.0-no-copyleft-exception | incompatible with secondary licenses | this source code form is incompatible with secondary licenses | 10 | 1.0
+mpl-1.1 | mozilla org mpl mpl 1 1 | mozilla org mpl mpl 1 1(?: html)? | 18 | 1.0
+mpl | mpl licensed | mpl licensed | 62 | 0.6
+epl-1.0 | eclipse org legal epl v10 | eclipse org legal epl v10(?: html)? | 18 | 1.0
+epl-2.0 | eclipse org legal epl 2 0 | eclipse org legal epl 2 0 | 18 | 1.0
+edl-1.0 | eclipse distribution | eclipse distribution licen[cs]e(?: version| v)?(?: 1 0)? | 20 | 0.9
+cddl-1.0 | opensource org licenses cddl | opensource org licenses cddl 1 0 | 18 | 1.0
+ipl-1.0 | ibm public | ibm public licen[cs]e(?: version| v)?(?: 1 0)? | 20 | 0.9
+spl-1.0 | sun public | sun public licen[cs]e(?: version| v)?(?: 1 0)? | 20 | 0.9
+apsl-2.0 | apple public source | apple public source licen[cs]e(?: version| v)?(?: 2 0)? | 20 | 0.9
+npl-1.1 | netscape public | netscape public licen[cs]e(?: version| v)?(?: 1 1)? | 20 | 0.9
+artistic-2.0 | artistic 2 | (?:under|licen[cs]ed?|the) artistic 2(?: 0)? | 40 | 0.7
+artistic-2.0 | artistic 2 | artistic 2(?: 0)? | 66 | 0.4
+artistic | same terms as perl | (?:under )?the same terms as perl(?: itself)? | 30 | 0.7
+artistic-perl | perl 5 | same terms as the perl 5 programming language system itself | 20 | 0.9
+cc0-1.0 | waived all copyright | (?:has|have) waived all copyright and related or neighboring rights | 20 | 0.9
+cc0-1.0 | no copyright reserved | no copyright reserved | 70 | 0.4
+unlicense | unlicense org | unlicense org | 18 | 1.0
+unlicense | the unlicense | (?:under )?the unlicense | 30 | 0.9
+wtfpl | wtfpl net | (?:www )?wtfpl net | 20 | 0.9
+beerware | beerware | beerware(?: licen[cs]e)?(?: revision 42)? | 20 | 0.9
+beerware | buy me a beer | you can buy me a beer in return | 20 | 0.8
+jsonlicense | good not evil | the software shall be used for good not evil | 10 | 1.0
+zlib | zlib licensed | zlib licensed | 56 | 0.7
+zlib | altered source versions | altered source versions must be plainly marked as such and must not be misrepresented | 20 | 0.9
+libpng | png reference library | png reference library licen[cs]e(?: version 2)? | 20 | 0.9
+openssl | openssl project | developed by the openssl project for use in the openssl toolkit | 16 | 1.0
+ssleay | eric young | (?:includes )?cryptographic software written by eric young | 20 | 0.9
+icu | icu | icu licen[cs]e | 30 | 0.9
+unicode | unicode data files | unicode data files and (?:any associated documentation|software) | 40 | 0.6
+unicode | unicode | unicode licen[cs]e agreement | 20 | 0.9
+w3c | w3c software | w3c software (?:and document )?(?:notice and )?licen[cs]e | 20 | 0.9
+python-2.0 | psf | psf licen[cs]e agreement(?: for python)? | 20 | 0.9
+python-2.0 | python | python licen[cs]e(?: version)? 2(?: 0)? | 30 | 0.8
+ruby | same terms as ruby | the same terms as ruby(?: itself)? | 30 | 0.8
+ruby | ruby s | ruby s licen[cs]e | 30 | 0.8
+php-3.01 | php net license | php net license 3 01(?: txt)? | 18 | 1.0
+vim | vim | vim licen[cs]e | 30 | 0.9
+tcl | tcl tk | tcl tk licen[cs]e | 30 | 0.9
+qpl-1.0 | q public | q public licen[cs]e(?: version)?(?: 1 0)? | 20 | 0.9
+sleepycat | sleepycat | sleepycat licen[cs]e | 20 | 0.9
+ntp | university of delaware makes no representations | university of delaware makes no representations about the suitability this software | 20 | 0.9
+hpnd | historical permission notice | historical permission notice and disclaimer | 20 | 0.9
+hpnd | permission to use copy modify and distribute | permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted | 20 | 0.8
+ftl | freetype | freetype (?:project )?licen[cs]e | 20 | 0.9
+ijg | independent jpeg group | this software is based in part on the work of the independent jpeg group | 20 | 0.9
+imagemagick | imagemagick | imagemagick licen[cs]e | 20 | 0.9
+ogl-3.0 | open government | open government licen[cs]e(?: version| v)?(?: 3 0)? | 20 | 0.9
+odbl-1.0 | opendatacommons org licenses odbl | opendatacommons org licenses odbl(?: 1 0)? | 18 | 1.0
+odc-by-1.0 | opendatacommons org licenses by | opendatacommons org licenses by(?: 1 0)? | 18 | 1.0
+pddl-1.0 | public domain dedication and | (?:open data commons )?public domain dedication and licen[cs]e | 18 | 0.95
+cdla-permissive-2.0 | community data | community data licen[cs]e agreement permissive(?: version)? 2 0 | 18 | 0.95
+cdla-sharing-1.0 | community data | community data licen[cs]e agreement sharing(?: version)? 1 0 | 18 | 0.95
+ofl-1.1 | scripts sil org | scripts sil org ofl | 20 | 0.9
+ubuntu-font | ubuntu font | ubuntu font licen[cs]e(?: version)?(?: 1 0)? | 20 | 0.9
+sspl-1.0 | server side public | server side public licen[cs]e(?: version| v)?(?: 1)? | 18 | 0.95
+busl-1.1 | business source | business source licen[cs]e(?: version)?(?: 1 1)? | 18 | 0.95
+elastic-2.0 | elastic | elastic licen[cs]e(?: version| v)?(?: ?2 0)? | 30 | 0.9
+commons-clause | commons clause | commons clause(?: licen[cs]e)?(?: condition)?(?: v1 0)? | 20 | 0.9
+polyform-noncommercial-1.0 | polyform noncommercial | polyform noncommercial licen[cs]e(?: 1 0 0)? | 20 | 0.95
+bigscience-openrail-m | openrail | (?:bigscience |creativeml )?openrail(?: m|m)?(?: licen[cs]e)? | 40 | 0.7
+llama-community | llama | llama (?:2 |3 |3 1 )?community licen[cs]e(?: agreement)? | 30 | 0.9
+nvidia-eula | nvidia software | nvidia software licen[cs]e(?: agreement)? | 30 | 0.8
+blueoak-1.0.0 | blue oak model | blue oak model licen[cs]e(?: 1 0 0)? | 20 | 0.95
+mulan-psl-2.0 | mulan permissive software | mulan permissive software licen[cs]e(?: version| v)? ?2? | 20 | 0.95
+eupl | joinup ec europa eu | joinup ec europa eu (?:software|collection) (?:page )?eupl | 30 | 0.8
+postgresql | in no event shall the university of california | in no event shall the university of california be liable to any party for direct indirect | 30 | 0.7
+cecill-b | cecill b | cecill b(?: free software licen[cs]e agreement)? | 25 | 0.9
+cecill-c | cecill c | cecill c(?: free software licen[cs]e agreement)? | 25 | 0.9
+gfdl | permission is granted to copy distribute and or modify this document | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license | 16 | 0.95
+public-domain | in the public domain | (?:work|code|file|text|software|image) (?:is|was|are) in the public domain | 70 | 0.6
+public-domain | no known copyright restrictions | no known copyright restrictions | 60 | 0.7
+public-domain | dedicate any and all copyright interest | dedicate any and all copyright interest in the software to the public domain | 16 | 0.95
+all-rights-reserved | copyright all rights | copyright all rights reserved | 79 | 0.4
+proprietary | unauthorized copying of this file | unauthorized copying of this file via any medium is strictly prohibited | 20 | 0.95
+proprietary | trade secrets | (?:contains|constitutes?) (?:the )?(?:valuable )?trade secrets | 60 | 0.6
+proprietary | reproduced | may not be (?:copied or )?reproduced (?:or distributed )?(?:in any form )?without (?:the )?(?:prior )?(?:express )?written permission | 60 | 0.6
+proprietary | end user | end user licen[cs]e agreement | 65 | 0.5
+non-commercial | non commercial use only | (?:for )?non commercial use only | 65 | 0.6
+non-commercial | personal use only | (?:for )?personal use only | 66 | 0.4
+research-only | purposes only | (?:for )?(?:academic|research)(?: and educational)? purposes only | 65 | 0.6
+freeware | freeware | (?:distributed|released|available) as freeware | 65 | 0.5
+shareware | shareware | (?:distributed|released|available) as shareware | 65 | 0.5
+"""
+
+
+def _written() -> list[Rule]:
+    lines = [[x.strip() for x in line.split(" | ")] for line in SIGNATURES.strip().splitlines()]
+    return [_rule(int(priority), label, keyword, pattern, float(weight)) for label, keyword, pattern, priority, weight in lines]
+
+
 def _gnu() -> list[Rule]:
     names = {"gpl": "gnu general public", "lgpl": "gnu (?:lesser|library) general public", "agpl": "gnu affero general public", "gfdl": "gnu free documentation"}
     versions = {"gpl": ("1", "2", "3"), "lgpl": ("2", "2 1", "3"), "agpl": ("1", "3"), "gfdl": ("1 1", "1 2", "1 3")}
@@ -58,9 +211,11 @@ def _gnu() -> list[Rule]:
                 _rule(10, f"{tag}-or-later", keyword, rf"{name} licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version|v) {v_end} (?:of the licen[cs]e )?or (?:\(at your option\) |at your option )?any later(?: version)?", 1.0),
                 _rule(20, tag, keyword, rf"{name} licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version|v) ?{v_end}", 0.95),
                 _rule(20, tag, keyword, rf"version {v_end} of the {name} licen[cs]e", 0.95),
-                _rule(30, f"{tag}-or-later", short, rf"{short} ?v?{v_end} or later", 0.9),
-                _rule(31, f"{tag}-only", short, rf"{short} ?v?{v_end} only", 0.9),
-                _rule(40, tag, short, rf"{short} ?(?:version )?v? ?{v_end}", 0.8),
+                _rule(30, f"{tag}-or-later", short, rf"{short} ?v? ?{v_end} or (?:any )?later", 0.9),
+                _rule(31, f"{tag}-only", short, rf"{short} ?v? ?{v_end} only", 0.9),
+                _rule(40, tag, short, rf"{short}(?: version | ?v ?){v_end}", 0.8),
+                _rule(41, tag, short, rf"{UNDER}{short} ?{v_end}", 0.8),
+                _rule(42, tag, short, rf"{short} ?{v_end} {LICENSED}", 0.8),
                 _rule(25, tag, "www gnu org", rf"www gnu org licenses (?:old licenses )?{short} {v_end}(?: html| txt)?", 0.9),
             ]
         out.append(_rule(60, short, keyword, rf"{name} licen[cs]e", 0.7))
@@ -116,7 +271,9 @@ def _versioned() -> list[Rule]:
             out += [
                 _rule(20, label, keyword, rf"{name} (?:version |v ?)?{v}", 0.95),
                 _rule(21, label, short.replace("-", " "), rf"spdx license identifier {short.replace('-', ' ')} {v}", 1.0),
-                _rule(40, label, short.replace("-", " "), rf"{short.replace('-', ' ')} (?:licen[cs]e )?v?{v}", 0.7),
+                _rule(40, label, short.replace("-", " "), rf"{short.replace('-', ' ')} (?:licen[cs]e (?:version |v ?)?|version |v ?){v}", 0.7),
+                _rule(41, label, short.replace("-", " "), rf"{UNDER}{short.replace('-', ' ')} {v}", 0.7),
+                _rule(42, label, short.replace("-", " "), rf"{short.replace('-', ' ')} {v} {LICENSED}", 0.7),
             ]
         out.append(_rule(60, short, keyword, name, 0.6))
     return out
@@ -157,7 +314,7 @@ def _permissive() -> list[Rule]:
 @cache
 def rules() -> list[Rule]:
     """All rules by priority; ties in the order written."""
-    return sorted([*_gnu(), *_creative_commons(), *_versioned(), *_permissive()], key=lambda r: r.priority)
+    return sorted([*_written(), *_gnu(), *_creative_commons(), *_versioned(), *_permissive()], key=lambda r: r.priority)
 
 
 @cache
@@ -172,14 +329,26 @@ def _gate() -> tuple[ahocorasick.Automaton, list[Rule]]:
     return gate, ordered
 
 
-#: One of these stands in any text that a rule can match; a plain search is much faster than the automaton.
-HINTS = (b"licen", b"gpl", b"cc by", b"cc0", b"creative", b"gnu org", b"rights reserved", b"public domain", b"permission", b"redistribution", b"neither the name", b"unencumbered", b"apache", b"mpl ", b"epl ", b"cddl ", b"cpl ", b"eupl ", b"artistic ", b"bsl ", b"osl ", b"afl ", b"ofl ", b"odbl ", b"odc by", b"zpl ", b"php ", b"ecl ", b"cecill ", b"upl ", b"lppl ", b"gfdl", b"as is without", b"what the fuck", b"proprietary")
+#: Words of keywords that stand in most of them; the others' keywords are looked for as they are.
+USUAL = ("licen", "gpl", "creative commons", "cc by", "public domain", "permission")
+
+
+@cache
+def hints() -> list[bytes]:
+    """One of these stands in any text that a rule can match; a plain search is much faster than the automaton."""
+    keys = sorted({r.keyword for r in rules()}, key=len)
+    short = [*USUAL]
+    for k in keys:
+        if not any(h in k for h in short):
+            short.append(f" {k} " if len(k) <= 4 and k != "gfdl" and " " not in k else k)  # whole words in all their rules
+    return [h.encode() for h in short]
 
 
 def detect(words: list[bytes], hinted: bytes | None = None) -> list[Found]:
     """Detections that remain, in the order of the words; positions count words, both ends included."""
     joined = b" ".join(words) if hinted is None else hinted
-    if not any(h in joined for h in HINTS):
+    spaced = b" %b " % joined
+    if not any(h in spaced for h in hints()):
         return []
     text = joined.decode("utf-8", "replace")
     gate, ordered = _gate()
@@ -191,11 +360,17 @@ def detect(words: list[bytes], hinted: bytes | None = None) -> list[Found]:
         starts.append(at)
         at += len(w) + 1
     hits = [(r.priority, m.start() - m.end(), m.start(), i, m.end()) for i in tried for r in [ordered[i]] for m in r.pattern.finditer(text)]
-    taken: list[tuple[int, int, Found]] = []
+    taken: list[Found] = []
+    begins: list[int] = []  # of the taken ones, those that lie within no other, by place: so their ends rise too
+    ends: list[int] = []
     for priority, _, lo, i, hi in sorted(hits):
-        if not any(a <= lo and hi <= b for a, b, _ in taken):
-            taken.append((lo, hi, Found(ordered[i].label, bisect_right(starts, lo) - 1, bisect_right(starts, hi - 1) - 1, ordered[i].weight, priority)))
-    return sorted((f for _, _, f in taken), key=lambda f: (f.first, f.last, f.label))
+        k = bisect_right(begins, lo)
+        if k and ends[k - 1] >= hi:
+            continue
+        taken.append(Found(ordered[i].label, bisect_right(starts, lo) - 1, bisect_right(starts, hi - 1) - 1, ordered[i].weight, priority))
+        a, b = bisect_left(begins, lo), bisect_right(ends, hi)  # those within the new one
+        begins[a : max(a, b)], ends[a : max(a, b)] = [lo], [hi]
+    return sorted(taken, key=lambda f: (f.first, f.last, f.label))
 
 
 def base_places(words: list[bytes], joined: bytes) -> list[tuple[int, str]]:
@@ -239,4 +414,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+    return scan_licenses(table(spark, sf_dir, "documents"))
