@@ -1,16 +1,18 @@
 """Meeting places for equal windows of text, and their shards.
 
 A window is a fixed number of consecutive units (words or bytes) of one document. Each window has an
-anchor: of the grams in it the leftmost with the lowest hash. Equal windows have equal anchors, so that
-a window can occur again only where its anchor does. Consecutive windows with equal anchors make a run.
+anchor: one of the grams in it, chosen by hashes alone, so that equal windows have equal anchors and a
+window can occur again only where its anchor does. Consecutive windows with equal anchors make a run.
 
 1. Runs are drawn from each text (`runs_of`): one row for the anchor's hash, its document and place.
-2. Runs whose anchor stands nowhere else are dropped. Grams that are frequent in a sample of documents
-   get the highest hashes, so that they anchor only windows made of such grams alone; such runs are
-   kept without gathering them by anchor. So no anchor holds a large share of the rows.
-3. The texts of the other runs are cut out. Equal ones are counted once, with the smallest document.
+2. Runs whose anchor stands nowhere else are dropped; anchors are counted before rows of one meet.
+3. The texts of the other runs are cut out. Equal ones are counted once within a task, then once at all.
 4. Runs go to shards by anchor; shards of a bounded size are indexed, and each run's windows searched.
 5. Results go back to every run of the same text, and then to the documents.
+
+No anchor gathers a large share of the rows. Grams that are frequent in a sample of documents anchor only
+windows made of such grams alone, which are few different texts, however often they stand. Runs of an anchor
+that many runs have nevertheless are cut into parts and dealt out by nearly all of what stands there.
 """
 
 from __future__ import annotations
@@ -22,33 +24,41 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column_values, identified, map_rows, plain_words, ship, spread, struct_of
+from .common import CARRIED, carrying, column_values, identified, map_rows, plain_words, scratch, ship, spread, struct_of
 
 #: Share of rows in which frequent grams are counted. It steers only which gram of a window is its anchor, never which windows are found.
-SAMPLE, SEED = 0.05, 7
-#: Grams that count as frequent at most, and their least count in the sample.
-MOST_FREQUENT, LEAST_FREQUENT = 20_000, 25
+SAMPLE, SEED = 0.02, 7
+#: Grams that count as frequent at most, and the documents of the sample that must hold them.
+MOST_FREQUENT, LEAST_FREQUENT = 20_000, 20
+#: Runs of an anchor from which on they are dealt out by what stands there, in parts of so many to a string's length.
+HOT, PARTS = 1_000, 16
 #: Bits of a position within a piece of text; longer texts are taken in pieces.
 PLACE = 24
 #: Windows of one run at most.
 LONGEST = 1024
-#: Bytes of distinct run texts in one shard.
-SHARD_BYTES = 1 << 20
+#: Bytes of distinct run texts in one shard, and of those that a task holds to count equal ones.
+SHARD_BYTES, COMBINED_BYTES = 1 << 20, 8 << 20
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BYTE_HASHES = spread(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER)
 
 
 class Units(NamedTuple):
-    """What windows are made of. by_document: a window must occur in another document, not only elsewhere."""
+    """What windows are made of.
+
+    by_document: a window must occur in another document, not only elsewhere. reach: units that are cut
+    out from each window's start on, the window's or more. sparse: one gram of so many (a power of 2) is
+    preferred as anchor, so that only these need be counted.
+    """
 
     words: bool
     window: int
     gram: int
     by_document: bool
+    reach: int = 0
+    sparse: int = 1
 
     def hashes(self, text: bytes) -> np.ndarray:
         if not self.words:
@@ -109,7 +119,8 @@ def text_runs(text: bytes, units: Units, frequent: Frequent) -> Iterator[tuple[n
     grams = units.grams(h)
     wide = units.window - units.gram + 1
     often = frequent.holds(grams)
-    rank = (spread(grams ^ MULTIPLIER) >> np.uint64(PLACE + 1)) | (often.astype(np.uint64) << np.uint64(63 - PLACE))
+    level = np.where(grams & np.uint64(units.sparse - 1) != 0, np.uint64(2), often.astype(np.uint64))  # what isn't counted comes last
+    rank = spread(grams ^ MULTIPLIER) >> np.uint64(PLACE + 2) | level << np.uint64(62 - PLACE)
     piece = (1 << PLACE) - wide
     for lo in range(0, len(h) - units.window + 1, piece):
         part = rank[lo : lo + piece + wide - 1]
@@ -123,11 +134,11 @@ def text_runs(text: bytes, units: Units, frequent: Frequent) -> Iterator[tuple[n
             first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
             n = np.diff(np.append(first, len(at)))
         several = (at[first] != at[first + n - 1]).astype(np.int8)
-        yield anchor[first].view(np.int64), first + lo, n, np.where(often[at[first]], np.int8(FREQUENT), several)
+        yield anchor[first].view(np.int64), first + lo, n, several
 
 
-#: Kinds of runs: with one anchor, with equal anchors in several places, with a frequent anchor.
-ONE, SEVERAL, FREQUENT = range(3)
+#: Kinds of runs: with one anchor, with equal anchors in several places.
+ONE, SEVERAL = range(2)
 #: A run's first window, number of windows and kind are one number: two bits for the kind, PLACES for the windows.
 PLACES = 11
 RUNS = "uid long, g long, place long"
@@ -135,129 +146,204 @@ RUNS = "uid long, g long, place long"
 
 def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
     """One row for each run of each text."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    known: list[Frequent] = []
 
-    def run(uid, text, *_):
-        known = Frequent(frequent)
+    def run(uid, text):
+        if not known:
+            known.append(Frequent(shared.value))
         out: list[list[np.ndarray]] = [[] for _ in range(3)]
         for u, t in zip(uid, text, strict=True):
-            for g, start, n, kind in text_runs(t or b"", units, known):
+            for g, start, n, kind in text_runs(t or b"", units, known[0]):
                 for column, values in zip(out, (np.full(len(g), u, np.int64), g, (start << PLACES | n) << 2 | kind), strict=True):
                     column.append(values)
         return [np.concatenate(c) if c else [] for c in out]
 
-    return map_rows(rows.select("uid", "text", "doc_id", "ord"), run, RUNS, as_bytes=True)
+    return map_rows(rows.select("uid", "text"), run, RUNS, as_bytes=True)
 
 
 def frequent_grams(rows: DataFrame, units: Units) -> np.ndarray:
-    """Hashes of the most frequent anchors in a sample of the rows, at most MOST_FREQUENT."""
-    counts = runs_of(rows.sample(SAMPLE, SEED), units, np.zeros(0, np.uint64)).groupBy("g").count().filter(F.col("count") >= LEAST_FREQUENT)
+    """Hashes of the grams that most documents of a sample hold, of all that are preferred as anchors; at most MOST_FREQUENT."""
+
+    def run(text):
+        held = []
+        for t in text:
+            grams = units.grams(h) if len(h := units.hashes(t or b"")) >= units.gram else np.zeros(0, np.uint64)
+            held.append(np.unique(grams[grams & np.uint64(units.sparse - 1) == 0]))
+        return [np.concatenate(held).view(np.int64)]
+
+    counts = map_rows(rows.sample(SAMPLE, SEED).select("text"), run, "g long", as_bytes=True).groupBy("g").count().filter(F.col("count") >= LEAST_FREQUENT)
     found = counts.orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).collect()
     return np.array([r.g for r in found], np.int64).view(np.uint64)
 
 
-def content_key(content: bytes) -> bytes:
-    """96 bits of a run's text, by which results find their way back."""
-    return xxhash.xxh3_128_digest(content)[:12]
+def content_key(content: bytes, windows: int) -> bytes:
+    """96 bits of a run's text and number of windows, by which results find their way back."""
+    return xxhash.xxh3_128_digest(content, seed=windows)[:12]
 
 
-def cut(text: bytes, units: Units, starts: list[int], ns: list[int]) -> list[bytes]:
-    """Texts of runs; words are joined by one space."""
-    if not units.words:
-        return [text[s : s + n + units.window - 1] for s, n in zip(starts, ns, strict=True)]
-    own = plain_words(text)
-    return [b" ".join(own[s : s + n + units.window - 1]) for s, n in zip(starts, ns, strict=True)]
+def parts_of(h: np.ndarray, units: Units, g: int, n: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """Parts (from, to, group) of the first n windows of a run whose anchor is hot, by what stands there. h: unit hashes from the run's first window on.
+
+    Windows are parted by their distance to their anchor, the leftmost gram of that hash. A part's group is
+    a hash of the units that all strings of `length` from its windows have in common, nearly the whole
+    strings: equal ones meet, and unlike ones with the same anchor hardly ever do.
+    """
+    step = max(1, length // PARTS)
+    lo = 0
+    for a in np.flatnonzero(units.grams(h[: n + units.window - 1]) == np.int64(g).view(np.uint64)).tolist():
+        hi = min(n, a + 1)
+        while lo < hi:
+            nearest = a - (a - lo) // step * step  # the last start of this part, were the run long enough
+            end = min(hi, nearest + 1)
+            yield lo, end, xxhash.xxh3_64_intdigest(h[nearest : nearest - step + 1 + length].tobytes(), seed=length << 16 | (a - lo) // step)
+            lo = end
 
 
-def run_texts(joined: DataFrame, units: Units, with_content: bool) -> DataFrame:
-    """The runs of each text with a digest of their content, and the content itself if asked for."""
+def cut(text: bytes, units: Units, runs: list[dict]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(group, length, first window, number of windows, content) of the runs of a text; words are joined by one space.
 
-    def run(uid, _, ord_, text, runs):
-        out: list[list] = [[] for _ in range(6)]
-        for u, o, t, own in zip(uid, ord_, text, runs, strict=True):
-            places = [r["place"] >> 2 for r in own]
-            starts = [p >> PLACES for p in places]
-            contents = cut(t, units, starts, [p & ((1 << PLACES) - 1) for p in places])
-            for column, values in zip(out, ([u] * len(own), [o] * len(own), starts, [r["g"] for r in own], [content_key(c) for c in contents], contents), strict=True):
-                column += values
-        return out if with_content else out[:5]
+    A content holds the strings of reach that start in its windows. Runs of a hot anchor are cut for each length apart.
+    """
+    own = plain_words(text) if units.words else text
+    for r in runs:
+        place = r["place"] >> 2
+        start, n = place >> PLACES, place & ((1 << PLACES) - 1)
+        parts = [(0, n, r["g"], units.reach)]
+        if r["hot"]:
+            piece = own[start : start + n + units.reach - 1]
+            h = units.hashes(b" ".join(piece) if units.words else piece)
+            parts = [(lo, hi, g, length) for length in sorted({units.window, units.reach}) for lo, hi, g in parts_of(h, units, r["g"], min(n, len(h) - length + 1), length)]
+        for lo, hi, group, length in parts:
+            content = own[start + lo : start + hi + length - 1]
+            yield group, length, start + lo, hi - lo, b" ".join(content) if units.words else content
+
+
+def whole_rows(joined: DataFrame) -> DataFrame:
+    """All columns of texts with their runs, so that their shuffle is one."""
+    return joined.select("uid", "doc_id", "ord", "text", "runs", *(F.col(c).alias("along") for c in joined.columns if c == CARRIED))
+
+
+def run_keys(joined: DataFrame, units: Units) -> DataFrame:
+    """Each run's document, first window and a digest of its content."""
+
+    def run(uid, doc_id, ord_, text, runs, *_):
+        out: list[list] = [[] for _ in range(3)]
+        for u, t, own in zip(uid, text, runs, strict=True):
+            for _, _, start, n, content in cut(t, units, own):
+                for column, value in zip(out, (u, start, content_key(content, n)), strict=True):
+                    column.append(value)
+        return out
 
-    return map_rows(joined.select("uid", "doc_id", "ord", "text", "runs"), run, "uid long, ord long, start int, g long, key binary" + ", content binary" * with_content, as_bytes=True, rows=64)
+    return map_rows(whole_rows(joined), run, "uid long, start int, key binary", as_bytes=True, rows=64)
 
 
-#: Of a shard's contents, with their smallest document and count: for each, ranges of windows that occur elsewhere and the smallest document of each range.
-Search = Callable[[list[bytes], np.ndarray, np.ndarray], list[tuple[list[int], list[int], list[int]]]]
+def contents_of(joined: DataFrame, units: Units) -> DataFrame:
+    """The runs' contents by group; equal ones that a task holds at once are one row, with their smallest document and count."""
+    ship(joined.sparkSession)
+    types = (("g", pa.int64()), ("length", pa.int32()), ("key", pa.binary()), ("windows", pa.int32()), ("content", pa.binary()), ("least", pa.int64()), ("count", pa.int64()))
+
+    def run(batches):
+        held: dict[tuple[int, int, bytes], list] = {}
+        size = 0
+
+        def batch_of():
+            rows = [(np.uint64(g & ((1 << 64) - 1)).view(np.int64).item(), length, k, *v) for (g, length, k), v in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], names=[n for n, _ in types])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                for o, t, own in zip(*(column_values(c, True) for c in batch.slice(lo, 64).columns[2:5]), strict=True):
+                    for g, length, _, n, content in cut(t, units, own):
+                        k = (g, length, content_key(content, n))
+                        if (known := held.get(k)) is None:
+                            held[k] = [n, content, o, 1]
+                            size += len(content)
+                        else:
+                            known[2] = min(known[2], o)
+                            known[3] += 1
+                    if size > COMBINED_BYTES:
+                        yield batch_of()
+                        held, size = {}, 0
+        if held:
+            yield batch_of()
+
+    return whole_rows(joined).mapInArrow(run, struct_of("g long, length int, key binary, windows int, content binary, least long, count long"))
+
+
+#: Of a shard's contents, with their number of windows, smallest document and count: for each, ranges of windows that occur elsewhere and a number for each range.
+Search = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], list[tuple[list[int], list[int], list[int]]]]
 
 FOUND = "key binary, los array<int>, his array<int>, least array<long>"
 
 
-def search_shards(distinct: DataFrame, search: Search, shard_bytes: int) -> DataFrame:
-    """Index the contents of some anchors at a time, and give the windows of each that occur elsewhere."""
-    ship(distinct.sparkSession)
-    columns = ["g", "content", "least", "count"]
+def search_shards(contents: DataFrame, search: Search, shard_bytes: int) -> DataFrame:
+    """Index the contents of some groups at a time, and give the windows of each that occur elsewhere. Contents of different length share no shard: their windows may be the same."""
+    types = (("key", pa.binary()), ("los", pa.list_(pa.int32())), ("his", pa.list_(pa.int32())), ("least", pa.list_(pa.int64())))
 
     def run(batches):
-        held: list[list] = [[], [], [], []]
-        size = 0
+        keys, windows, texts, least, count = [], [], [], [], []
+        size, group = 0, None
 
         def results():
-            found = search(held[1], np.array(held[2], np.int64), np.array(held[3], np.int64))
-            rows = [(content_key(c), *f) for c, f in zip(held[1], found, strict=True) if f[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["key", "los", "his", "least"])
+            found = search(texts, np.array(windows, np.int64), np.array(least, np.int64), np.array(count, np.int64))
+            rows = [(k, *f) for k, f in zip(keys, found, strict=True) if f[0]]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], names=[n for n, _ in types])
 
         for batch in batches:
-            for row in zip(*(column_values(c) for c in batch.columns), strict=True):
-                if size >= shard_bytes and row[0] != held[0][-1]:
-                    yield from results()
-                    held, size = [[], [], [], []], 0
-                for column, value in zip(held, row, strict=True):
+            for *g, key, starts, content, o, n in zip(*(column_values(c) for c in batch.columns), strict=True):
+                if g == group and key == keys[-1]:
+                    least[-1] = min(least[-1], o)
+                    count[-1] += n
+                    continue
+                if keys and (size >= shard_bytes and g != group or g[1] != group[1]):
+                    yield results()
+                    keys, windows, texts, least, count, size = [], [], [], [], [], 0
+                group = g
+                for column, value in zip((keys, windows, texts, least, count), (key, starts, content, o, n), strict=True):
                     column.append(value)
-                size += len(row[1])
-        if held[0]:
-            yield from results()
+                size += len(content)
+        if keys:
+            yield results()
 
-    return distinct.select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(run, struct_of(FOUND))
+    return contents.repartition("g").sortWithinPartitions("length", "g", "key").mapInArrow(run, struct_of(FOUND))
 
 
-def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text (binary) and found: the runs of each text with windows that occur elsewhere (start, los, his, least).
+def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int = SHARD_BYTES, carry: bool = False, hot: int = HOT) -> DataFrame:
+    """doc_id, ord, text (binary), found and copy: the runs of each text with windows that occur elsewhere (start, los, his, least).
 
-    docs needs doc_id and text. One row comes back for each, found is null where nothing was. With
-    by_document, texts that equal one of a smaller doc_id (by MD5) aren't indexed, since all their windows
-    stand there: these have copy, and no found. The columns in keep come along, as kept_ and their names.
+    docs needs doc_id and text. One row comes back for each, found is null where nothing was. Of texts
+    that are equal (by MD5) one is indexed; copy marks, with by_document, those after the smallest doc_id,
+    and otherwise all of them: all their windows stand elsewhere. With carry all columns come along as a struct.
     """
     binary = F.col("text").cast("binary").alias("text")
-    rows = identified(docs, binary, *(F.col(c).alias(f"kept_{c}") for c in keep)).withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    # the joins below ask for the same columns and rows of texts, so that Spark shuffles them once
-    texts = rows.filter("uid is not null").select("uid", "doc_id", "ord", "text", *(f"kept_{c}" for c in keep))
-    frequent = frequent_grams(rows, units)
-    indexed = texts
-    if units.by_document:
-        digests = rows.select("uid", "ord", F.md5("text").alias("digest")).filter("digest is not null")
-        firsts = digests.groupBy("digest").agg(F.min("ord").alias("first"))
-        copies = digests.join(firsts, "digest").filter("ord > first").select("uid", F.lit(True).alias("copy"))
-        indexed = texts.join(copies, "uid", "left").filter("copy is null")
-    # a frequent anchor's runs are all kept, so they needn't meet: they are dealt out by document and place
-    kind = F.col("place").bitwiseAND(3)
-    seen = W.partitionBy("g", F.when(kind == FREQUENT, F.xxhash64("uid", "place")))
-    again = (F.min("uid").over(seen) != F.max("uid").over(seen)) if units.by_document else (F.count("*").over(seen) > 1) | (kind == SEVERAL)
-    shared = runs_of(indexed, units, frequent).withColumn("again", (kind == FREQUENT) | again).filter("again")
-    own = shared.groupBy("uid").agg(F.collect_list(F.struct("place", "g")).alias("runs"))
+    rows = identified(docs, binary, *carrying(docs, carry, "text")).withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    digests = rows.select("uid", "ord", F.md5("text").alias("digest")).filter("digest is not null")
+    same = digests.groupBy("digest").agg(F.min(F.struct("ord", "uid")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    later = F.col("ord") > F.col("first.ord")
+    copies = digests.join(same, "digest").select("uid", (later if units.by_document else F.lit(True)).alias("copy"), (later if units.by_document else F.col("uid") != F.col("first.uid")).alias("left_out"))
+    drawn = scratch(runs_of(rows, units, frequent_grams(rows, units)), "runs")
+    runs = drawn.join(copies.filter("left_out").select("uid"), "uid", "left_anti")
+    several = F.col("place").bitwiseAND(3) == SEVERAL
+    by_anchor = runs.groupBy("g").agg(F.count("*").alias("n"), F.min("uid").alias("a"), F.max("uid").alias("b"), F.max(several).alias("several"))
+    again = F.col("a") != F.col("b") if units.by_document else (F.col("n") > 1) | F.col("several")
+    met = by_anchor.filter(again).select("g", (F.col("n") >= hot).alias("hot"))
+    own = runs.join(met, "g").groupBy("uid").agg(F.collect_list(F.struct("place", "g", "hot")).alias("runs"))
+    # the three joins below ask for the same columns and rows of texts, so that Spark shuffles them once
+    texts = rows.filter("uid is not null").select("uid", "doc_id", "ord", "text", *([CARRIED] if carry else []))
     joined = texts.join(own, "uid")
-    distinct = run_texts(joined, units, True).groupBy("g", "content").agg(F.min("ord").alias("least"), F.count("*").alias("count"))
-    found = search_shards(distinct, search, shard_bytes)
-    placed = run_texts(joined, units, False).join(found, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "los", "his", "least")).alias("found"))
-    placed = texts.join(placed, "uid", "left")
-    if units.by_document:
-        placed = placed.join(copies, "uid", "left")
-    return placed.select("doc_id", "ord", "text", "found", *(["copy"] if units.by_document else []), *(f"kept_{c}" for c in keep))
-
-
-def covered(size: int, window: int, found: list | None, ord_: int | None = None) -> np.ndarray:
-    """Units of a text within a window that occurs elsewhere; with ord_, in a document before that one."""
-    change = np.zeros(size + 1, np.int64)
+    found = search_shards(contents_of(joined, units), search, shard_bytes)
+    placed = run_keys(joined, units).join(found, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "los", "his", "least")).alias("found"))
+    both = texts.join(placed, "uid", "left").join(copies.filter("copy").select("uid", "copy"), "uid", "left")
+    return both.select("doc_id", "ord", "text", "found", "copy", *([CARRIED] if carry else []))
+
+
+def covered(size: int, window: int, found: list | None, below: int) -> np.ndarray:
+    """Units of a text within windows of the ranges whose number is below the given one."""
+    change = np.zeros(size + 1, np.int32)
     for run in found or ():
         for lo, hi, least in zip(run["los"], run["his"], run["least"], strict=True):
-            if ord_ is None or least < ord_:
+            if least < below:
                 change[run["start"] + lo] += 1
                 change[run["start"] + hi + window - 1] -= 1
     return np.cumsum(change[:-1]) > 0

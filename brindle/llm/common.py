@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -45,8 +45,15 @@ def column_values(column: pa.Array, as_bytes: bool = False) -> list:
 
 
 def map_rows(df: DataFrame, fn: Callable[..., Iterable[Sequence]], schema: str | StructType, as_bytes: bool = False, rows: int = ROWS_AT_ONCE) -> DataFrame:
-    """Give fn the columns of df as lists, some rows at a time; it returns the output columns, as lists or numpy arrays of one length."""
+    """Give fn the columns of df as lists, some rows at a time; it returns the output columns, as lists or numpy arrays of one length.
+
+    A column named CARRIED doesn't reach fn: it comes out again as it is, as the last column.
+    """
     out = struct_of(schema)
+    carried = CARRIED in df.columns
+    if carried:
+        df = df.select(*(c for c in df.columns if c != CARRIED), CARRIED)
+        out = StructType([*out.fields, df.schema[CARRIED]])
     ship(df.sparkSession)
 
     def run(batches):
@@ -54,12 +61,24 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterable[Sequence]], schema: str |
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
-                columns = fn(*(column_values(c, as_bytes) for c in part.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                own = part.columns[:-1] if carried else part.columns
+                columns = [pa.array(c, type=f.type) for c, f in zip(fn(*(column_values(c, as_bytes) for c in own)), arrow)]
+                if carried:
+                    columns.append(part.columns[-1].cast(arrow[-1].type))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, out)
 
 
+#: Name of the struct in which a caller's columns travel, so that none of them can clash with an operator's own.
+CARRIED = "carried_row"
+
+
+def carrying(docs: DataFrame, carry: bool, *without: str) -> list[Column]:
+    """The struct of all columns of docs but those named, if it is asked for. doc_id is always one, so that it is never empty."""
+    return [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in without)).alias(CARRIED)] if carry else []
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -86,13 +105,24 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/brindle-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a scratch table that no later step reads."""
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A session without one is a test on one machine and gets a local folder."""
+    """The folder in spark.checkpoint.dir. A session on one machine may lack it and gets a local folder; on a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -1,8 +1,8 @@
 """Suffix-array dedup over bytes: a run-length index per shard.
 
 Runs of windows meet in shards by their anchors (see `anchors`). Each shard's Burrows-Wheeler transform
-is kept as runs, with the text positions at both ends of each run; matching statistics streamed from
-these mark the bytes within long matches.
+is kept as runs, with the text positions at both ends of each run; the matching statistics of all contents
+streamed through it mark the bytes within long matches.
 """
 
 from __future__ import annotations
@@ -16,55 +16,71 @@ from .anchors import SHARD_BYTES, Units, covered, find_repeats, ranges
 from .common import map_rows, table
 from .suffixes import RunLengthIndex, join_contents
 
-#: Bytes of a match that is removed, and of the grams that anchor it.
-WINDOW, GRAM = 400, 32
-
-
-def search_bytes(contents: list[bytes], least: np.ndarray, count: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], list[int], list[int]]]:
-    """For each content, the starts of windows that stand elsewhere too."""
-    text, begins = join_contents([np.frombuffer(c, np.uint8) for c in contents])
-    longest = max(map(len, contents))
-    long_match = RunLengthIndex(text, longest + 1).matching_statistics() >= window
-    out = []
-    for begin, c, n in zip(begins.tolist(), contents, count.tolist(), strict=True):
-        windows = len(c) - window + 1
-        lo, hi = ranges(long_match[begin : begin + windows]) if n == 1 else ([0], [windows])
-        out.append((list(map(int, lo)), list(map(int, hi)), [0] * len(lo)))
+#: Bytes of a match that is removed, of one that is reported, and of the grams that anchor it. Passages of
+#: somewhat over 50 words have 250 bytes or more in texts whose words have 4 letters on average.
+WINDOW, REPORTED, GRAM = 400, 250, 32
+#: One gram of so many is preferred as anchor.
+SPARSE = 16
+#: Numbers of ranges: of matches that are removed and of those that are reported.
+REMOVED, SHARED = 0, 1
+
+
+def search_bytes(contents: list[bytes], windows: np.ndarray, count: np.ndarray, window: int, reported: int) -> list[tuple[list[int], list[int], list[int]]]:
+    """For each content, ranges of starts of strings that stand elsewhere too, by length. Only its windows are starts: what follows them may start in other contents of its text."""
+    text, begins = join_contents(np.frombuffer(b"".join(contents), np.uint8), np.array([len(c) for c in contents]))
+    counted = np.zeros(len(text) + 1, np.int8)
+    counted[begins] += 1
+    counted[begins + windows] -= 1
+    longest = RunLengthIndex(text).matching_statistics(np.cumsum(counted[:-1]) > 0)
+    for k in np.flatnonzero(count > 1).tolist():  # equal contents match whole
+        longest[begins[k] : begins[k] + windows[k]] = len(contents[k]) - np.arange(windows[k])
+    out: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in contents]
+    for least, kind in ((window, REMOVED), (reported, SHARED)):
+        lo, hi = ranges(longest >= least)
+        of = np.searchsorted(begins, lo, side="right") - 1
+        for k, a, b in zip(of.tolist(), (lo - begins[of]).tolist(), (hi - begins[of]).tolist(), strict=True):
+            out[k][0].append(a)
+            out[k][1].append(b)
+            out[k][2].append(kind)
     return out
 
 
-def remove_long_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_long_repeats(docs: DataFrame, window: int = WINDOW, reported: int = REPORTED, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, carry: bool = False, with_text: bool = True, **others) -> DataFrame:
     """Remove bytes within strings of `window` bytes that start anywhere else, in the same text or another.
 
-    docs needs doc_id and text; other columns are left out but those in keep. Null and empty texts have no bytes. Repeated
-    rows are two places, so that all their strings go; null doc_ids are ordinary rows. An empty table
-    gives no row. Strings are judged on the input. Returns doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256 (of the bytes left), kept (these as text; a character that is cut goes whole), spans
-    (array of structs from, to: bytes removed).
+    docs needs doc_id and text; with carry all columns come along in the struct carried_row, else other
+    columns are left out. Null and empty texts have no bytes. Repeated rows are two places, so that all
+    their strings go; null doc_ids are ordinary rows. An empty table gives no row. Strings are judged on
+    the input. `reported`, at most `window`, is a length from which repeats are counted without being removed. Returns
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left), n_shared (bytes within strings of
+    `reported` bytes that start elsewhere too), spans (array of structs from, to: bytes removed), with_text also
+    kept (the bytes left as text; a character that is cut goes whole).
     """
+    reported = min(reported, window)
 
-    def run(doc_id, _, text, found, *rest):
-        out: list[list] = [[] for _ in range(7)]
-        for d, t, f in zip(doc_id, text, found, strict=True):
+    def run(doc_id, _, text, found, copy):
+        out: list[list] = [[] for _ in range(7 + with_text)]
+        for d, t, f, c in zip(doc_id, text, found, copy, strict=True):
             raw = t or b""
-            gone = covered(len(raw), window, f)
-            lo, hi = ranges(gone)
+            gone = np.full(len(raw), len(raw) >= window) if c else covered(len(raw), window, f, SHARED) if f else np.zeros(len(raw), bool)
+            shared = len(raw) * (len(raw) >= reported) if c else int(covered(len(raw), reported, f, SHARED + 1).sum()) if f else 0
+            lo, hi = ranges(gone) if c or f else ([], [])
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(lo) else raw
             spans = [{"from": int(a), "to": int(b)} for a, b in zip(lo, hi, strict=True)]
-            edges = [0, *(x for s in spans for x in (s["from"], s["to"])), len(raw)]
-            left = "".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True))
-            for column, value in zip(out, (d, len(raw), int(gone.sum()), len(lo), hashlib.sha256(kept).hexdigest(), left, spans), strict=True):
+            row = [d, len(raw), sum(s["to"] - s["from"] for s in spans), len(spans), hashlib.sha256(kept).hexdigest(), shared, spans]
+            if with_text:
+                edges = [0, *(x for s in spans for x in (s["from"], s["to"])), len(raw)]
+                row.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            for column, value in zip(out, row, strict=True):
                 column.append(value)
-        return [*out, *rest]
+        return out
 
-    def search(contents, least, count):
-        return search_bytes(contents, least, count, window)
+    def search(contents, windows, least, count):
+        return search_bytes(contents, windows, count, window, reported)
 
-    found = find_repeats(docs, Units(False, window, gram, False), search, shard_bytes, keep)
-    kept_columns = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[4:])
-    out = map_rows(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<`from`:int,`to`:int>>" + kept_columns, as_bytes=False, rows=64)
-    return out.withColumnsRenamed({f"kept_{c}": c for c in keep})
+    found = find_repeats(docs, Units(False, reported, gram, False, window, SPARSE), search, shard_bytes, carry, **others)
+    return map_rows(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, spans array<struct<`from`:int,`to`:int>>" + ", kept string" * with_text, rows=64)
 
 
 def op8_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_long_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
+    return remove_long_repeats(table(spark, sf_dir, "documents"), with_text=False)

@@ -1,6 +1,7 @@
 """Indexes over the texts of one shard, in numpy: suffix order, FM-index and run-length index.
 
-A shard is a few contents (arrays of symbols) joined with 0 after each; symbols are numbered from 1.
+A shard is a few contents (arrays of symbols) joined with 0 after each; symbols are numbered from 1. The
+zeros count as different symbols in the order of their places, so that all suffixes differ.
 """
 
 from __future__ import annotations
@@ -8,40 +9,48 @@ from __future__ import annotations
 import numpy as np
 
 
-def packed_keys(text: np.ndarray) -> tuple[np.ndarray, int]:
-    """Each position's next symbols as one number, and how many symbols that is."""
-    bits = max(1, int(text.max(initial=0)).bit_length())
-    span = 62 // bits
-    padded = np.concatenate([text.astype(np.int64), np.zeros(span, np.int64)])
-    keys = np.zeros(len(text), np.int64)
-    for k in range(span):
-        keys = keys << bits | padded[k : k + len(text)]
-    return keys, span
+def ends_of(text: np.ndarray) -> np.ndarray:
+    """For each position the 0 that ends its content."""
+    zeros = np.flatnonzero(text == 0)
+    return np.repeat(zeros, np.diff(zeros, prepend=-1)).astype(np.int32)
+
 
+def in_order(high: np.ndarray, low: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions by (high, low, position), numbers of width bits each, and where (high, low) changes."""
+    if 3 * width <= 64:
+        w = np.uint64(width)
+        packed = (high.astype(np.uint64) << w | low.astype(np.uint64)) << w | at.astype(np.uint64)
+        packed.sort()
+        key = packed >> w
+        at = (packed & np.uint64((1 << width) - 1)).astype(np.int32)
+    else:
+        key = high.astype(np.int64) << width | low
+        by = np.lexsort((at, key))
+        key, at = key[by], at[by]
+    new = np.ones(len(at), bool)
+    new[1:] = key[1:] != key[:-1]
+    return at, new
 
-def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of text in the order of their suffixes' first depth symbols or more: prefix doubling over groups that are still tied."""
+
+def sort_suffixes(text: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Positions of text in the order of their suffixes: prefix doubling over groups that are still tied."""
     n = len(text)
-    keys, span = packed_keys(text)
-    order = np.argsort(keys, kind="stable")
-    first = np.empty(n, bool)
-    first[:1] = True
-    first[1:] = keys[order[1:]] != keys[order[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    while span < depth:
-        tied = np.flatnonzero(~(first & np.append(first[1:], True)))
-        if not len(tied):
-            break
+    width, bits = n.bit_length(), max(1, int(text.max(initial=0)).bit_length())
+    rest = end - np.arange(n, dtype=np.int32)
+    span = max(1, min(2 * width, 64 - width) // bits)
+    keys, padded = np.zeros(n, np.uint64), np.append(text, np.zeros(span, text.dtype))
+    for k in range(span):
+        keys = keys << np.uint64(bits) | np.where(rest >= k, padded[k : k + n], 0).astype(np.uint64)
+    low = np.uint64(width)
+    order, first = in_order(keys >> low, keys & np.uint64((1 << width) - 1), np.arange(n, dtype=np.int32), width)
+    first |= rest[order] < span
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
+    while len(tied := np.flatnonzero(~(first & np.append(first[1:], True)))):
         at = order[tied]
-        further = np.where(at + span < n, rank[np.minimum(at + span, n - 1)] + 1, 0)
-        key = rank[at] * (n + 1) + further
-        by = np.argsort(key, kind="stable")
-        at, key = at[by], key[by]
+        # where the rest is no longer than span, its rank is its own, so that places decide between equal contents
+        at, new = in_order(rank[at], rank[at + span], at, width)
         order[tied] = at
-        new = np.empty(len(at), bool)
-        new[0] = True
-        new[1:] = key[1:] != key[:-1]
         first[tied] = new
         rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
         span *= 2
@@ -55,7 +64,7 @@ class BitVector:
         packed = np.packbits(bits, bitorder="little")
         self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
         self.words.view(np.uint8)[: len(packed)] = packed
-        self.before = np.zeros(len(self.words), np.int64)
+        self.before = np.zeros(len(self.words), np.int32)
         np.cumsum(np.bitwise_count(self.words)[:-1], out=self.before[1:])
 
     def rank(self, i: np.ndarray) -> np.ndarray:
@@ -84,80 +93,124 @@ class WaveletTree:
 
 
 class FmIndex:
-    """Burrows-Wheeler transform in a wavelet tree; patterns of up to depth symbols are found by backward search."""
+    """Burrows-Wheeler transform in a wavelet tree, with the owner of each row's suffix; neither text nor suffix order is kept."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.text = text
-        self.order = sort_suffixes(text, depth)
+    def __init__(self, text: np.ndarray, owner: np.ndarray):
+        """owner: a number for each position, of which the smallest of a pattern's places is asked for."""
+        order = sort_suffixes(text, ends_of(text))
         bits = max(1, int(text.max(initial=0)).bit_length())
-        self.tree = WaveletTree(text[self.order - 1], bits)  # before position 0 stands the last symbol, a 0
+        self.owner = owner[order].astype(np.int32)
+        self.tree = WaveletTree(text[order - 1], bits)  # before position 0 stands the last symbol, a 0
         symbols = np.arange(1 << bits)
-        counts = np.bincount(text, minlength=1 << bits)
-        self.start = np.concatenate([[0], np.cumsum(counts)])
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << bits))])
         self.shift = self.start[:-1] - self.tree.place(symbols, np.zeros(1 << bits, np.int64))
 
-    def search(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of the suffixes that begin with the size symbols at each position, by backward steps from their end."""
-        last = self.text[at + size - 1]
-        lo, hi = self.start[last], self.start[last + 1]
-        for k in range(size - 2, -1, -1):
-            c = self.text[at + k]
+    def stream(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics by backward search: for each end in text, how many symbols before it, up to most, stand in the index twice or more, and their rows [lo, hi).
+
+        An end is left as soon as one row or none is left for it.
+        """
+        length = np.zeros(len(ends), np.int32)
+        last = text[ends - 1]
+        lo, hi = self.start[last].copy(), self.start[last + 1].copy()
+        live = np.flatnonzero(hi - lo > 1)
+        length[live] = 1
+        for k in range(2, most + 1):
+            c = text[ends[live] - k]
             shift = self.shift[c]
-            lo, hi = shift + self.tree.place(c, lo), shift + self.tree.place(c, hi)
-        return lo, hi
+            a, b = shift + self.tree.place(c, lo[live]), shift + self.tree.place(c, hi[live])
+            twice = (b - a > 1) & (c > 0)
+            live = live[twice]
+            if not len(live):
+                break
+            lo[live], hi[live] = a[twice], b[twice]
+            length[live] = k
+        return length, lo, hi
+
+    def smallest_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The smallest owner in rows [lo, hi); stretches that are asked for must be equal or apart."""
+        if not len(lo):
+            return np.zeros(0, np.int32)
+        stretch, back = np.unique(lo, return_inverse=True)
+        until = np.zeros(len(stretch), np.int64)
+        until[back] = hi
+        return np.minimum.reduceat(np.append(self.owner, 0), np.ravel(np.column_stack([stretch, until])))[::2][back]
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform with the text positions at both ends of each run."""
+    """Run-compressed Burrows-Wheeler transform: each run's symbol, first row, and the text positions at both its ends.
 
-    def __init__(self, text: np.ndarray, depth: int):
-        order = sort_suffixes(text, depth)
-        bwt = text[order - 1]
-        ends = np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == 0))  # the last row of each run but the last; the ends of contents count as different symbols
-        self.text, self.runs = text, len(ends) + 1
-        self.head, self.tail = order[np.append(0, ends + 1)], order[np.append(ends, len(order) - 1)]
+    The step from a row to the row of the suffix one symbol longer (LF) needs the row's run alone: rows of
+    one symbol keep their order, so a run's rows go to consecutive rows, from `to` on.
+    """
 
-    def common(self, a: np.ndarray, b: np.ndarray, step: int = 16) -> np.ndarray:
+    def __init__(self, text: np.ndarray):
+        self.text, self.end = text, ends_of(text)
+        order = sort_suffixes(text, self.end)
+        bwt = text[order - 1]
+        self.rows, self.order = (n := len(text)), order
+        self.first = np.append(0, np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)) + 1)  # zeros differ
+        self.last = np.append(self.first[1:], n) - 1
+        self.symbol, self.head, self.tail = bwt[self.first], order[self.first], order[self.last]
+        by = np.argsort(self.symbol, kind="stable")
+        size = (self.last - self.first + 1)[by]
+        self.to = np.empty(len(by), np.int64)  # LF of each run's first row
+        self.to[by] = np.cumsum(size) - size
+        self.above = np.full(len(by), -1)  # the run whose last row leads to the row above that of a run's first row
+        self.above[by[1:]] = by[:-1]
+        per = 8 // text.dtype.itemsize
+        padded = np.append(text, np.zeros(2 * per, text.dtype))
+        self.words = np.lib.stride_tricks.as_strided(padded, (n + per, per), padded.strides * 2).copy().view(np.uint64).ravel()
+        self.per, self.bits = per, 8 * text.dtype.itemsize
+
+    @property
+    def runs(self) -> int:
+        return len(self.first)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Symbols that the suffixes at a and b share before either's content ends."""
-        n, text = len(self.text), np.append(self.text, np.zeros(step, self.text.dtype))
+        most = np.minimum(self.end[a] - a, self.end[b] - b)
         length = np.zeros(len(a), np.int64)
-        live, reach = np.arange(len(a)), np.arange(step)
+        live = np.flatnonzero(most > 0)
         while len(live):
-            x = np.minimum(a[live] + length[live], n)[:, None] + reach
-            y = np.minimum(b[live] + length[live], n)[:, None] + reach
-            left = text[x]
-            same = (left == text[y]) & (left != 0)
-            whole = same.all(1)
-            length[live] += np.where(whole, step, same.argmin(1))
-            live = live[whole]
-        return length
-
-    def matching_statistics(self) -> np.ndarray:
-        """For each position, the longest match of its suffix with any other.
-
-        Between two sampled positions the neighbour in suffix order moves along with the position, and the
-        match is shorter by one at each step; so run ends alone are compared. Heads of runs give the
-        neighbours above, tails those below.
+            differ = self.words[a[live] + length[live]] ^ self.words[b[live] + length[live]]
+            low = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // self.bits  # equal symbols in front
+            length[live] += low
+            live = live[(differ == 0) & (length[live] < most[live])]
+        return np.minimum(length, most)
+
+    def matching_statistics(self, counted: np.ndarray) -> np.ndarray:
+        """For each counted position the longest match of its suffix with that of any other counted one; 0 for the others.
+
+        Streaming a content backwards through the index takes its row from symbol to symbol (LF), and the
+        row above comes along, since rows of one run stay neighbours. Only where the own row is the first of
+        its run another neighbour takes over: the sampled end of the run that comes before in order of
+        symbols. So all contents together meet a new neighbour once at each run; there symbols are compared,
+        and from step to step a match grows by one.
         """
-        n = len(self.text)
+        n, zeros = self.rows, np.flatnonzero(self.text == 0)
+        meets = np.flatnonzero(self.symbol > 0)
+        to = self.above[meets]
+        at = np.concatenate([zeros, self.head[meets] - 1])
+        beside = np.concatenate([np.append(-1, zeros[:-1]), np.where(to >= 0, (self.tail[to] - 1) % n, -1)])
+        by = np.argsort(at)
+        at, beside = at[by], beside[by]
+        length = np.where(beside >= 0, self.common(at, np.maximum(beside, 0)), 0)
+        steps = np.diff(at, prepend=-1)
+        above = np.where(np.repeat(beside < 0, steps), 0, np.repeat(length + at, steps) - np.arange(n))
+        rows = np.flatnonzero(counted[self.order])
         best = np.zeros(n, np.int64)
-        for at, other in ((self.head[1:], self.tail[:-1]), (self.tail[:-1], self.head[1:])):
-            if not len(at):
-                continue
-            by = np.argsort(at)
-            at, other = at[by], other[by]
-            length = self.common(at, other)
-            i = np.searchsorted(at, np.arange(n), side="right") - 1
-            best = np.maximum(best, np.where(i >= 0, length[i] - (np.arange(n) - at[i]), 0))
+        if len(rows) > 1:  # what two counted rows share is the least of what lies between
+            shared = np.minimum.reduceat(above[self.order[: rows[-1] + 1]], rows[:-1] + 1)
+            best[self.order[rows]] = np.maximum(np.append(0, shared), np.append(shared, 0))
         return best
 
 
-def join_contents(contents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The text of a shard, symbols renumbered from 1 without gaps, and where each content begins."""
-    flat = np.concatenate(contents)
-    number = np.unique(flat, return_inverse=True)[1].astype(np.int64) + 1
-    sizes = np.array([len(c) for c in contents])
+def join_contents(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of a shard, symbols renumbered from 1 without gaps, and where each content begins. flat: the contents end to end, small numbers."""
+    number = np.cumsum(np.bincount(flat) > 0)[flat]
+    kind = np.uint8 if number.max(initial=0) < 256 else np.uint16 if number.max(initial=0) < 65536 else np.uint32
     begins = np.cumsum(sizes) - sizes + np.arange(len(sizes))
-    text = np.zeros(len(flat) + len(sizes), np.int64)
+    text = np.zeros(len(flat) + len(sizes), kind)
     text[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = number
     return text, begins
