@@ -1,11 +1,14 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts with equal shingle sets are one vertex. Vertices that share a band of MinHash values are drawn into
-families; a family's pairs are compared in blocks. In a block MinHash values are compared some at a time,
-a pair is dropped once the posterior probability that its similarity reaches the threshold falls below a
-tolerance, and the pairs left are verified exactly on the shingles. A block gives each vertex's number of
-links and a spanning star of its links, never the pairs themselves, so that a family of n texts gives
+Texts with equal shingle sets are one vertex. Vertices that share a band of MinHash values meet; a pair
+is dropped once the posterior probability that its similarity reaches the threshold falls below a
+tolerance. What is left connects vertices to families, and a family's pairs are compared in blocks: again by
+MinHash values, some at a time, and those left exactly on the shingles. A block gives each vertex's number
+of links and a spanning star of its links, never the pairs themselves, so that a family of n texts gives
 about n * n / block rows.
+
+A band that many vertices share is refined by each of the others, so that chance and templates don't draw
+unlike texts into one family; what many share even then is a family without comparing pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Units
-from .common import folded_words, identified, map_rows, scratch, ship, struct_of, table
+from .common import CARRIED, carrying, discard, folded_words, identified, map_rows, scratch, ship, struct_of, table
 
 #: Words of a shingle; the similarity of a link, as a fraction.
 SHINGLE, OVER, UNDER = 5, 4, 5
@@ -28,8 +31,10 @@ BANDS, BAND = 40, 4
 HASHES = BANDS * BAND
 #: MinHash values compared before each look at the posterior, and the tolerance.
 LOOK, TOLERANCE = 32, 1e-8
-#: Vertices in a block.
-BLOCK = 512
+#: Vertices in a block, and bytes of their shingles.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Vertices that share a band, beyond which it is refined; two texts of similarity 0.8 share only one band in 2 of 10^8 cases.
+LARGE = 256
 
 RANDOM = np.random.default_rng(20240229)
 FACTORS = RANDOM.integers(0, 1 << 32, (2, HASHES), np.uint32) | np.uint32(1)
@@ -85,6 +90,74 @@ def least_matches(threshold: float = OVER / UNDER, tolerance: float = TOLERANCE)
 LOOKS = least_matches()
 
 
+def outlast(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of MinHash values outlast the looks. With 8 bits of each value chance matches keep pairs, and never drop any."""
+    alive, same, done = np.arange(len(left)), np.zeros(len(left), np.int64), 0
+    for t, least in LOOKS:
+        same = same + (left[alive, done:t] == right[alive, done:t]).sum(1)
+        alive, same, done = alive[same >= least], same[same >= least], t
+    return alive
+
+
+def connect_members(members: DataFrame) -> DataFrame:
+    """Edges (a, b) between vertices of one key that outlast the looks: for each vertex one to the smallest that they lead to.
+
+    members has key, uid and signature. A task takes its rows in order of keys, some keys at a time.
+    """
+    ship(members.sparkSession)
+
+    def edges(key, uid, signature):
+        pairs = []
+        for d in range(1, len(key)):
+            i = np.flatnonzero(key[d:] == key[:-d])
+            if not len(i):
+                break
+            for lo in range(0, len(i), 1 << 14):
+                at = i[lo : lo + (1 << 14)]
+                at = at[outlast(signature[at], signature[at + d])]
+                pairs.append((at, at + d))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        root = stars(len(key), a, b)
+        own = np.flatnonzero(root != np.arange(len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(uid[own]), pa.array(uid[root[own]])], names=["a", "b"])
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            signature = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
+            now = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), signature]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if whole:
+                yield edges(*(x[:whole] for x in held))
+                held = [x[whole:] for x in held]
+        if held is not None:
+            yield edges(*held)
+
+    return members.select("key", "uid", "signature").repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, struct_of("a long, b long"))
+
+
+def met(keys: DataFrame) -> DataFrame:
+    """uid and key of the keys that several vertices have, with how many (n) and the smallest of them (hub)."""
+    several = keys.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    return keys.join(several.hint("merge"), "key")
+
+
+def families_of(seen: DataFrame, vertex: DataFrame, large: int) -> DataFrame:
+    """node, label: vertices that similar ones may connect. seen has uid, bands and signature; vertex the uids that are vertices."""
+    n_bands = F.size("bands")
+    first = scratch(met(seen.join(vertex, "uid", "left_semi").select("uid", F.posexplode("bands").alias("place", "key"))), "bands")
+    hot = first.filter(F.col("n") > large).select("uid", "place", F.col("key").alias("band")).join(seen.select("uid", "bands"), "uid")
+    others = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(n_bands / 2).cast("int"))), lambda d: F.get("bands", (F.col("place") + d) % n_bands)))
+    refined = scratch(met(hot.select("uid", "band", others.alias("other")).select("uid", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("key")).distinct()), "refined")
+    small = F.col("n") <= large
+    members = first.filter(small).select("uid", "key").union(refined.filter(small).select("uid", "key")).join(seen.select("uid", "signature"), "uid")
+    # what many share even then: a vertex leads to the least of its hubs, and so do its other hubs
+    led = refined.filter(~small).groupBy("uid").agg(F.min("hub").alias("b"), F.collect_set("hub").alias("hubs"))
+    edges = connect_members(members).union(led.select(F.col("uid").alias("a"), "b")).union(led.select(F.explode("hubs").alias("a"), "b").distinct())
+    return connected(edges, "families")
+
+
 def candidates(left: np.ndarray, right: np.ndarray, upper: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that outlast the looks; with upper, only pairs a < b of one block."""
     matches = np.zeros((len(left), len(right)), np.int16)
@@ -187,17 +260,20 @@ def connected(edges: DataFrame, name: str, rounds: int = MOST_ROUNDS) -> DataFra
     for _ in range(rounds):
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
+            discard(both)
             return labels
         total = now
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         least = F.least("label", "m")
         sent = labels.join(near, "node").select(F.explode(F.array(F.struct("node", least.alias("label")), F.struct(F.col("label").alias("node"), least.alias("label")))).alias("x")).select("x.*")
         step = scratch(sent.groupBy("node").agg(F.min("label").alias("label")), name)
+        discard(labels)
         labels = scratch(step.join(step.select(F.col("node").alias("label"), F.col("label").alias("m")), "label", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label")), name)
+        discard(step)
     raise RuntimeError(f"{name}: labels still change after {rounds} rounds")
 
 
-def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def join_similar(docs: DataFrame, block: int = BLOCK, large: int = LARGE) -> DataFrame:
     """Classes of texts linked by a Jaccard similarity of 0.8 or more of their shingle sets.
 
     docs needs doc_id and text; other columns are left out. Shingles are five lower-cased words (A-Z) of
@@ -208,40 +284,37 @@ def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     linked to this one), n_copies (rows with this set, itself included).
     """
     rows = identified(docs, F.col("text").cast("binary").alias("text"))
-    return classes_of(rows, block).select("doc_id", "class_id", "n_links", "n_copies")
+    return classes_of(rows, block, large).select("doc_id", "class_id", "n_links", "n_copies")
 
 
-def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, block: int = BLOCK, large: int = LARGE) -> DataFrame:
     """One row of each class of `join_similar`: that with the smallest doc_id. All columns stay."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    rows = identified(docs, *(F.col(c).alias(f"own_{c}") for c in others))
-    classes = classes_of(rows.select("uid", "doc_id", F.col("own_text").cast("binary").alias("text")), block)
-    kept = rows.join(classes.filter("first").select("uid"), "uid", "left_semi")
-    return kept.select(*("doc_id" if c == "doc_id" else F.col(f"own_{c}").alias(c) for c in docs.columns))
+    rows = identified(docs, F.col("text").cast("binary").alias("text"), *carrying(docs, True))
+    classes = classes_of(rows.select("uid", "doc_id", "text"), block, large)
+    return rows.join(classes.filter("first").select("uid"), "uid", "left_semi").select(f"{CARRIED}.*")
 
 
-def classes_of(rows: DataFrame, block: int) -> DataFrame:
+def classes_of(rows: DataFrame, block: int, large: int) -> DataFrame:
     """The join over rows with uid, doc_id and text (binary); first marks one row of each class."""
     ship(rows.sparkSession)
 
     def sketch(uid, doc_id, text):
-        out: list[list] = [[], [], []]
+        out: list[list] = [[] for _ in range(4)]
         for t in text:
             s = shingles(t)
+            values = min_hashes(s) if len(s) else None
             out[0].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            out[1].append(band_keys(min_hashes(s)) if len(s) else None)
-            out[2].append(len(s))
+            out[1].append(band_keys(values) if len(s) else None)
+            out[2].append(values.astype(np.uint8).tobytes() if len(s) else None)
+            out[3].append(len(s))
         return [uid, doc_id, *out]
 
-    seen = scratch(map_rows(rows.select("uid", "doc_id", "text"), sketch, "uid long, doc_id long, key binary, bands array<long>, size int", as_bytes=True), "sketches")
+    seen = scratch(map_rows(rows.select("uid", "doc_id", "text"), sketch, "uid long, doc_id long, key binary, bands array<long>, signature binary, size int", as_bytes=True), "sketches")
     vertex = seen.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "uid"))["uid"].alias("vertex"), F.count("*").alias("n_copies"))
-    bands = seen.join(vertex.select(F.col("vertex").alias("uid")), "uid", "left_semi").select("uid", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    # a vertex leads to the least of its hubs, and so do its other hubs: pairs of hubs are few where many vertices share them
-    led = scratch(bands.join(hubs.hint("merge"), "band").groupBy("uid").agg(F.min("hub").alias("b"), F.collect_set("hub").alias("hubs")), "hubs")
-    families = connected(led.select(F.col("uid").alias("a"), "b").union(led.select(F.explode("hubs").alias("a"), "b").distinct()), "families")
+    families = families_of(seen, vertex.select(F.col("vertex").alias("uid")), large)
 
-    sizes = families.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    blocks = F.ceil(F.greatest(F.count("*") / block, 8 * F.sum("size") / BLOCK_BYTES)).cast("int").alias("n")
+    sizes = families.join(seen.select(F.col("uid").alias("node"), "size"), "node").groupBy("label").agg(blocks)
     member = families.join(sizes, "label").select(F.col("node").alias("uid"), "label", "n", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("block"))
 
     def detail(uid, text, label, n, at):
