@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -198,22 +199,23 @@ def loaded(path: str) -> Bpe:
 
 
 def vocabulary() -> str:
+    """Where the vocabulary file lies on the machine that asks."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | Callable[[], str], with_ids: bool = False) -> DataFrame:
     """Encode each text and decode it again, row by row, without a shuffle.
 
     docs needs doc_id and text; other columns are left out. Null text is empty: no token, and the digest
     of nothing. Every row gives one row, repeated rows and null doc_id included; an empty table gives none.
-    path must be readable on every executor. Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and with
+    path must be readable on every executor; a function is called there and gives it. Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and with
     with_ids also ids (array of int).
     """
 
     def run(doc_id, text):
-        bpe = loaded(path)
+        bpe = loaded(path() if callable(path) else path)
         coded = bpe.encode(text)
         out = [doc_id, [len(c) // 4 for c in coded], [hashlib.sha256(c).hexdigest() for c in coded], [hashlib.sha256(bpe.decode(c).encode()).hexdigest() for c in coded]]
         return [*out, [np.frombuffer(c, "<u4").astype(np.int32) for c in coded]] if with_ids else out
@@ -223,4 +225,4 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary)

@@ -44,7 +44,8 @@ def rotate_perspectives(conversations: DataFrame, block: int = BLOCK) -> DataFra
     and gives no row, an empty table neither. Returns conv_id, perspective, turn, position (from 0),
     speaker, role (assistant, user or system), name (the speaker's where role is user), segment
     (`<|role name|>` newline, text, newline), char_start, char_end (of the segment in the rendered
-    dialogue), mask_start, mask_end (of the text that is trained on, null but for the assistant).
+    dialogue), mask_start, mask_end (of the text that is trained on, null but for the assistant). Roles and
+    texts are rendered as they are: one that holds `<|` looks like a header, which only the offsets tell apart.
     """
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
     speakers = turns.filter("speaker <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()

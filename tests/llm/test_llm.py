@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 from re import _parser as parser
 
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import bpe, chat, decontaminate, html, licenses, quality, similarity, substrings, suffixarray, toxicity
+from brindle.llm import anchors, bpe, chat, decontaminate, html, licenses, quality, similarity, substrings, suffixarray, suffixes, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -190,8 +191,8 @@ def test_similarity(spark, rows, docs):
         group = reach(s) if s else None
         ids = [j for (j, _), x in zip(rows, sets, strict=True) if x in group and j is not None] if s else []
         want.append((i, min(ids) if ids else i, len(near[s]) if s else 0, sets.count(s) if s else 1))
-    for block in (512, 2):
-        assert results(similarity.join_similar(docs, block)) == sorted(want, key=repr)
+    for block, large in ((512, 256), (2, 2), (8, 1)):
+        assert results(similarity.join_similar(docs, block, large)) == sorted(want, key=repr)
     assert similarity.keep_one(docs).columns == docs.columns
     assert similarity.join_similar(table(spark, [])).count() == 0
 
@@ -236,7 +237,12 @@ def test_bpe_long(encoder, docs, rows):
     mine, library = encoder
     for text in ("x" * 3000, "the" * 500, " " * 900):
         assert np.frombuffer(mine.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-    assert bpe.encode_documents(docs, bpe.vocabulary()).count() == len(rows)
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert results(bpe.encode_documents(docs, bpe.vocabulary)) == sorted(want, key=repr)
+    assert bpe.encode_documents(docs.limit(0), bpe.vocabulary()).count() == 0
 
 
 def test_licenses(spark):
@@ -276,7 +282,7 @@ def test_licenses_gate():
     for rule in licenses.rules():
         for text in samples(parser.parse(rule.pattern.pattern)):
             if rule.pattern.fullmatch(text):  # "(" and ")" never stand in words
-                assert rule.keyword in text and any(h in text.encode() for h in licenses.HINTS), (text, rule)
+                assert rule.keyword in text and any(h in f" {text} ".encode() for h in licenses.hints()), (text, rule)
     for text in ("an mit style license", "zlib style licence", "2 clause bsd style license", "spdx license identifier expat"):
         assert licenses.detect(text.encode().split()), text
 
@@ -307,6 +313,10 @@ def test_perspectives(spark):
     assert [whole[r.mask_start : r.mask_end] for r in view if r.mask_start is not None] == ["hi", "bye"]
     assert all(whole[r.char_start : r.char_end] == r.segment for r in view)
     assert sorted(Counter(r.conv_id for r in got).items()) == [(1, 8), (3, 2)]
+    wide = spark.createDataFrame([(None, 1, "ann", "hi", "x", 1), (None, 1, "bob", "", "x", 1)], "conv_id long, turn long, role string, text string, segment string, block int")
+    got = chat.rotate_perspectives(wide).collect()
+    assert len(got) == 4 and all(r.conv_id is None and r.segment.startswith("<|") for r in got)
+    assert chat.rotate_perspectives(wide.limit(0)).count() == 0
 
 
 def test_toxicity(spark):
@@ -314,8 +324,136 @@ def test_toxicity(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(toxicity.labelled(docs, labels))
     held = toxicity.score_documents(docs, model).filter("held_out").join(labels, "doc_id").collect()
-    right = sum(r.predicted == r.toxic for r in held)
-    assert right >= 0.97 * len(held)
+    caught = sum(r.predicted == r.toxic == 1 for r in held)
+    assert caught >= 0.85 * sum(r.toxic for r in held) and caught >= 0.85 * sum(r.predicted for r in held)
+    assert all(r.offending for r in held if r.score > 0.9)
     odd = {r.doc_id: r.score for r in toxicity.score_documents(table(spark, [(1, None), (2, ""), (None, "x")]), model).collect()}
     assert odd[1] == odd[2] == 0.0 and 0 <= odd[None] < 0.5
     assert toxicity.train([]).weights == {}
+
+
+def test_licenses_base_places(spark):
+    rng = np.random.default_rng(8)
+    parts = ["under the", "mit", "license", "apache", "version 2", "cc", "by", "nc", "under", "the", "Version", "2", "x-y"]
+    rows = [(i, " ".join(rng.choice(parts, int(rng.integers(0, 60))))) for i in range(60)] + [(None, "cc by nc cc by nc"), (1, None), (2, "")]
+    want = []
+    for i, t in rows:
+        w = folded(t)
+        at = [(p, label) for phrase, label in licenses.BASE.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        places = sorted(p for p, _ in at)
+        want.append((i, len(w), len(at), *((places[0], places[-1]) if at else (None, None)), ",".join(sorted({label for _, label in at}))))
+    got = licenses.scan_licenses(table(spark, rows))
+    assert results(got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) == sorted(want, key=repr)
+    assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got.collect() if r.base_labels)
+    assert licenses.scan_licenses(table(spark, [])).count() == 0
+
+
+def test_licenses_phrases():
+    labels = lambda t: {f.label for f in licenses.detect(folded_bytes(t))}
+    assert labels("licensed under the BSD license") == labels("BSD license") == {"bsd"}
+    assert labels("Artistic-2.0, Artistic 2") == {"artistic-2.0"}
+    assert labels("apache 2 helicopters") == labels("gpl 3 days later") == labels("we permit discussion") == set()
+    assert labels("licensed under GPL 3") == labels("GPLv3") == labels("gpl 3 licensed") == {"gpl-3"}
+    assert labels("released under the 3-clause BSD license") == {"bsd-3-clause"}
+    assert len(licenses.detect(folded_bytes("under the mit license and gpl v3 or later ") * 8000)) == 16000
+
+
+def folded_bytes(t):
+    return [w.encode() for w in folded(t)]
+
+
+PARAGRAPH = "One sentence, and some more words here; then an end. "
+
+
+def test_html_paths_decide(monkeypatch):
+    menu = "".join(f"<div><a href=/{k}>Item {k}</a></div>" for k in range(12))
+    page = f"<body><div>{menu}</div><div><h1>Title</h1>{f'<p>{PARAGRAPH * 4}' * 6}<div>kept between</div>{f'<p>{PARAGRAPH * 4}' * 3}</div>{'<section>Small print</section>' * 9}"
+    found = html.main_text(page)
+    assert found.startswith("Title One sentence") and "kept between" in found and "Item" not in found and "Small print" not in found
+    monkeypatch.setattr(html, "content_scores", lambda elements, blocks: [0.0 if elements[b.element].outside else 1.0 for b in blocks])
+    assert "Item 3" in html.main_text(page)  # without the ratios the menu, which no mark tells, stays
+
+
+def test_html_marks():
+    assert html.main_text('<p>Hello. <span class="ad">x</span> The rest.</p>') == "Hello. The rest."
+    assert html.main_text('See <a class="share">this</a> and more text') == "See and more text"
+    body = f'<h2 id="legal">Legal</h2><p id="search">{PARAGRAPH}</p><section id="related-work"><p>{PARAGRAPH}</p></section>'
+    assert html.main_text(f'<article>{body}<div id="comments"><p>{PARAGRAPH}</div></article>') == " ".join(re.sub("<[^>]*>", " ", body).split())
+    assert html.main_text("<p>1 < 2, a <b and more.</p><p>Next, one.</p>").startswith("1 < 2, a")
+
+
+def test_html_ratios():
+    """Ratios by plain sums over a page without marks: text and punctuation of a path's nodes, without the text of links."""
+    page = f"<div><p>{PARAGRAPH}</p><p>Ab, c <a>link</a></p></div><ul><li>x<li><a>yz</a></ul>"
+    elements, blocks = html.parse(page)
+    paths = ["div/p", "div/p", "ul/li", "ul/li"]
+    texts, marks = [len(PARAGRAPH) - 1, 6, 1, 0], [3, 1, 0, 0]
+    ratio = lambda values, k: sum(v for v, p in zip(values, paths, strict=True) if p == paths[k]) / paths.count(paths[k])
+
+    def smooth(values, k):
+        weights = {j: math.exp(-((j - k) ** 2) / 2) for j in range(max(0, k - 2), min(4, k + 3))}
+        return sum(w * values[j] for j, w in weights.items()) / sum(weights.values())
+
+    want = [math.sqrt(smooth([ratio(texts, j) for j in range(4)], k) * (1 + smooth([ratio(marks, j) for j in range(4)], k))) for k in range(4)]
+    assert [b.text for b in blocks] == [PARAGRAPH.strip(), "Ab, c link", "x", "yz"]
+    assert html.content_scores(elements, blocks) == pytest.approx(want)
+
+
+def test_html_odd_pages(spark):
+    for page in ("<a " * 330_000, '<a "' * 250_000, "<x>" * 50_000 + "</y>" * 50_000, "<!--" * 250_000, "<script>" * 100_000):
+        began = time.time()
+        html.main_text(page)
+        assert time.time() - began < 20
+    rows = spark.createDataFrame([(1, "u", f"<p>{PARAGRAPH}", "x"), (1, "u", f"<p>{PARAGRAPH}", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    assert [r.n_chars for r in html.extract_pages(rows).orderBy("page_id").collect()] == [0, len(PARAGRAPH) - 1, len(PARAGRAPH) - 1]
+    assert html.extract_pages(rows.limit(0)).count() == 0
+
+
+def test_many_benchmark_blocks(spark, docs):
+    items = [(k, " ".join(f"n{k}x{j}" for j in range(15))) for k in range(198)] + [(500, "w1"), (None, "w2")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plan = decontaminate.find_contamination(docs, bench, block_bytes=1)
+    assert plan._jdf.queryExecution().toString().count("MapInArrow") <= 8  # one step in each form of the plan
+    assert results(plan) == results(decontaminate.find_contamination(docs, bench))
+
+
+def test_offending_sentences():
+    calm = ["the river runs past the old mill", "we met at noon and walked home", "rain fell on the quiet town"]
+    rows = [(". ".join(calm[(k + j) % 3] + f" {k * 7 % 11}" for j in range(3)) + (". you are a vile grumbol" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(400)]
+    model = toxicity.train(rows)
+    score, offending = toxicity.score_tokens(toxicity.tokens("The river runs. What a vile grumbol! Rain fell."), {}, model)
+    assert score >= 0.5 and [s for s, _ in offending] == [1]
+    assert toxicity.score_tokens(toxicity.tokens("The river runs. Rain fell."), {}, model)[0] < 0.5
+
+
+def test_frequent_and_hot_anchors(spark, monkeypatch):
+    """A passage that a third of the texts hold, with frequent grams demoted and with every anchor hot."""
+    rng = np.random.default_rng(11)
+    prose = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 3000, n))
+    passage, near = prose(30), prose(200)
+    own = [(i, prose(60) + (" " + passage if i % 3 == 0 else "") + " " + prose(60) + (" " + near[i:] if i % 5 == 0 else "") + (" in" * 300 if i % 7 == 0 else "")) for i in range(60)]
+    for name, value in (("SAMPLE", 1.0), ("LEAST_FREQUENT", 5)):
+        monkeypatch.setattr(anchors, name, value)
+    docs = table(spark, own)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    for k in (60, 200):
+        assert results(suffixarray.remove_long_repeats(docs, window=k, reported=60, gram=16, shard_bytes=2000, hot=2).select(columns)) == brute_bytes(own, k)
+    assert [r.n_shared for r in suffixarray.remove_long_repeats(docs, window=200, reported=60, gram=16, hot=3).orderBy("doc_id").collect()] == [r[2] for r in sorted(brute_bytes(own, 60))]
+    assert results(substrings.remove_repeats(docs, hot=2)) == results(substrings.remove_repeats(docs))
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(12)
+    for case in range(300):
+        contents = [rng.integers(0, int(rng.integers(1, 4)), int(rng.integers(1, 14))).astype(np.uint8) for _ in range(int(rng.integers(1, 5)))]
+        contents += contents[:1] * (case % 3 == 0)
+        starts = [int(rng.integers(1, len(c) + 1)) if case % 2 else len(c) for c in contents]
+        places = [(c, p) for c, n in zip(contents, starts, strict=True) for p in range(n)]
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want = [max((common(c[p:], d[q:]) for j, (d, q) in enumerate(places) if j != i), default=0) for i, (c, p) in enumerate(places)]
+        text, begins = suffixes.join_contents(np.concatenate(contents), np.array([len(c) for c in contents]))
+        counted = np.zeros(len(text), bool)
+        for b, n in zip(begins, starts, strict=True):
+            counted[b : b + n] = True
+        got = suffixes.RunLengthIndex(text).matching_statistics(counted)
+        assert got[counted].tolist() == want and not got[~counted].any()
