@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, decontaminate, similarity, suffixarray, toxicity
-from brindle.llm.common import scratch, table
+from brindle.llm.common import CARRIED, scratch, table
+
+#: Bytes of a repeat that is cut from documents: passages of over 50 words have as many in texts whose words have 4 letters on average.
+LONG_REPEAT = 250
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on labels, doesn't reject."""
     model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score_documents(docs, model, keep=others).filter("predicted = 0").select(docs.columns)
+    return toxicity.score_documents(docs, model, carry=True).filter("predicted = 0").select(f"{CARRIED}.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,21 +25,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of long strings that stand elsewhere too; n_chars follows. Null text becomes empty."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffixarray.remove_long_repeats(docs, keep=others)
-    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(docs.columns)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
+    cut = suffixarray.remove_long_repeats(docs, window=LONG_REPEAT, carry=True)
+    return cut.select(*(new.get(c, F.col(f"{CARRIED}.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark items don't contaminate."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=others, with_text=True)
-    return found.filter("not contaminated").select(docs.columns)
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return found.filter("not contaminated").select(f"{CARRIED}.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with the digests of these and of the decoded text."""
-    return bpe.encode_documents(docs, bpe.vocabulary(), with_ids=True)
+    return bpe.encode_documents(docs, bpe.vocabulary, with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("long_repeats", cut_long_repeats), ("decontamination", drop_contaminated), ("bpe", encode)]
