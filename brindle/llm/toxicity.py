@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -119,11 +119,16 @@ def choose(bags: Bags, names: list[bytes], of_word: Lists, labels: list[int]) ->
 
 def train(rows: Iterable[tuple[str | None, int]], rounds: int = 300, rate: float = 0.3, l1: float = 2e-4) -> Model:
     """Fit weights, none below zero, by proximal gradient steps on the documents' log loss."""
-    rows = list(rows)
-    labels = [int(toxic) for _, toxic in rows]
+    labels: list[int] = []
+
+    def texts() -> Iterator[str | None]:
+        for text, toxic in rows:
+            labels.append(int(toxic))
+            yield text
+
+    bags = gather(texts())
     if not any(labels):
         return Model({}, LEAST_BIAS)
-    bags = gather(text for text, _ in rows)
     names, of_word = features_of(bags.words)
     picked = choose(bags, names, of_word, labels)
     chosen = [names[f] for f in picked]
@@ -163,15 +168,15 @@ def train(rows: Iterable[tuple[str | None, int]], rounds: int = 300, rate: float
     return Model({f: round(float(t), 9) for f, t in zip(chosen, theta, strict=True) if t > 1e-6}, min(float(bias), LEAST_BIAS / 2))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> list[tuple[str | None, int]]:
-    """The bounded training sample: rows whose crc32(doc_id as text) mod 5 is not 0, toxic ones and clean ones. A doc_id with several texts trains with the least of them."""
+def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Iterator[tuple[str | None, int]]:
+    """The bounded training sample: rows whose crc32(doc_id as text) mod 5 is not 0, toxic ones and clean ones, one at a time. A doc_id with several texts trains with the least of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.filter("toxic = 1").orderBy(*order).limit(most_toxic).union(known.filter("toxic = 0").orderBy(*order).limit(most_clean))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "toxic")
-    return [(r.text, r.toxic) for r in rows.toLocalIterator()]
+    return ((r.text, r.toxic) for r in rows.toLocalIterator())
 
 
 def score_tokens(words: list[bytes], of_word: dict[bytes, float], model: Model) -> tuple[float, list[tuple[int, float]]]:

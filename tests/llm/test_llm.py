@@ -457,3 +457,14 @@ def test_matching_statistics():
             counted[b : b + n] = True
         got = suffixes.RunLengthIndex(text).matching_statistics(counted)
         assert got[counted].tolist() == want and not got[~counted].any()
+
+
+def test_chance_bands_make_no_families(spark, monkeypatch):
+    """Neighbours in a chain of similarity 0.25: some share a band by chance, which alone would draw them into families."""
+    words = np.random.default_rng(14).integers(0, 1 << 40, 60 * 200 + 104)
+    docs = table(spark, [(i, " ".join(f"w{w}" for w in words[60 * i : 60 * i + 104])) for i in range(200)])
+    seen, real = {}, similarity.connected
+    monkeypatch.setattr(similarity, "met", lambda keys, met=similarity.met: seen.setdefault("met", met(keys)) if "met" not in seen else met(keys))
+    monkeypatch.setattr(similarity, "connected", lambda edges, name: seen.__setitem__(name, edges.count()) or real(edges, name))
+    assert {(r.class_id == r.doc_id, r.n_links) for r in similarity.join_similar(docs).collect()} == {(True, 0)}
+    assert seen["met"].count() > 0 and seen["families"] == 0
