@@ -5,7 +5,7 @@ anchor: one of the grams in it, chosen by hashes alone, so that equal windows ha
 window can occur again only where its anchor does. Consecutive windows with equal anchors make a run.
 
 1. Runs are drawn from each text (`runs_of`): one row for the anchor's hash, its document and place.
-2. Runs whose anchor stands nowhere else are dropped; anchors are counted before rows of one meet.
+2. Runs whose anchor stands nowhere else are dropped; those of frequent ones are kept without meeting.
 3. The texts of the other runs are cut out. Equal ones are counted once within a task, then once at all.
 4. Runs go to shards by anchor; shards of a bounded size are indexed, and each run's windows searched.
 5. Results go back to every run of the same text, and then to the documents.
@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import CARRIED, carrying, column_values, identified, map_rows, plain_words, scratch, ship, spread, struct_of
+from .common import CARRIED, carrying, column_values, identified, map_rows, plain_words, ship, spread, struct_of
 
 #: Share of rows in which frequent grams are counted. It steers only which gram of a window is its anchor, never which windows are found.
 SAMPLE, SEED = 0.02, 7
@@ -133,12 +134,12 @@ def text_runs(text: bytes, units: Units, frequent: Frequent) -> Iterator[tuple[n
         if (parts > 1).any():
             first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
             n = np.diff(np.append(first, len(at)))
-        several = (at[first] != at[first + n - 1]).astype(np.int8)
-        yield anchor[first].view(np.int64), first + lo, n, several
+        several = at[first] != at[first + n - 1]
+        yield anchor[first].view(np.int64), first + lo, n, several * SEVERAL | often[at[first]] * FREQUENT
 
 
-#: Kinds of runs: with one anchor, with equal anchors in several places.
-ONE, SEVERAL = range(2)
+#: Bits of a run's kind: equal anchors stand in several places; the anchor is a frequent gram.
+SEVERAL, FREQUENT = 1, 2
 #: A run's first window, number of windows and kind are one number: two bits for the kind, PLACES for the windows.
 PLACES = 11
 RUNS = "uid long, g long, place long"
@@ -149,7 +150,7 @@ def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
     known: list[Frequent] = []
 
-    def run(uid, text):
+    def run(uid, doc_id, ord_, text, *_):
         if not known:
             known.append(Frequent(shared.value))
         out: list[list[np.ndarray]] = [[] for _ in range(3)]
@@ -159,7 +160,7 @@ def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
                     column.append(values)
         return [np.concatenate(c) if c else [] for c in out]
 
-    return map_rows(rows.select("uid", "text"), run, RUNS, as_bytes=True)
+    return map_rows(rows.select("uid", "doc_id", "ord", "text", *(F.col(c).alias("along") for c in rows.columns if c == CARRIED)), run, RUNS, as_bytes=True)
 
 
 def frequent_grams(rows: DataFrame, units: Units) -> np.ndarray:
@@ -322,15 +323,17 @@ def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int
     same = digests.groupBy("digest").agg(F.min(F.struct("ord", "uid")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     later = F.col("ord") > F.col("first.ord")
     copies = digests.join(same, "digest").select("uid", (later if units.by_document else F.lit(True)).alias("copy"), (later if units.by_document else F.col("uid") != F.col("first.uid")).alias("left_out"))
-    drawn = scratch(runs_of(rows, units, frequent_grams(rows, units)), "runs")
-    runs = drawn.join(copies.filter("left_out").select("uid"), "uid", "left_anti")
-    several = F.col("place").bitwiseAND(3) == SEVERAL
-    by_anchor = runs.groupBy("g").agg(F.count("*").alias("n"), F.min("uid").alias("a"), F.max("uid").alias("b"), F.max(several).alias("several"))
-    again = F.col("a") != F.col("b") if units.by_document else (F.col("n") > 1) | F.col("several")
-    met = by_anchor.filter(again).select("g", (F.col("n") >= hot).alias("hot"))
-    own = runs.join(met, "g").groupBy("uid").agg(F.collect_list(F.struct("place", "g", "hot")).alias("runs"))
-    # the three joins below ask for the same columns and rows of texts, so that Spark shuffles them once
+    # the joins below ask for the same columns and rows of texts, so that Spark shuffles them once
     texts = rows.filter("uid is not null").select("uid", "doc_id", "ord", "text", *([CARRIED] if carry else []))
+    indexed = texts.join(copies.filter("left_out").select("uid"), "uid", "left_anti")
+    runs = runs_of(indexed, units, frequent_grams(rows, units))
+    # a frequent anchor's runs are all kept, so they needn't meet to be counted: they are dealt out by document and place
+    often, several = F.col("place").bitwiseAND(FREQUENT) > 0, F.col("place").bitwiseAND(SEVERAL) > 0
+    same_anchor = W.partitionBy("g", F.when(often, F.xxhash64("uid", "place")))
+    n = F.count("*").over(same_anchor)
+    again = F.min("uid").over(same_anchor) != F.max("uid").over(same_anchor) if units.by_document else (n > 1) | several
+    met = runs.withColumns({"again": often | again, "hot": often | (n >= hot)}).filter("again")
+    own = met.groupBy("uid").agg(F.collect_list(F.struct("place", "g", "hot")).alias("runs"))
     joined = texts.join(own, "uid")
     found = search_shards(contents_of(joined, units), search, shard_bytes)
     placed = run_keys(joined, units).join(found, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "los", "his", "least")).alias("found"))
