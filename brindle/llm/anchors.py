@@ -325,7 +325,7 @@ def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int
     copies = digests.join(same, "digest").select("uid", (later if units.by_document else F.lit(True)).alias("copy"), (later if units.by_document else F.col("uid") != F.col("first.uid")).alias("left_out"))
     # the joins below ask for the same columns and rows of texts, so that Spark shuffles them once
     texts = rows.filter("uid is not null").select("uid", "doc_id", "ord", "text", *([CARRIED] if carry else []))
-    indexed = texts.join(copies.filter("left_out").select("uid"), "uid", "left_anti")
+    indexed = texts.join(copies.filter("left_out").select("uid", "left_out"), "uid", "left").filter("left_out is null")
     runs = runs_of(indexed, units, frequent_grams(rows, units))
     # a frequent anchor's runs are all kept, so they needn't meet to be counted: they are dealt out by document and place
     often, several = F.col("place").bitwiseAND(FREQUENT) > 0, F.col("place").bitwiseAND(SEVERAL) > 0
