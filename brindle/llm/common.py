@@ -143,6 +143,11 @@ def identified(docs: DataFrame, *columns: str) -> DataFrame:
     return scratch(base.withColumn("uid", F.monotonically_increasing_id()), "rows")
 
 
+def halves(digest: Column) -> tuple[Column, Column]:
+    """The 128 bits of an MD5 in hexadecimal, as two longs."""
+    return tuple(F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17))
+
+
 def spread(h: np.ndarray) -> np.ndarray:
     """Mix the bits of uint64 values (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):

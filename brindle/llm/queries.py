@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, licenses, quality, similarity, substrings, suffixarray, topk, toxicity
+from . import bpe, chat, decontaminate, html, licenses, quality, repair, similarity, substrings, suffixarray, topk, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffixarray": suffixarray.op8_suffixarray,
         "op9_similarity": similarity.op9_similarity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_trie": trie.op11_trie,
         "op12_topk": topk.op12_topk,
+        "op13_repair": repair.op13_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": substrings.ORACLE, "op4_perspectives": chat.ORACLE, "op9_similarity": similarity.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op12_topk": topk.ORACLE}
+    return {"op2_substrings": substrings.ORACLE, "op4_perspectives": chat.ORACLE, "op9_similarity": similarity.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_trie": trie.ORACLE, "op12_topk": topk.ORACLE}
