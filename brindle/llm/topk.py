@@ -26,7 +26,7 @@ from .common import discard, scratch, ship, struct_of, table
 #: Results of a query; a component x counts as floor(SCALE * x), at most LARGEST in size, so that scores fit in 64 bits.
 K, SCALE, LARGEST = 20, 64, 1 << 24
 #: Bits of a cell's number, and the vectors from which cells are drawn, about.
-BITS, SAMPLE, SEED = 5, 4096, 11
+BITS, SAMPLE, SEED = 7, 4096, 11
 #: Distinct queries of a unit, distinct vectors of one at least, and parts of the file at most.
 QUERIES, CANDIDATES, PARTS = 4096, 4096, 256
 #: Numbers in one matrix of bounds.
