@@ -2,10 +2,12 @@
 
 A page's text is cut into blocks, each with the tag path from the root. For every distinct path the text
 and the punctuation of its blocks are set against the number of its nodes. Both ratios are smoothed over
-the page's blocks in order and fused; paths over a threshold hold content. Paths under it are kept only
-where content surrounds them: headings right before it, and blocks between content, or in the same article
-or main element, that aren't mostly links. Parts that are no article text by their markup (menus,
-adverts, forms, comments and the like) have no score and are never kept.
+the page's blocks in order and fused. The first wide gap between the paths' fused ratios, under most of the text, parts content
+from the rest; blocks under it are kept only where content surrounds them: in the same container, and not mostly links.
+
+Markup that tells menus, adverts, forms, comments and the like is evidence, weighed against where the text of
+the page is: an element around most of it is a wrapper, whatever its name, unless the name is unmistakable
+and there is an article elsewhere (`judged`). What remains marked has no score and is never kept.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,21 +26,36 @@ from .common import map_rows, table
 
 #: Fixed values of HTML: elements without content, with raw text, and those that don't break a block.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp", "svg", "math", "object", "canvas", "audio", "video"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp", "svg", "object", "canvas", "audio", "video", "annotation", "annotation-xml"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label"} | {
+    "math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "ms", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "munderover", "semantics"
+}
 #: A start tag that closes an open element of the second kind, up to the limits named.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
 LIMITS = {"ul", "ol", "dl", "table", "select", "body", "div", "article", "section"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
-#: Elements and attribute words that are no article text, wherever they stand.
-OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "head"} | RAW
-OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note"}
+#: Elements, roles and attribute words that are unmistakably no article text.
+OUTSIDE = {"nav", "footer", "button", "select", "dialog", "menu", "head"} | RAW
+OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 OUTSIDE_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "banner", "banners", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
-    "alert", "disclaimer", "footer", "foot", "masthead", "topbar", "menu", "menus", "nav", "navbar", "navigation", "pagination", "pager", "popup", "modal", "overlay", "promo", "promotion", "related", "recommended", "rail", "share", "sharing", "social", "sidebar", "sidebars", "side", "skip", "sponsor", "sponsored", "sponsors",
-    "subscribe", "subscription", "newsletter", "signup", "login", "search", "toolbar", "widget", "widgets", "copyright", "legal", "tags", "hidden",
+    "footer", "masthead", "topbar", "menu", "menus", "nav", "navbar", "navigation", "pagination", "pager", "popup", "modal", "promo", "promotion", "share", "sharing", "social", "skip", "sponsor", "sponsored", "sponsors",
+    "subscribe", "subscription", "newsletter", "signup", "login", "toolbar", "copyright", "hidden",
 }
+#: Those that also name wrappers and layouts, and those of them that may name a part of an article.
+BOXES = {"aside", "form", "fieldset"}
+BOX_ROLES = {"complementary", "search", "form", "note"}
+BOX_WORDS = {"sidebar", "sidebars", "side", "rail", "search", "related", "recommended", "alert", "disclaimer", "foot", "overlay", "widget", "widgets", "legal", "tags"}
+VAGUE_WORDS = {"side", "rail", "search", "foot", "legal", "tags", "overlay"}
 MAIN_WORDS = {"article", "content", "main", "post", "story", "entry", "body", "text"}
+#: Words in front that make a name say something of the layout alone.
+LAYOUT_WORDS = {"no", "not", "without", "with", "has", "hide", "hides"}
+#: Elements of running text: only unmistakable words count on them.
+TEXT_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "pre", "blockquote", "figcaption", "td", "th", "tr"}
+#: Strengths of marks.
+UNMARKED, VAGUE, BOX, HARD = range(4)
+#: Weight of the ratios in a part of an article that a vague word marks.
+VAGUE_WEIGHT = 0.5
 
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
@@ -54,13 +71,14 @@ OWN_IDS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "section", "li", "dt", "dd",
 
 
 class Element(NamedTuple):
-    """path: a number for each distinct tag path; in_article: an article or main element is around it."""
+    """path: a number for each distinct tag path; in_article: an article or main element is around it; weight: of its text's ratios."""
 
     tag: str
     path: int
     parent: int
     outside: bool
     in_article: bool
+    weight: float = 1.0
 
 
 class Tag(NamedTuple):
@@ -79,20 +97,87 @@ class Block(NamedTuple):
     linked: int
 
 
-def attribute_marks(attributes: str, with_id: bool = True) -> tuple[set[str], str, bool]:
-    """Words of class and id, role, and whether the element is hidden."""
+def attribute_marks(attributes: str, with_id: bool = True) -> tuple[set[str], str, bool, set[str], bool]:
+    """Words of class and id, role, whether the element is hidden, the words that may mark it, and whether a whole name says that it is the main part."""
     words: set[str] = set()
-    role, hidden = "", False
+    marking: set[str] = set()
+    role, hidden, is_main = "", False, False
     for name, value in MARKED.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "class" or name == "id" and with_id:
             for w in value.split():
-                words.update(x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", w).lower()) if x)
+                parts = [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", w).lower()) if x]
+                words.update(parts)
+                if not parts or parts[0] not in LAYOUT_WORDS:
+                    marking.update(parts)
+                is_main = is_main or len(parts) == 1 and parts[0] in MAIN_WORDS
         elif name == "role":
             role = value.strip().lower()
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-    return words, role, hidden
+    return words, role, hidden, marking, is_main
+
+
+def mark_of(tag: str, role: str, hidden: bool, marking: set[str], is_main: bool, in_article: bool) -> int:
+    """How strongly an element's own markup says that it is no article text."""
+    if tag in OUTSIDE:
+        return HARD
+    if tag in ("html", "body", "article", "main"):
+        return UNMARKED
+    top = not in_article and (tag == "header" or "header" in marking and not MAIN_WORDS & marking)
+    if top or hidden or role in OUTSIDE_ROLES or OUTSIDE_WORDS & marking:
+        return HARD
+    found = BOX_WORDS & marking
+    if tag in BOXES or role in BOX_ROLES or found and tag not in TEXT_TAGS and not is_main:
+        return VAGUE if in_article and tag not in BOXES and role not in BOX_ROLES and found <= VAGUE_WORDS else BOX
+    return UNMARKED
+
+
+#: A text of so many characters beside links, with the end of a sentence, shows that there is an article.
+ARTICLE_CHARS = 40
+#: Share of the page's text from which on an element is around most of it.
+MOST = 0.5
+SENTENCE = re.compile(r"[.!?…。]")
+
+
+def judged(elements: list[Element], marks: list[int], blocks: list[Block]) -> list[Element]:
+    """Elements with `outside` and `weight` set by their marks and by where the text is.
+
+    A marked element is a wrapper, and its mark is void, if most of the page's text is in it and it holds a
+    heading of the first level, an article or main element, or nothing unmarked looks like an article. Unmistakable
+    marks are void only if it holds such an element and nothing unmarked looks like an article.
+    """
+    n = len(elements)
+    every, soft, plain, holds = [0] * n, [0] * n, [True] * n, [e.tag in ("article", "main", "h1") for e in elements]
+    hard = [m == HARD for m in marks]
+    for i in range(1, n):
+        up = elements[i].parent
+        hard[i] = hard[i] or hard[up]
+        plain[i] = plain[up] and marks[i] == UNMARKED
+    article = False
+    for b in blocks:
+        own = max(0, len(b.text) - b.linked)
+        every[b.element] += own
+        soft[b.element] += 0 if hard[b.element] else own
+        if plain[b.element] and own > (1 - LINKS) * len(b.text):
+            article = article or elements[b.element].in_article or own >= ARTICLE_CHARS and bool(SENTENCE.search(b.text))
+    for i in range(n - 1, 0, -1):
+        up = elements[i].parent
+        every[up] += every[i]
+        soft[up] += soft[i]
+        holds[up] = holds[up] or holds[i]
+    out = list(elements)
+    for i in range(1, n):
+        up, m = out[elements[i].parent], marks[i]
+        outside, weight = up.outside, up.weight
+        if m == VAGUE:
+            weight *= VAGUE_WEIGHT
+        elif m == BOX:
+            outside = outside or not (soft[i] > MOST * soft[0] and (holds[i] or not article))
+        elif m == HARD:
+            outside = outside or elements[i].tag in OUTSIDE or not (every[i] > MOST * every[0] and holds[i] and not article)
+        out[i] = elements[i]._replace(outside=outside, weight=weight)
+    return out
 
 
 def tags(page: str) -> Iterator[Tag]:
@@ -129,10 +214,10 @@ def tags(page: str) -> Iterator[Tag]:
 
 def parse(page: str) -> tuple[list[Element], list[Block]]:
     """Elements with their paths, and the text blocks in page order."""
-    elements = [Element("", 0, -1, False, False)]
+    elements, marks = [Element("", 0, -1, False, False)], [UNMARKED]
     paths: dict[tuple[int, str], int] = {}
     stack = [0]
-    open_now: Counter[str] = Counter()
+    open_now: defaultdict[str, list[int]] = defaultdict(list)  # the places in the stack of each tag's open elements
     blocks: list[Block] = []
     pieces: list[str] = []
     linked = at = 0
@@ -147,19 +232,15 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         linked = 0
 
     def pop(k: int) -> None:
-        open_now.subtract(elements[e].tag for e in stack[k:])
+        for e in stack[k:]:
+            open_now[elements[e].tag].pop()
         del stack[k:]
 
     def close(ends: set[str], limits: set[str]) -> None:
         """Close the innermost open element of `ends`, and all in it, unless one of `limits` is around the place."""
-        if any(open_now[e] for e in ends):
-            for k in range(len(stack) - 1, 0, -1):
-                tag = elements[stack[k]].tag
-                if tag in ends:
-                    return pop(k)
-                if tag in limits:
-                    return None
-        return None
+        k = max((open_now[e][-1] for e in ends if open_now[e]), default=0)
+        if k and all(not open_now[x] or open_now[x][-1] <= k for x in limits):
+            pop(k)
 
     found = tags(page)
     tag = next(found, None)
@@ -173,7 +254,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         at, name = tag.end, tag.name
         if name == "br":
             pieces.append(" ")
-        elif name in INLINE and (tag.closes or not OUTSIDE_WORDS & attribute_marks(tag.attributes, False)[0]):
+        elif name in INLINE and (tag.closes or not OUTSIDE_WORDS & attribute_marks(tag.attributes, False)[3]):
             if name == "a":
                 in_link = not tag.closes
             if tag.closes and open_now[name]:  # it is an element that is outside
@@ -189,15 +270,13 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
                 if name in CLOSES_P:
                     close({"p"}, LIMITS)
                 up = elements[stack[-1]]
-                words, role, hidden = attribute_marks(tag.attributes, name not in OWN_IDS) if tag.attributes else (set(), "", False)
-                root = name in ("html", "body", "article", "main")
-                marked = not root and (role in OUTSIDE_ROLES or hidden or bool(OUTSIDE_WORDS & words))
-                top = not up.in_article and (name == "header" or not root and "header" in words and not MAIN_WORDS & words)
+                words, role, hidden, marking, is_main = attribute_marks(tag.attributes, name not in OWN_IDS) if tag.attributes else (set(), "", False, set(), False)
                 step = (up.path, f"{name}.{'-'.join(sorted(words))}")
-                elements.append(Element(name, paths.setdefault(step, len(paths) + 1), stack[-1], up.outside or name in OUTSIDE or marked or top, up.in_article or name in ("article", "main")))
+                elements.append(Element(name, paths.setdefault(step, len(paths) + 1), stack[-1], False, up.in_article or name in ("article", "main")))
+                marks.append(mark_of(name, role, hidden, marking, is_main, up.in_article))
                 if name not in RAW or tag.attributes.rstrip().endswith("/"):
+                    open_now[name].append(len(stack))
                     stack.append(len(elements) - 1)
-                    open_now[name] += 1
                 else:
                     end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                     resume = at = end.end() if end else len(page)
@@ -208,7 +287,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
     if at < len(page):
         pieces.append(page[at:])
     flush()
-    return elements, blocks
+    return judged(elements, marks, blocks), blocks
 
 
 def smoothed(values: list[float], radius: int = 2) -> list[float]:
@@ -235,30 +314,46 @@ def content_scores(elements: list[Element], blocks: list[Block]) -> list[float]:
         t[2] += 1
     texts = smoothed([by[elements[b.element].path][0] / by[elements[b.element].path][2] for b in blocks])
     marks = smoothed([by[elements[b.element].path][1] / by[elements[b.element].path][2] for b in blocks])
-    return [0.0 if elements[b.element].outside else math.sqrt(t * (1.0 + m)) for b, t, m in zip(blocks, texts, marks, strict=True)]
+    return [0.0 if elements[b.element].outside else elements[b.element].weight * math.sqrt(t * (1.0 + m)) for b, t, m in zip(blocks, texts, marks, strict=True)]
 
 
-#: Share of the mean fused ratio that a path needs.
-THRESHOLD = 0.5
+#: Paths are parted at the first gap of this ratio above which there is this share of the text.
+GAP, UPPER = 1.6, 0.75
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Share of its text from which on a block counts as links.
 LINKS = 0.5
+#: Elements that stand in a container as parts of its text.
+PARTS = TEXT_TAGS | {"ul", "ol", "dl", "table", "figure"}
+
+
+def threshold(paths: list[tuple[float, int]]) -> float:
+    """The least score of content, from the scores and text lengths of paths: what stands above the first wide gap under most of the text."""
+    found = sorted((p for p in paths if p[0] > 0), reverse=True)
+    total, above = sum(n for _, n in found), 0
+    for (high, n), (low, _) in zip(found, found[1:]):
+        above += n
+        if above >= UPPER * total and high >= GAP * low:
+            return high
+    return found[-1][0] if found else math.inf
 
 
 def chosen_blocks(elements: list[Element], blocks: list[Block], scores: list[float]) -> list[bool]:
-    """Blocks whose path has the threshold on average, and headings right before such."""
-    inside = [s for s in scores if s > 0]
-    least = THRESHOLD * sum(inside) / max(1, len(inside))
+    """Blocks whose path's mean score is above the gap, and headings right before such."""
     by: dict[int, list[float]] = {}
     for b, s in zip(blocks, scores, strict=True):
-        if not elements[b.element].outside:
-            by.setdefault(elements[b.element].path, []).append(s)
-    content = {p for p, s in by.items() if inside and sum(s) / len(s) >= least}
+        e = elements[b.element]
+        if not e.outside:
+            t = by.setdefault(e.path, [0.0, 0, 0])
+            t[0] += s
+            t[1] += 1
+            t[2] += max(0, len(b.text) - b.linked)
+    means = {p: s / n for p, (s, n, _) in by.items()}
+    least = threshold([(means[p], int(t[2])) for p, t in by.items()])
     out, before = [], False
     for b in reversed(blocks):
         e = elements[b.element]
         if not e.outside:
-            before = e.path in content or before and e.tag in HEADINGS
+            before = means[e.path] >= least or before and e.tag in HEADINGS
         out.append(before and not e.outside)
     return out[::-1]
 
@@ -268,25 +363,37 @@ def main_text(page: str | None) -> str:
     chosen = chosen_blocks(elements, blocks, content_scores(elements, blocks))
     if not any(chosen):
         return ""
-    article = deepest = None  # the smallest element around all content, from which an article or main around it is looked for
-    for b, c in zip(blocks, chosen, strict=True):
-        if c:
-            deepest = b.element if deepest is None else common(elements, deepest, b.element)
-    k = deepest
-    while k > 0 and article is None:
-        article = k if elements[k].tag in ("article", "main") else None
+    first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
+    deepest = common(elements, blocks[first].element, blocks[last].element)  # elements are in page order, so this holds all between
+    article = k = deepest
+    while article > 0 and elements[article].tag not in ("article", "main"):
+        article = elements[article].parent
+    while k > 0 and elements[k].tag in TEXT_TAGS:  # what stands beside a text that is all content belongs to it
         k = elements[k].parent
-    around, first = deepest if article is None else article, chosen.index(True)
-    last = len(chosen) - 1 - chosen[::-1].index(True)
-    if elements[around].tag in HEADINGS or elements[around].tag in ("p", "li", "pre"):
-        around = elements[around].parent
-    within: dict[int, bool] = {}
-    texts = []
-    for i, (b, c) in enumerate(zip(blocks, chosen, strict=True)):
-        near = (article is not None or first < i < last) and b.linked <= LINKS * len(b.text)
-        if c or near and not elements[b.element].outside and inside_of(elements, b.element, around, within):
-            texts.append(b.text)
-    return " ".join(texts)
+    around = article if article > 0 else k
+    branch = branches(elements, around)
+    own = {branch[b.element] for b, c in zip(blocks, chosen, strict=True) if c}
+
+    def near(i: int, b: Block) -> bool:
+        """A block that isn't content by its path, but part of the text around it."""
+        if elements[b.element].outside or b.linked > LINKS * len(b.text):
+            return False
+        if article > 0:
+            return branch[b.element] >= 0
+        child = branch[b.element]
+        return first < i < last or child >= 0 and (child in own or child == around or elements[child].tag in PARTS)
+
+    return " ".join(b.text for i, (b, c) in enumerate(zip(blocks, chosen, strict=True)) if c or near(i, b))
+
+
+def branches(elements: list[Element], around: int) -> list[int]:
+    """For each element the child of `around` that it is in, around itself, or -1 outside it."""
+    out = [-1] * len(elements)
+    out[around] = around
+    for i in range(around + 1, len(elements)):
+        up = out[elements[i].parent]
+        out[i] = i if elements[i].parent == around else up
+    return out
 
 
 def common(elements: list[Element], a: int, b: int) -> int:
@@ -299,16 +406,6 @@ def common(elements: list[Element], a: int, b: int) -> int:
     return a
 
 
-def inside_of(elements: list[Element], k: int, around: int, known: dict[int, bool]) -> bool:
-    line = []
-    while k > around and k not in known:
-        line.append(k)
-        k = elements[k].parent
-    answer = known.get(k, k == around)
-    known |= dict.fromkeys(line, answer)
-    return answer
-
-
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of each page, row by row, without a shuffle.
 
