@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import SHARD_BYTES, Units, covered, find_repeats, ranges
@@ -25,13 +26,28 @@ SPARSE = 16
 REMOVED, SHARED = 0, 1
 
 
+def held_again(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Of the strings of a length at some positions, which stand at two of these or more; told apart by 128 bits."""
+    if not len(at):
+        return np.zeros(0, bool)
+    _, of, n = np.unique(np.array([xxhash.xxh3_128_digest(text[k : k + length]) for k in at.tolist()]), return_inverse=True, return_counts=True)
+    return n[of] > 1
+
+
 def search_bytes(contents: list[bytes], windows: np.ndarray, count: np.ndarray, window: int, reported: int) -> list[tuple[list[int], list[int], list[int]]]:
     """For each content, ranges of starts of strings that stand elsewhere too, by length. Only its windows are starts: what follows them may start in other contents of its text."""
-    text, begins = join_contents(np.frombuffer(b"".join(contents), np.uint8), np.array([len(c) for c in contents]))
-    counted = np.zeros(len(text) + 1, np.int8)
-    counted[begins] += 1
-    counted[begins + windows] -= 1
-    longest = RunLengthIndex(text).matching_statistics(np.cumsum(counted[:-1]) > 0)
+    sizes = np.array([len(c) for c in contents])
+    text, begins = join_contents(np.frombuffer(b"".join(contents), np.uint8), sizes)
+    longest = RunLengthIndex(text).matching_statistics(begins, sizes)
+    start = np.zeros(len(text) + 1, np.int8)
+    start[begins] += 1
+    start[begins + windows] -= 1
+    longest[np.cumsum(start[:-1]) == 0] = 0
+    # what follows the windows is shorter than `window`, so that only shorter matches can be with it
+    short = np.flatnonzero((longest >= reported) & (longest < window))
+    if len(short) and reported < window:
+        long = np.flatnonzero(longest >= window)
+        longest[short[~held_again(text, np.concatenate([short, long]), reported)[: len(short)]]] = 0
     for k in np.flatnonzero(count > 1).tolist():  # equal contents match whole
         longest[begins[k] : begins[k] + windows[k]] = len(contents[k]) - np.arange(windows[k])
     out: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in contents]

@@ -137,74 +137,122 @@ class FmIndex:
         return np.minimum.reduceat(np.append(self.owner, 0), np.ravel(np.column_stack([stretch, until])))[::2][back]
 
 
+def common(text: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None, other: np.ndarray | None = None) -> np.ndarray:
+    """Symbols that text from a on and text (or other) from b on share, before a content ends in text, up to most."""
+    per, bits = 8 // text.dtype.itemsize, 8 * text.dtype.itemsize
+    views = []
+    for x in (text, text if other is None else other):
+        padded = np.append(x, np.zeros(2 * per, x.dtype))
+        views.append(np.ndarray(len(x) + per, np.uint64, padded, strides=padded.strides))  # the next 8 bytes from each place on, without a copy
+    limit = end[a] - a
+    if other is None:
+        limit = np.minimum(limit, end[b] - b)
+    limit = limit.astype(np.int64) if most is None else np.minimum(limit, most)
+    length = np.zeros(len(a), np.int64)
+    live = np.flatnonzero(limit > 0)
+    while len(live):
+        differ = views[0][a[live] + length[live]] ^ views[1][b[live] + length[live]]
+        length[live] += np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // bits  # equal symbols in front
+        live = live[(differ == 0) & (length[live] < limit[live])]
+    return np.minimum(length, limit)
+
+
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform: each run's symbol, first row, and the text positions at both its ends.
+    """Run-compressed Burrows-Wheeler transform of the contents of a shard, with samples at the ends of its runs.
 
-    The step from a row to the row of the suffix one symbol longer (LF) needs the row's run alone: rows of
-    one symbol keep their order, so a run's rows go to consecutive rows, from `to` on.
+    A run is rows whose suffixes follow the same symbol. They keep their order when that symbol is put in front
+    (LF), so a run's rows go to consecutive rows, from `to` on, and one number a run is enough. Nor do suffix
+    order and text stay: what two neighbouring rows share grows by one from step to step while both are in one
+    run, and only where a run begins there is a new neighbour, with which `shared` symbols are shared.
+    For texts that aren't in the index (`stream`) the text positions at both ends of each run are kept, and the text.
     """
 
-    def __init__(self, text: np.ndarray):
-        self.text, self.end = text, ends_of(text)
-        order = sort_suffixes(text, self.end)
+    def __init__(self, text: np.ndarray, foreign: bool = False):
+        end = ends_of(text)
+        order = sort_suffixes(text, end)
         bwt = text[order - 1]
-        self.rows, self.order = (n := len(text)), order
-        self.first = np.append(0, np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)) + 1)  # zeros differ
-        self.last = np.append(self.first[1:], n) - 1
-        self.symbol, self.head, self.tail = bwt[self.first], order[self.first], order[self.last]
-        by = np.argsort(self.symbol, kind="stable")
-        size = (self.last - self.first + 1)[by]
-        self.to = np.empty(len(by), np.int64)  # LF of each run's first row
+        self.contents, self.rows = int((text == 0).sum()), (n := len(text))
+        self.first = np.append(0, np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)) + 1).astype(np.int32)  # zeros differ
+        last = np.append(self.first[1:], n) - 1
+        symbol, head, tail = bwt[self.first], order[self.first], order[last]
+        by = np.argsort(symbol, kind="stable").astype(np.int32)
+        size = (last - self.first + 1)[by]
+        self.to = np.empty(len(by), np.int32)  # LF of each run's first row
         self.to[by] = np.cumsum(size) - size
-        self.above = np.full(len(by), -1)  # the run whose last row leads to the row above that of a run's first row
-        self.above[by[1:]] = by[:-1]
-        per = 8 // text.dtype.itemsize
-        padded = np.append(text, np.zeros(2 * per, text.dtype))
-        self.words = np.lib.stride_tricks.as_strided(padded, (n + per, per), padded.strides * 2).copy().view(np.uint64).ravel()
-        self.per, self.bits = per, 8 * text.dtype.itemsize
+        # runs of one symbol lead to rows one below the other: the head's row meets that of the tail of the run before
+        meets = np.flatnonzero((symbol[by[1:]] == symbol[by[:-1]]) & (symbol[by[1:]] > 0)) + 1
+        shared = np.zeros(len(by) + 1, np.int32)
+        shared[meets] = 1 + common(text, end, head[by[meets]], tail[by[meets - 1]])
+        self.shared, self.below = np.empty(len(by), np.int32), np.empty(len(by), np.int32)  # of the head's new row with that above, of the tail's with that below
+        self.shared[by], self.below[by] = shared[:-1], shared[1:]
+        self.foreign = foreign
+        if foreign:
+            self.text, self.end, self.head, self.tail = text, end, head, tail
+            begins = np.searchsorted(symbol[by], np.arange(int(text.max(initial=0)) + 2))
+            self.runs_with = [np.sort(by[a:b]) for a, b in zip(begins, begins[1:], strict=False)]
+            self.symbol = symbol
 
     @property
     def runs(self) -> int:
         return len(self.first)
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Symbols that the suffixes at a and b share before either's content ends."""
-        most = np.minimum(self.end[a] - a, self.end[b] - b)
-        length = np.zeros(len(a), np.int64)
-        live = np.flatnonzero(most > 0)
-        while len(live):
-            differ = self.words[a[live] + length[live]] ^ self.words[b[live] + length[live]]
-            low = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // self.bits  # equal symbols in front
-            length[live] += low
-            live = live[(differ == 0) & (length[live] < most[live])]
-        return np.minimum(length, most)
-
-    def matching_statistics(self, counted: np.ndarray) -> np.ndarray:
-        """For each counted position the longest match of its suffix with that of any other counted one; 0 for the others.
-
-        Streaming a content backwards through the index takes its row from symbol to symbol (LF), and the
-        row above comes along, since rows of one run stay neighbours. Only where the own row is the first of
-        its run another neighbour takes over: the sampled end of the run that comes before in order of
-        symbols. So all contents together meet a new neighbour once at each run; there symbols are compared,
-        and from step to step a match grows by one.
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.first, self.to, self.shared, self.below))
+
+    def matching_statistics(self, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each position of the text the longest match of its suffix with one that starts elsewhere.
+
+        Each content is streamed backwards, all in step: its end's row is known, and from there LF leads to the
+        rows of longer suffixes; what they share with the rows above and below comes along. begins, sizes: of
+        the contents, in the order in which they were joined.
         """
-        n, zeros = self.rows, np.flatnonzero(self.text == 0)
-        meets = np.flatnonzero(self.symbol > 0)
-        to = self.above[meets]
-        at = np.concatenate([zeros, self.head[meets] - 1])
-        beside = np.concatenate([np.append(-1, zeros[:-1]), np.where(to >= 0, (self.tail[to] - 1) % n, -1)])
-        by = np.argsort(at)
-        at, beside = at[by], beside[by]
-        length = np.where(beside >= 0, self.common(at, np.maximum(beside, 0)), 0)
-        steps = np.diff(at, prepend=-1)
-        above = np.where(np.repeat(beside < 0, steps), 0, np.repeat(length + at, steps) - np.arange(n))
-        rows = np.flatnonzero(counted[self.order])
-        best = np.zeros(n, np.int64)
-        if len(rows) > 1:  # what two counted rows share is the least of what lies between
-            shared = np.minimum.reduceat(above[self.order[: rows[-1] + 1]], rows[:-1] + 1)
-            best[self.order[rows]] = np.maximum(np.append(0, shared), np.append(shared, 0))
+        best = np.zeros(self.rows, np.int32)
+        by = np.argsort(-sizes, kind="stable")
+        row, above, below = by.astype(np.int32), np.zeros(len(by), np.int32), np.zeros(len(by), np.int32)  # ends sort first, in the order of contents
+        at, left = (begins + sizes)[by], sizes[by]
+        last = np.append(self.first[1:], self.rows) - 1
+        table = np.column_stack([self.first, last, self.to - self.first, self.shared, self.below]).astype(np.int32)  # what a step needs, side by side
+        for step in range(1, int(left[0]) + 1 if len(left) else 1):
+            live = int(np.searchsorted(-left, -step, side="right"))
+            row, above, below = row[:live], above[:live], below[:live]
+            run = table.take(self.first.searchsorted(row, side="right") - 1, axis=0)
+            above += 1
+            below += 1
+            at_head, at_tail = np.flatnonzero(row == run[:, 0]), np.flatnonzero(row == run[:, 1])
+            above[at_head], below[at_tail] = run[at_head, 3], run[at_tail, 4]
+            row = row + run[:, 2]
+            best[at[:live] - step] = np.maximum(above, below)
         return best
 
+    def stream(self, pattern: np.ndarray) -> np.ndarray:
+        """For each position of a text that isn't in the index (symbols from 1) the longest match of its suffix with one in the index.
+
+        While the row's run goes on with the pattern's symbol, LF lengthens the match. Else the nearest rows
+        before and after that do, a run's tail and a run's head, are compared with the match at hand.
+        """
+        n, out = len(pattern), np.zeros(len(pattern), np.int64)
+        row, place, length = 0, int(np.flatnonzero(self.text == 0)[0]), 0
+        for i in range(n - 1, -1, -1):
+            c = int(pattern[i])
+            run = int(np.searchsorted(self.first, row, side="right")) - 1
+            if self.symbol[run] != c:
+                known = self.runs_with[c] if 0 < c < len(self.runs_with) else ()
+                if not len(known):
+                    row, place, length = 0, int(np.flatnonzero(self.text == 0)[0]), 0
+                    continue
+                k = int(np.searchsorted(known, run))
+                ways = [(r, up) for r, up in zip(known[max(0, k - 1) : k + 1], [True, False][k == 0 :], strict=False)]
+                places = np.array([self.tail[r] if up else self.head[r] for r, up in ways])
+                shared = common(self.text, self.end, places, np.full(len(ways), place), np.full(len(ways), length))
+                w = int(np.argmax(shared))
+                run, up = int(ways[w][0]), ways[w][1]
+                row = int(self.first[run + 1] if run + 1 < self.runs else self.rows) - 1 if up else int(self.first[run])
+                place, length = int(places[w]), int(shared[w])
+            row, place, length = int(self.to[run]) + row - int(self.first[run]), (place - 1) % self.rows, length + 1
+            out[i] = length
+        return out
+
 
 def join_contents(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The text of a shard, symbols renumbered from 1 without gaps, and where each content begins. flat: the contents end to end, small numbers."""

@@ -442,21 +442,69 @@ def test_frequent_and_hot_anchors(spark, monkeypatch):
     assert results(substrings.remove_repeats(docs, hot=2)) == results(substrings.remove_repeats(docs))
 
 
+def common_length(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def some_contents(rng, case):
+    contents = [rng.integers(0, int(rng.integers(1, 4)), int(rng.integers(1, 14))).astype(np.uint8) for _ in range(int(rng.integers(1, 5)))]
+    return contents + contents[:1] * (case % 3 == 0)
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(12)
     for case in range(300):
-        contents = [rng.integers(0, int(rng.integers(1, 4)), int(rng.integers(1, 14))).astype(np.uint8) for _ in range(int(rng.integers(1, 5)))]
-        contents += contents[:1] * (case % 3 == 0)
-        starts = [int(rng.integers(1, len(c) + 1)) if case % 2 else len(c) for c in contents]
-        places = [(c, p) for c, n in zip(contents, starts, strict=True) for p in range(n)]
-        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        want = [max((common(c[p:], d[q:]) for j, (d, q) in enumerate(places) if j != i), default=0) for i, (c, p) in enumerate(places)]
+        contents = some_contents(rng, case)
+        places = [(c, p) for c in contents for p in range(len(c))]
+        want = [max((common_length(c[p:], d[q:]) for j, (d, q) in enumerate(places) if j != i), default=0) for i, (c, p) in enumerate(places)]
+        sizes = np.array([len(c) for c in contents])
+        text, begins = suffixes.join_contents(np.concatenate(contents), sizes)
+        got = suffixes.RunLengthIndex(text).matching_statistics(begins, sizes)
+        assert got[text > 0].tolist() == want and not got[text == 0].any()
+
+
+def test_matching_statistics_of_other_texts():
+    """Texts that aren't in the index, with symbols that it doesn't know."""
+    rng = np.random.default_rng(13)
+    for case in range(300):
+        contents = some_contents(rng, case)
         text, begins = suffixes.join_contents(np.concatenate(contents), np.array([len(c) for c in contents]))
-        counted = np.zeros(len(text), bool)
-        for b, n in zip(begins, starts, strict=True):
-            counted[b : b + n] = True
-        got = suffixes.RunLengthIndex(text).matching_statistics(counted)
-        assert got[counted].tolist() == want and not got[~counted].any()
+        inside = [text[b : b + len(c)] for b, c in zip(begins, contents, strict=True)]
+        pattern = rng.integers(1, int(text.max()) + 2, int(rng.integers(1, 20))).astype(text.dtype)
+        want = [max(common_length(pattern[i:], c[p:]) for c in inside for p in range(len(c))) for i in range(len(pattern))]
+        assert suffixes.RunLengthIndex(text, foreign=True).stream(pattern).tolist() == want
+
+
+def test_run_length_index_shrinks_with_its_runs():
+    rng = np.random.default_rng(15)
+    base = rng.integers(1, 27, 20_000).astype(np.uint8)
+    sizes = {}
+    for copies in (1, 4, 16):
+        texts = []
+        for _ in range(copies):
+            other = base.copy()
+            other[rng.integers(0, len(base), 20)] = 1
+            texts += [other, np.zeros(1, np.uint8)]
+        index = suffixes.RunLengthIndex(text := np.concatenate(texts))
+        sizes[copies] = index.bytes / len(text)
+    assert sizes[1] <= 16 and sizes[16] < sizes[4] / 2 < sizes[1] / 4
+
+
+def test_search_of_a_shard():
+    """Strings of two lengths in contents of which only the first places are starts, some standing several times."""
+    rng = np.random.default_rng(16)
+    for _ in range(150):
+        reported = int(rng.integers(2, 5))
+        window = reported + int(rng.integers(0, 4))
+        long = b"".join(rng.choice([b"a", b"b"], 60).tolist())
+        contents = list({long[(k := int(rng.integers(0, 40))) : k + window + int(rng.integers(0, 9))] for _ in range(5)})
+        windows = np.array([len(c) - window + 1 for c in contents])
+        count = rng.integers(1, 3, len(contents))
+        for least, kind in ((window, suffixarray.REMOVED), (reported, suffixarray.SHARED)):
+            seen = Counter(c[p : p + least] for c, n, m in zip(contents, windows.tolist(), count.tolist(), strict=True) for p in range(n) for _ in range(m))
+            want = [[seen[c[p : p + least]] > 1 for p in range(n)] for c, n in zip(contents, windows.tolist(), strict=True)]
+            got = [[any(a <= p < b for a, b, x in zip(*f, strict=True) if x == kind) for p in range(n)] for f, n in zip(suffixarray.search_bytes(contents, windows, count, window, reported), windows.tolist(), strict=True)]
+            assert got == want
 
 
 def test_chance_bands_make_no_families(spark, monkeypatch):
