@@ -2,9 +2,12 @@
 
 The automaton is built over the words of all items (each item added from the root). Training text is
 streamed through it word by word; the state and the length of the longest match that ends there give
-every window of an item that occurs. Items are taken in blocks of bounded size, one automaton a block,
-so that what a worker holds doesn't grow with the benchmark: a worker gathers documents and sends them
-through one automaton after the other, in one pass over the documents and without a shuffle.
+every window of an item that occurs. Items are taken in blocks of bounded size, one automaton a block.
+
+A benchmark of few blocks, whose size is checked first, is sent to all workers, and documents go through its
+automata in one pass (`near`). With more blocks a document meets only those of which it may hold a window
+(`routed`): a bit field of bounded size, then a join by window hashes, tell which; the document and the
+block's items are shuffled to one place, where the block's automaton is built once.
 """
 
 from __future__ import annotations
@@ -13,11 +16,15 @@ import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carrying, folded_words, map_rows, table
+from .anchors import Units
+from .common import CARRIED, carrying, discard, folded_words, identified, map_rows, scratch, struct_of, table
 
 #: Consecutive item words that count; an item of fewer words is one window.
 WINDOW = 13
@@ -144,37 +151,173 @@ def merged(spans: Sequence[Span]) -> list[Span]:
     return out
 
 
-#: A worker's automata, the last used last; beyond MOST_BUILT the least recently used is built again when it is needed.
+#: Blocks that are sent to all workers at most, and a worker's automata of them.
+MOST_NEAR = 4
 _BUILT: dict[str, SuffixAutomaton] = {}
-MOST_BUILT = 4
-#: Documents that a worker sends through one automaton before it takes the next, where there are several.
-ROWS_OF_A_PASS = 1024
+#: Bits of the field of window hashes: so many a window, and at most.
+BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Documents of one block that go to one task, about, and parts into which pairs of one window are dealt.
+DOCUMENTS, SALTS = 2048, 16
 
 
 def built(key: str, block: Broadcast, window: int) -> SuffixAutomaton:
-    automaton = _BUILT.pop(key, None) or SuffixAutomaton(block.value, window)
-    _BUILT[key] = automaton
-    if len(_BUILT) > MOST_BUILT:
-        del _BUILT[next(iter(_BUILT))]
-    return automaton
-
+    if key not in _BUILT:
+        if len(_BUILT) >= 2 * MOST_NEAR:  # those of other calls
+            _BUILT.clear()
+        _BUILT[key] = SuffixAutomaton(block.value, window)
+    return _BUILT[key]
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Item ids (as strings) and words, in blocks of about block_bytes, one at a time.
 
-    Items without words are left out. Equal items are one.
-    """
+def items_of(benchmark: DataFrame, blocks: int) -> DataFrame:
+    """item (its id as a string), text (binary) and block of each item with a text; equal items are one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).filter("text is not null").distinct()
-    block, size = [], 0
-    for r in items.toLocalIterator():
-        if words := folded_words(bytes(r.text)):
-            block.append((r.item, words))
-            size += len(r.text)
-            if size >= block_bytes:
-                yield block
-                block, size = [], 0
-    if block:
-        yield block
+    return items.withColumn("block", F.expr(f"int(pmod(xxhash64(item, text), {blocks}))"))
+
+
+def worded(rows: Iterator[tuple[str | None, bytes]]) -> list[tuple[str | None, list[bytes]]]:
+    return [(item, words) for item, text in rows if (words := folded_words(bytes(text)))]
+
+
+VERDICT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string, items string"
+
+
+def verdicts(doc_id: list, n_words: list[int], spans: list[list[Span]], items: list[set[str | None]]) -> list[list]:
+    """The columns of the result."""
+    spans = [merged(s) for s in spans]
+    n_hit = [sum(b - a for a, b in s) for s in spans]
+    named = [sorted(x for x in i if x is not None) for i in items]
+    lists = [",".join(x) for x in named]
+    return [
+        doc_id, n_words, n_hit, [len(x) for x in named], [hashlib.sha256(x.encode()).hexdigest() for x in lists],
+        [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], [",".join(f"{a}-{b}" for a, b in s) for s in spans], lists,
+    ]
+
+
+def near(docs: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """Documents in one pass, without a shuffle, through the automata of a benchmark of few blocks. docs: doc_id, text, perhaps carried_row."""
+    sc, run_id = docs.sparkSession.sparkContext, uuid.uuid4().hex
+    parts: list[list[tuple[str | None, bytes]]] = [[] for _ in range(blocks)]
+    for r in items.collect():
+        parts[r.block].append((r.item, r.text))
+    shared = [(f"{run_id}-{k}", sc.broadcast(worded(p))) for k, p in enumerate(parts) if p]
+
+    def run(doc_id, text):
+        words = [folded_words(t) for t in text]
+        spans: list[list[Span]] = [[] for _ in words]
+        of: list[set[str | None]] = [set() for _ in words]
+        for key, block in shared:
+            automaton = built(key, block, window)
+            for w, s, i in zip(words, spans, of, strict=True):
+                hit, names = automaton.matches(w)
+                s += hit
+                i |= names
+        return verdicts(doc_id, [len(w) for w in words], spans, of)
+
+    return map_rows(docs, run, VERDICT)
+
+
+def window_hashes(words: list[bytes], size: int) -> np.ndarray:
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return Units(True, size, size, False).grams(h)
+
+
+def windows_of(items: DataFrame, window: int) -> DataFrame:
+    """Hash, number of words and block of each window of the items."""
+
+    def run(_, text, block):
+        out: list[list] = [[], [], []]
+        for t, b in zip(text, block, strict=True):
+            if words := folded_words(t):
+                k = min(window, len(words))
+                h = window_hashes(words, k).view(np.int64)
+                for column, values in zip(out, (h, np.full(len(h), k), np.full(len(h), b)), strict=True):
+                    column.append(values)
+        return [np.concatenate(c) if c else [] for c in out]
+
+    return scratch(map_rows(items, run, "h long, k int, block int", as_bytes=True).distinct(), "windows")
+
+
+def screened(docs: DataFrame, windows: DataFrame, most_bits: int) -> DataFrame:
+    """docs with n_words and hashes, those of its windows that the field of the benchmark's knows, and text only where there are such."""
+    size = min(most_bits, 1 << max(10, (BITS_EACH * windows.count()).bit_length()))
+    lengths = sorted(r.k for r in windows.select("k").distinct().collect())
+    slot = F.pmod("h", F.lit(size))
+    words = windows.groupBy(F.expr("h").alias("h")).agg(F.first("k")).select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits"))
+    field = np.zeros(size // 64, np.int64)  # at most MOST_BITS, whatever the benchmark's size
+    for word, bits in words.collect():
+        field[word] = bits
+    shared = docs.sparkSession.sparkContext.broadcast(field.view(np.uint64))
+
+    def run(uid, doc_id, text):
+        n_words, hashes, kept = [], [], []
+        for t in text:
+            words, found = folded_words(t), []
+            for k in lengths:
+                if len(words) >= k:
+                    h = window_hashes(words, k)
+                    at = h & np.uint64(size - 1)
+                    found.append(h[(shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)])
+            some = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            n_words.append(len(words))
+            hashes.append(some.view(np.int64))
+            kept.append(t if len(some) else None)
+        return [uid, doc_id, n_words, hashes, kept]
+
+    return scratch(map_rows(docs.select("uid", "doc_id", "text", *([CARRIED] if CARRIED in docs.columns else [])), run, "uid long, doc_id long, n_words long, hashes array<long>, text binary", as_bytes=True), "screened")
+
+
+MATCHES = "uid long, spans array<struct<`from`:int,`to`:int>>, items array<string>"
+
+
+def match_blocks(rows: DataFrame, window: int) -> DataFrame:
+    """Matches of documents in the blocks that they met. rows: block, part, uid (null for an item), item, text; one place's items come first and make one automaton."""
+
+    def run(batches):
+        name, automaton, held = None, None, []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                out: list[list] = [[], [], []]
+                for block, part, uid, item, text in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
+                    if (block, part) != name:
+                        name, automaton, held = (block, part), None, []
+                    if uid is None:
+                        held.append((item, text))
+                        continue
+                    if automaton is None:
+                        automaton, held = SuffixAutomaton(worded(held), window), []
+                    spans, items = automaton.matches(folded_words(text))
+                    if spans:
+                        for column, value in zip(out, (uid, [{"from": a, "to": b} for a, b in spans], sorted(items, key=str)), strict=True):
+                            column.append(value)
+                kinds = (pa.int64(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["uid", "spans", "items"])
+
+    return rows.repartition("block", "part").sortWithinPartitions("block", "part", F.asc_nulls_first("uid")).mapInArrow(run, struct_of(MATCHES))
+
+
+def routed(docs: DataFrame, items: DataFrame, window: int, documents: int = DOCUMENTS, most_bits: int = MOST_BITS) -> DataFrame:
+    """Documents through the automata of the blocks of which they may hold a window. docs: doc_id, text, uid, perhaps carried_row."""
+    items = scratch(items, "items")
+    windows = windows_of(items, window)
+    rows = screened(docs, windows, most_bits)
+    salt = F.expr(f"int(pmod(xxhash64(uid), {SALTS}))")
+    asked = rows.select("uid", F.explode("hashes").alias("h"), salt.alias("salt"))
+    known = windows.select("h", "block").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = scratch(asked.join(known, ["h", "salt"]).select("uid", "block").distinct(), "pairs")
+    parts = pairs.groupBy("block").count().select("block", F.expr(f"int(ceil(count / {documents}))").alias("parts"))
+    texts = pairs.join(rows.filter("text is not null").select("uid", "text"), "uid").join(parts, "block")
+    texts = texts.select("block", F.expr("int(pmod(xxhash64(uid), parts))").alias("part"), "uid", F.lit(None).cast("string").alias("item"), "text")
+    own = items.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("uid"), "item", "text")
+    found = match_blocks(own.unionByName(texts), window).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    found = scratch(found, "matches")
+    for x in (items, windows, pairs):
+        discard(x)
+
+    def run(doc_id, n_words, spans, names):
+        return verdicts(doc_id, n_words, [[(x["from"], x["to"]) for x in s or ()] for s in spans], [set(i or ()) for i in names])
+
+    both = rows.select("uid", "doc_id", "n_words", *([CARRIED] if CARRIED in rows.columns else [])).join(found, "uid", "left")
+    return map_rows(both.select("doc_id", "n_words", "spans", "items", *([CARRIED] if CARRIED in rows.columns else [])), run, VERDICT)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
@@ -187,31 +330,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     counts once. Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (hit words, as
     from-to, comma-joined), items (item ids as strings, sorted, comma-joined).
     """
-    sc = docs.sparkSession.sparkContext
-    run_id = uuid.uuid4().hex
-    blocks = [(f"{run_id}-{k}", sc.broadcast(block)) for k, block in enumerate(blocks_of(benchmark, block_bytes))]
-
-    def run(doc_id, text):
-        words = [folded_words(t) for t in text]
-        spans: list[list[Span]] = [[] for _ in words]
-        items: list[set[str | None]] = [set() for _ in words]
-        for key, block in blocks:
-            automaton = built(key, block, window)
-            for w, s, i in zip(words, spans, items, strict=True):
-                hit, of = automaton.matches(w)
-                s += hit
-                i |= of
-        spans = [merged(s) for s in spans]
-        n_hit = [sum(b - a for a, b in s) for s in spans]
-        named = [sorted(x for x in i if x is not None) for i in items]
-        lists = [",".join(x) for x in named]
-        return [
-            doc_id, [len(w) for w in words], n_hit, [len(x) for x in named], [hashlib.sha256(x.encode()).hexdigest() for x in lists],
-            [h > 0 and 20 * h >= len(w) for h, w in zip(n_hit, words, strict=True)], [",".join(f"{a}-{b}" for a, b in s) for s in spans], lists,
-        ]
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carrying(docs, carry))
-    return map_rows(plain, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string, items string", rows=256 if len(blocks) <= MOST_BUILT else ROWS_OF_A_PASS)
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    items, text = items_of(benchmark, blocks), F.col("text").cast("binary").alias("text")
+    if blocks <= MOST_NEAR:
+        return near(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *carrying(docs, carry)), items, blocks, window)
+    return routed(identified(docs, text, *carrying(docs, carry)), items, window)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

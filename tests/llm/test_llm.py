@@ -417,6 +417,27 @@ def test_many_benchmark_blocks(spark, docs):
     assert results(plan) == results(decontaminate.find_contamination(docs, bench))
 
 
+def test_documents_meet_few_blocks(spark, monkeypatch):
+    """With many blocks, each automaton is built once, and only documents that may hold one of its windows run through it, those of a hot block in parts."""
+    rng = np.random.default_rng(21)
+    prose = lambda n: " ".join(f"v{k}" for k in rng.integers(0, 5000, n))
+    items = [(k, prose(40)) for k in range(120)] + [(200, "only these four words"), (None, prose(20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [prose(300) for _ in range(300)]
+    for k in range(0, 120):  # a third of the documents hold one item, others one each
+        texts[k] += " " + items[7][1] + " " + prose(5)
+        texts[k + 120] += " " + items[k][1][:90] + " " + prose(5)
+    texts[299] = "Only THESE four, words!"
+    docs = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (None, texts[6]), (None, None)], "doc_id long, text string")
+    met, real = [], decontaminate.match_blocks
+    sizes = lambda rows: [r["count"] for r in rows.filter("uid is not null").groupBy("block", "part").count().collect()]
+    monkeypatch.setattr(decontaminate, "match_blocks", lambda rows, window: met.extend(sizes(rows)) or real(rows, window))
+    monkeypatch.setattr(decontaminate.routed, "__defaults__", (20, 1 << 27))
+    got = results(decontaminate.find_contamination(docs, bench, block_bytes=1000))
+    assert got == results(decontaminate.find_contamination(docs, bench))
+    assert 240 <= sum(met) <= 250 and max(met) <= 40
+
+
 def test_offending_sentences():
     calm = ["the river runs past the old mill", "we met at noon and walked home", "rain fell on the quiet town"]
     rows = [(". ".join(calm[(k + j) % 3] + f" {k * 7 % 11}" for j in range(3)) + (". you are a vile grumbol" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(400)]
