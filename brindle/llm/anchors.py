@@ -27,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import CARRIED, carrying, column_values, identified, map_rows, plain_words, ship, spread, struct_of
+from .common import CARRIED, carrying, column_values, discard, identified, map_rows, plain_words, scratch, ship, spread, struct_of
 
 #: Share of rows in which frequent grams are counted. It steers only which gram of a window is its anchor, never which windows are found.
 SAMPLE, SEED = 0.02, 7
-#: Grams that count as frequent at most, and the documents of the sample that must hold them.
-MOST_FREQUENT, LEAST_FREQUENT = 20_000, 20
+#: Grams that count as frequent at most, and the documents of the sample that must hold them. A gram beyond these has
+#: no more than one part in MOST_FREQUENT of what the sample holds, so that its runs are fewer than a task has on
+#: average, for as many tasks.
+MOST_FREQUENT, LEAST_FREQUENT = 1 << 18, 20
+#: Bits of the first test for frequent grams.
+QUICK = 22
 #: Runs of an anchor from which on they are dealt out by what stands there, in parts of so many to a string's length.
 HOT, PARTS = 1_000, 16
 #: Bits of a position within a piece of text; longer texts are taken in pieces.
@@ -42,6 +46,9 @@ LONGEST = 1024
 #: Bytes of distinct run texts in one shard, and of those that a task holds to count equal ones.
 SHARD_BYTES, COMBINED_BYTES = 1 << 20, 8 << 20
 
+#: Parts into which the copies of one text are dealt.
+SALTS = 16
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BYTE_HASHES = spread(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER)
 
@@ -100,13 +107,13 @@ class Frequent:
 
     def __init__(self, grams: np.ndarray):
         self.sorted = np.sort(grams.astype(np.uint64))
-        self.quick = np.zeros(1 << 20, bool)
-        self.quick[self.sorted & np.uint64((1 << 20) - 1)] = True
+        self.quick = np.zeros(1 << QUICK, bool)
+        self.quick[self.sorted & np.uint64((1 << QUICK) - 1)] = True
 
     def holds(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grams), bool)
         if len(self.sorted):
-            maybe = np.flatnonzero(self.quick[grams & np.uint64((1 << 20) - 1)])
+            maybe = np.flatnonzero(self.quick[grams & np.uint64((1 << QUICK) - 1)])
             i = np.minimum(np.searchsorted(self.sorted, grams[maybe]), len(self.sorted) - 1)
             out[maybe] = self.sorted[i] == grams[maybe]
         return out
@@ -174,7 +181,15 @@ def frequent_grams(rows: DataFrame, units: Units) -> np.ndarray:
         return [np.concatenate(held).view(np.int64)]
 
     counts = map_rows(rows.sample(SAMPLE, SEED).select("text"), run, "g long", as_bytes=True).groupBy("g").count().filter(F.col("count") >= LEAST_FREQUENT)
-    found = counts.orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).collect()
+    counts = scratch(counts, "grams")
+    least, known = LEAST_FREQUENT, 0
+    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():  # from which count on there are few enough
+        known += r.n
+        if known > MOST_FREQUENT:
+            least = r["count"] + 1
+            break
+    found = counts.filter(F.col("count") >= least).select("g").collect()
+    discard(counts)
     return np.array([r.g for r in found], np.int64).view(np.uint64)
 
 
@@ -319,10 +334,10 @@ def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int
     """
     binary = F.col("text").cast("binary").alias("text")
     rows = identified(docs, binary, *carrying(docs, carry, "text")).withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    digests = rows.select("uid", "ord", F.md5("text").alias("digest")).filter("digest is not null")
-    same = digests.groupBy("digest").agg(F.min(F.struct("ord", "uid")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    digests = rows.select("uid", "ord", F.md5("text").alias("digest"), F.expr(f"int(pmod(xxhash64(uid), {SALTS}))").alias("salt")).filter("digest is not null")
+    same = digests.groupBy("digest").agg(F.min(F.struct("ord", "uid")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     later = F.col("ord") > F.col("first.ord")
-    copies = digests.join(same, "digest").select("uid", (later if units.by_document else F.lit(True)).alias("copy"), (later if units.by_document else F.col("uid") != F.col("first.uid")).alias("left_out"))
+    copies = digests.join(same, ["digest", "salt"]).select("uid", (later if units.by_document else F.lit(True)).alias("copy"), (later if units.by_document else F.col("uid") != F.col("first.uid")).alias("left_out"))
     # the joins below ask for the same columns and rows of texts, so that Spark shuffles them once
     texts = rows.filter("uid is not null").select("uid", "doc_id", "ord", "text", *([CARRIED] if carry else []))
     indexed = texts.join(copies.filter("left_out").select("uid", "left_out"), "uid", "left").filter("left_out is null")

@@ -67,6 +67,9 @@ class BitVector:
         self.before = np.zeros(len(self.words), np.int32)
         np.cumsum(np.bitwise_count(self.words)[:-1], out=self.before[1:])
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
         w = i >> 6
@@ -92,14 +95,32 @@ class WaveletTree:
         return i
 
 
+    def follow(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at position i of the sequence, and where it is sent along that symbol's path."""
+        symbol = np.zeros(len(i), np.int64)
+        for shift, bits, zeros in self.levels:
+            one, ones = bits.get(i), bits.rank(i)
+            symbol |= one.astype(np.int64) << shift
+            i = np.where(one, zeros + ones, i - ones)
+        return symbol, i
+
+
+#: One row in so many keeps its owner, in order of the text.
+SAMPLED = 8
+
+
 class FmIndex:
-    """Burrows-Wheeler transform in a wavelet tree, with the owner of each row's suffix; neither text nor suffix order is kept."""
+    """Burrows-Wheeler transform in a wavelet tree, with the owners of some rows' suffixes; neither text nor suffix order is kept."""
 
-    def __init__(self, text: np.ndarray, owner: np.ndarray):
-        """owner: a number for each position, of which the smallest of a pattern's places is asked for."""
-        order = sort_suffixes(text, ends_of(text))
+    def __init__(self, text: np.ndarray, owner: np.ndarray, sampled: int = SAMPLED):
+        """owner: a number for each content's positions, of which the smallest of a pattern's places is asked for."""
+        end = ends_of(text)
+        order = sort_suffixes(text, end)
         bits = max(1, int(text.max(initial=0)).bit_length())
-        self.owner = owner[order].astype(np.int32)
+        begin = np.append(0, np.flatnonzero(text == 0)[:-1] + 1) if len(text) else np.zeros(0, np.int64)
+        into = np.arange(len(text)) - np.repeat(begin, np.diff(np.append(begin, len(text))))
+        keeps = (into % sampled == 0)[order]  # the first of each content among them, so that no walk leaves its content
+        self.keeps, self.owner = BitVector(keeps), owner[order[keeps]].astype(np.int32)
         self.tree = WaveletTree(text[order - 1], bits)  # before position 0 stands the last symbol, a 0
         symbols = np.arange(1 << bits)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << bits))])
@@ -127,14 +148,27 @@ class FmIndex:
             length[live] = k
         return length, lo, hi
 
+    def owners(self, rows: np.ndarray) -> np.ndarray:
+        """The owner of each row: that of the row that keeps one, which some steps back in the text lead to."""
+        out, live = np.empty(len(rows), np.int32), np.arange(len(rows))
+        while len(live):
+            there = self.keeps.get(rows)
+            out[live[there]] = self.owner[self.keeps.rank(rows[there])]
+            live = live[~there]
+            symbol, at = self.tree.follow(rows[~there])
+            rows = self.shift[symbol] + at
+        return out
+
     def smallest_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The smallest owner in rows [lo, hi); stretches that are asked for must be equal or apart."""
         if not len(lo):
             return np.zeros(0, np.int32)
         stretch, back = np.unique(lo, return_inverse=True)
-        until = np.zeros(len(stretch), np.int64)
-        until[back] = hi
-        return np.minimum.reduceat(np.append(self.owner, 0), np.ravel(np.column_stack([stretch, until])))[::2][back]
+        size = np.zeros(len(stretch), np.int64)
+        size[back] = hi - lo
+        first = np.cumsum(size) - size
+        rows = np.arange(int(size.sum())) + np.repeat(stretch - first, size)
+        return np.minimum.reduceat(self.owners(rows), first)[back]
 
 
 def common(text: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None, other: np.ndarray | None = None) -> np.ndarray:

@@ -467,6 +467,25 @@ def common_length(a, b):
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_document_listing():
+    """The smallest owner of each interval, whatever the sampling of owners."""
+    rng = np.random.default_rng(17)
+    for sampled in (1, 3, 8):
+        for _ in range(40):
+            contents = [rng.integers(0, 3, int(rng.integers(1, 30))) for _ in range(int(rng.integers(1, 6)))]
+            text, begins = suffixes.join_contents(np.concatenate(contents), sizes := np.array([len(c) for c in contents]))
+            owners = rng.integers(0, 9, len(contents))
+            index = suffixes.FmIndex(text, np.repeat(owners, sizes + 1), sampled)
+            ends = np.concatenate([b + np.arange(1, n + 1) for b, n in zip(begins, sizes, strict=True)])
+            length, lo, hi = index.stream(text, ends, 3)
+            strings = [tuple(text[e - 3 : e]) for e in ends.tolist()]
+            found = np.flatnonzero(length == 3)
+            holds = lambda k, s: any(tuple(text[p : p + 3]) == s for p in range(begins[k], begins[k] + sizes[k] - 2))  # noqa: B023, E731
+            want = [min(o for k, o in enumerate(owners.tolist()) if holds(k, strings[i])) for i in found.tolist()]
+            assert index.smallest_owner(lo[found], hi[found]).tolist() == want
+            assert len(index.owner) == sum(-(-(n + 1) // sampled) for n in sizes.tolist())
+
+
 def some_contents(rng, case):
     contents = [rng.integers(0, int(rng.integers(1, 4)), int(rng.integers(1, 14))).astype(np.uint8) for _ in range(int(rng.integers(1, 5)))]
     return contents + contents[:1] * (case % 3 == 0)
