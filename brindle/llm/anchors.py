@@ -5,7 +5,8 @@ anchor: one of the grams in it, chosen by hashes alone, so that equal windows ha
 window can occur again only where its anchor does. Consecutive windows with equal anchors make a run.
 
 1. Runs are drawn from each text (`runs_of`): one row for the anchor's hash, its document and place.
-2. Runs whose anchor stands nowhere else are dropped; those of frequent ones are kept without meeting.
+2. Runs are dropped whose anchor stands nowhere else, or nowhere else beside the same units: a window holds, on one side
+   of its anchor at least, half of its other units. Runs of frequent anchors are kept without meeting.
 3. The texts of the other runs are cut out. Equal ones are counted once within a task, then once at all.
 4. Runs go to shards by anchor; shards of a bounded size are indexed, and each run's windows searched.
 5. Results go back to every run of the same text, and then to the documents.
@@ -23,7 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -119,8 +120,31 @@ class Frequent:
         return out
 
 
-def text_runs(text: bytes, units: Units, frequent: Frequent) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each run in a text: anchor hash, first window, number of windows, and kind."""
+class Sides:
+    """Hashes of the units beside anchors, of which equal windows share those on one side at least."""
+
+    def __init__(self, units: Units):
+        self.gram, self.size = units.gram, (units.window - units.gram + 1) // 2
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def of(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """32 bits for the units before each anchor and 32 for those after it, 0 where there are too few. h: unit hashes of the text."""
+        if len(self.powers) <= len(h):
+            base = MULTIPLIER | np.uint64(1)
+            times = lambda x: np.cumprod(np.append(np.uint64(1), np.full(2 * len(h) + 1, x, np.uint64)), dtype=np.uint64)
+            self.powers, self.inverse = times(base), times(np.uint64(pow(int(base), -1, 1 << 64)))
+        sums = np.append(np.uint64(0), np.cumsum(h * self.powers[: len(h)], dtype=np.uint64))
+        out = np.zeros(len(at), np.uint64)
+        for shift, lo in ((32, at - self.size), (0, at + self.gram)):
+            there = np.flatnonzero((lo >= 0) & (lo + self.size <= len(h)))
+            lo = lo[there]
+            bits = spread((sums[lo + self.size] - sums[lo]) * self.inverse[lo]) >> np.uint64(32)
+            out[there] |= np.maximum(bits, np.uint64(1)) << np.uint64(shift)
+        return out
+
+
+def text_runs(text: bytes, units: Units, frequent: Frequent, sides: Sides) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each run in a text: anchor hash, first window, number of windows, kind, and what stands beside the anchor."""
     h = units.hashes(text)
     if len(h) < units.window:
         return
@@ -142,28 +166,29 @@ def text_runs(text: bytes, units: Units, frequent: Frequent) -> Iterator[tuple[n
             first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
             n = np.diff(np.append(first, len(at)))
         several = at[first] != at[first + n - 1]
-        yield anchor[first].view(np.int64), first + lo, n, several * SEVERAL | often[at[first]] * FREQUENT
+        yield anchor[first].view(np.int64), first + lo, n, several * SEVERAL | often[at[first]] * FREQUENT, sides.of(h, at[first]).view(np.int64)
 
 
 #: Bits of a run's kind: equal anchors stand in several places; the anchor is a frequent gram.
 SEVERAL, FREQUENT = 1, 2
 #: A run's first window, number of windows and kind are one number: two bits for the kind, PLACES for the windows.
 PLACES = 11
-RUNS = "uid long, g long, place long"
+RUNS = "uid long, g long, place long, beside long"
 
 
 def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
     """One row for each run of each text."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
     known: list[Frequent] = []
+    sides = Sides(units)
 
     def run(uid, doc_id, ord_, text, *_):
         if not known:
             known.append(Frequent(shared.value))
-        out: list[list[np.ndarray]] = [[] for _ in range(3)]
+        out: list[list[np.ndarray]] = [[] for _ in range(4)]
         for u, t in zip(uid, text, strict=True):
-            for g, start, n, kind in text_runs(t or b"", units, known[0]):
-                for column, values in zip(out, (np.full(len(g), u, np.int64), g, (start << PLACES | n) << 2 | kind), strict=True):
+            for g, start, n, kind, beside in text_runs(t or b"", units, known[0], sides):
+                for column, values in zip(out, (np.full(len(g), u, np.int64), g, (start << PLACES | n) << 2 | kind, beside), strict=True):
                     column.append(values)
         return [np.concatenate(c) if c else [] for c in out]
 
@@ -344,9 +369,22 @@ def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int
     runs = runs_of(indexed, units, frequent_grams(rows, units))
     # a frequent anchor's runs are all kept, so they needn't meet to be counted: they are dealt out by document and place
     often, several = F.col("place").bitwiseAND(FREQUENT) > 0, F.col("place").bitwiseAND(SEVERAL) > 0
-    same_anchor = W.partitionBy("g", F.when(often, F.xxhash64("uid", "place")))
+    alone = F.when(often, F.xxhash64("uid", "place"))
+    runs = runs.withColumns({"before": F.shiftrightunsigned("beside", 32), "after": F.col("beside").bitwiseAND(F.lit(0xFFFFFFFF))})
+    same_anchor = W.partitionBy("g", alone)
     n = F.count("*").over(same_anchor)
-    again = F.min("uid").over(same_anchor) != F.max("uid").over(same_anchor) if units.by_document else (n > 1) | several
+
+    def stands_again(w: W) -> Column:
+        return F.min("uid").over(w) != F.max("uid").over(w) if units.by_document else F.count("*").over(w) > 1
+
+    def beside_again(side: str) -> Column:
+        return (F.col(side) != 0) & stands_again(W.partitionBy("g", alone, side))
+
+    # an anchor that stands several times in a run has several neighbourhoods, of which one is known: all runs of it stay
+    any_several = F.max(several).over(same_anchor)
+    again = stands_again(same_anchor) & (any_several | beside_again("before") | beside_again("after"))
+    if not units.by_document:
+        again = again | several
     met = runs.withColumns({"again": often | again, "hot": often | (n >= hot)}).filter("again")
     own = met.groupBy("uid").agg(F.collect_list(F.struct("place", "g", "hot")).alias("runs"))
     joined = texts.join(own, "uid")
