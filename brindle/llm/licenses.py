@@ -49,6 +49,11 @@ def _rule(priority: int, label: str, keyword: str, pattern: str, weight: float)
 #: Words that make a bare name and number a license.
 UNDER = r"(?:under|licen[cs]ed?|terms of|conditions of|license identifier)(?: the)?(?: terms of)?(?: the)?(?: gnu)? "
 LICENSED = r"licen[cs](?:es?|ed|ing)"
+GRANTED = r"(?:licen[cs]ed|released|distributed|available|published|provided|offered) under (?:the )?(?:terms of )?"
+#: Words after `license` that make it another thing.
+OTHER_THING = r"(?! (?:plates?|numbers?|keys?|fees?|servers?|managers?|holders?|exams?|tags?|renewals?))"
+#: What stands right before a mention that denies it.
+DENIED = re.compile(r"(?:^| )(?:not|never|neither|isn t|aren t|cannot be|no longer)(?: be| been)?(?: (?:licen[cs]ed|released|distributed|available|published|provided|covered))?(?: under| by)?(?: the)?(?: terms of)?(?: the)?(?: gnu)? $")
 
 #: Hand-written signatures, one a line: label | keyword | pattern | priority | weight. The pattern matches whole words.
 SIGNATURES = r"""
@@ -119,7 +124,7 @@ spl-1.0 | sun public | sun public licen[cs]e(?: version| v)?(?: 1 0)? | 20 | 0.9
 apsl-2.0 | apple public source | apple public source licen[cs]e(?: version| v)?(?: 2 0)? | 20 | 0.9
 npl-1.1 | netscape public | netscape public licen[cs]e(?: version| v)?(?: 1 1)? | 20 | 0.9
 artistic-2.0 | artistic 2 | (?:under|licen[cs]ed?|the) artistic 2(?: 0)? | 40 | 0.7
-artistic-2.0 | artistic 2 | artistic 2(?: 0)? | 66 | 0.4
+artistic-2.0 | artistic 2 0 | artistic 2 0 | 66 | 0.5
 artistic | same terms as perl | (?:under )?the same terms as perl(?: itself)? | 30 | 0.7
 artistic-perl | perl 5 | same terms as the perl 5 programming language system itself | 20 | 0.9
 cc0-1.0 | waived all copyright | (?:has|have) waived all copyright and related or neighboring rights | 20 | 0.9
@@ -193,9 +198,188 @@ shareware | shareware | (?:distributed|released|available) as shareware | 65 | 0
 """
 
 
+#: Short names and identifiers, written by hand like SIGNATURES: names of two parts stand alone, plain ones need words around
+#: them. <granted> stands for GRANTED.
+PLAIN_FORMS = r"""
+mit | mit | <granted>(?:the )?mit | 56 | 0.7
+mit | mit | mit or (?:the )?apache | 56 | 0.7
+mit | mit | (?:apache 2 0|apache 2|apache|gpl|bsd|isc|zlib|unlicense|cc0 1 0) (?:or|and) mit | 56 | 0.7
+mit | license mit | license mit | 60 | 0.6
+mit | mit expat | mit expat(?: licen[cs]e)? | 40 | 0.8
+mit-0 | mit 0 | <granted>mit 0 | 40 | 0.8
+mit-modern-variant | modern mit | modern mit variant | 40 | 0.8
+isc | isc | <granted>(?:the )?isc | 56 | 0.7
+isc | license isc | license isc | 60 | 0.6
+zlib | zlib | <granted>(?:the )?zlib | 56 | 0.7
+bsd | bsd | <granted>(?:the |a )?bsd | 58 | 0.6
+bsd-2-clause | bsd 2 clause | bsd 2 clause | 52 | 0.8
+bsd-3-clause | bsd 3 clause | bsd 3 clause | 52 | 0.8
+bsd-4-clause | bsd 4 clause | bsd 4 clause | 52 | 0.8
+bsd-2-clause-patent | bsd 2 clause patent | bsd 2 clause patent | 40 | 0.9
+bsd-2-clause-views | bsd 2 clause views | bsd 2 clause views | 40 | 0.9
+bsd-3-clause-lbnl | bsd 3 clause lbnl | bsd 3 clause lbnl | 40 | 0.9
+bsd-3-clause-attribution | bsd 3 clause attribution | bsd 3 clause attribution | 40 | 0.9
+bsd-source-code | bsd source code | bsd source code attribution | 40 | 0.8
+bsd-protection | bsd protection | bsd protection licen[cs]e | 40 | 0.9
+0bsd | 0bsd | 0bsd | 56 | 0.8
+apache-2 | apache 2 0 | apache 2 0 | 45 | 0.7
+apache-2 | apache | <granted>(?:the )?apache(?: 2| v2)? | 58 | 0.6
+apache-2 | apache2 | apache2(?: 0)? licen[cs]ed? | 50 | 0.7
+apache-2 | license apache | license apache 2 0 | 44 | 0.8
+apache-2 | apache licensed | apache licensed | 60 | 0.5
+apache-1.1 | apache 1 1 | apache 1 1 | 50 | 0.6
+apache-1.0 | apache 1 0 | apache 1 0 licen[cs]e | 50 | 0.7
+gpl | gpl | <granted>gpl | 63 | 0.6
+gpl | gnu public | gnu public licen[cs]e | 63 | 0.6
+gpl-2 | gplv2 | gplv2 | 50 | 0.8
+gpl-2-or-later | gplv2 | gplv2 or later | 29 | 0.9
+gpl-3-or-later | gplv3 | gplv3 or later | 29 | 0.9
+gpl-2-or-later | gpl 2 0 | gpl 2 0 or later | 29 | 0.9
+gpl-3-or-later | gpl 3 0 | gpl 3 0 or later | 29 | 0.9
+gpl-2-only | gpl 2 0 only | gpl 2 0 only | 29 | 0.9
+gpl-3-only | gpl 3 0 only | gpl 3 0 only | 29 | 0.9
+gpl-2 | gpl 2 0 | gpl 2 0 | 46 | 0.8
+gpl-3 | gpl 3 0 | gpl 3 0 | 46 | 0.8
+lgpl-2.1 | lgpl 2 1 | lgpl 2 1 | 46 | 0.8
+lgpl-3 | lgpl 3 0 | lgpl 3 0 | 46 | 0.8
+lgpl | lgpl | <granted>lgpl | 63 | 0.6
+agpl-3 | agpl 3 0 | agpl 3 0 | 46 | 0.8
+agpl | agpl | <granted>agpl | 63 | 0.6
+gfdl | gfdl | <granted>(?:the )?(?:gnu )?gfdl | 63 | 0.6
+gpl-2-with-font-exception | font exception | gpl(?: 2 0)? (?:only )?with font exception | 20 | 0.9
+gpl-2-with-openssl-exception | openssl exception | gpl(?: 2 0)? (?:only )?with openssl exception | 20 | 0.9
+llvm-exception | llvm exception | with llvm exceptions? | 20 | 0.8
+mpl-2.0 | mpl 2 0 | mpl 2 0 | 46 | 0.8
+mpl-1.1 | mpl 1 1 | mpl 1 1 | 46 | 0.8
+mpl | mpl | <granted>(?:the )?mpl | 63 | 0.6
+epl-2.0 | epl 2 0 | epl 2 0 | 46 | 0.8
+epl-1.0 | epl 1 0 | epl 1 0 | 46 | 0.8
+epl | epl | <granted>(?:the )?epl | 63 | 0.6
+eupl-1.2 | eupl 1 2 | eupl 1 2 | 46 | 0.8
+eupl-1.1 | eupl 1 1 | eupl 1 1 | 46 | 0.8
+eupl | eupl | <granted>(?:the )?eupl | 63 | 0.6
+cddl-1.0 | cddl 1 0 | cddl 1 0 | 46 | 0.8
+cddl-1.1 | cddl 1 1 | cddl 1 1 | 46 | 0.8
+cpl-1.0 | cpl 1 0 | cpl 1 0 | 46 | 0.7
+bsl-1.0 | bsl 1 0 | bsl 1 0 | 46 | 0.7
+busl-1.1 | busl 1 1 | busl 1 1 | 46 | 0.8
+busl-1.1 | bsl 1 1 | bsl 1 1 | 46 | 0.7
+osl-3.0 | osl 3 0 | osl 3 0 | 46 | 0.7
+osl-2.1 | osl 2 1 | osl 2 1 | 46 | 0.7
+afl-3.0 | afl 3 0 | afl 3 0 | 46 | 0.7
+afl-2.1 | afl 2 1 | afl 2 1 | 46 | 0.7
+ofl-1.1 | ofl 1 1 | ofl 1 1(?: no rfn| rfn)? | 46 | 0.8
+odbl-1.0 | odbl 1 0 | odbl 1 0 | 46 | 0.8
+odc-by-1.0 | odc by 1 0 | odc by 1 0 | 46 | 0.8
+pddl-1.0 | pddl 1 0 | pddl 1 0 | 46 | 0.8
+zpl-2.1 | zpl 2 1 | zpl 2 1 | 46 | 0.8
+php-3.01 | php 3 01 | php 3 01 | 46 | 0.8
+ecl-2.0 | ecl 2 0 | ecl 2 0 | 46 | 0.7
+upl-1.0 | upl 1 0 | upl 1 0 | 46 | 0.8
+ncsa | ncsa | <granted>(?:the )?ncsa | 58 | 0.6
+lppl-1.3c | lppl 1 3c | lppl 1 3c | 46 | 0.8
+ms-pl | ms pl | ms pl | 60 | 0.5
+ms-rl | ms rl | ms rl | 60 | 0.5
+ms-rl | microsoft reciprocal | microsoft reciprocal licen[cs]e(?: ms rl)? | 20 | 0.9
+ms-lpl | microsoft limited public | microsoft limited public licen[cs]e | 20 | 0.9
+mulan-psl-2.0 | mulanpsl 2 0 | mulanpsl 2 0 | 46 | 0.9
+mulan-psl-1.0 | mulanpsl 1 0 | mulanpsl 1 0 | 46 | 0.9
+mulan-psl-2.0 | mulan psl | mulan psl(?: v)? ?2(?: 0)? | 46 | 0.9
+cc0-1.0 | license cc0 | license cc0 | 40 | 0.8
+cc-by | cc by | <granted>(?:the )?cc by | 60 | 0.7
+wtfpl | wtfpl | <granted>(?:the )?wtfpl | 56 | 0.8
+unlicense | unlicense | <granted>(?:the )?unlicense | 40 | 0.9
+artistic | artistic | <granted>(?:the )?artistic | 66 | 0.5
+ruby | ruby | ruby licensed | 66 | 0.4
+openssl | openssl ssleay | openssl ssleay licen[cs]e | 20 | 0.9
+psf-2.0 | psf 2 0 | psf 2 0 | 46 | 0.8
+python-2.0 | python 2 0 | license python 2 0 | 40 | 0.8
+sspl-1.0 | sspl 1 0 | sspl 1 0 | 46 | 0.9
+sspl-1.0 | sspl | <granted>(?:the )?sspl | 58 | 0.8
+elastic-2.0 | elastic 2 0 | license elastic 2 0 | 40 | 0.9
+w3c | w3c | license w3c | 40 | 0.8
+vim | vim | license vim | 40 | 0.7
+x11 | x11 | <granted>(?:the )?x11 | 58 | 0.6
+hpnd | hpnd | license hpnd | 40 | 0.8
+blueoak-1.0.0 | blueoak 1 0 0 | blueoak 1 0 0 | 40 | 0.9
+cecill-2.1 | cecill 2 1 | cecill 2 1 | 46 | 0.8
+eudatagrid | eu datagrid | eu datagrid software licen[cs]e | 20 | 0.9
+gpl | gpl compatible | gpl compatible | 75 | 0.2
+lgpl-2.1-or-later | lgplv2 1 | lgplv2 1 or later | 29 | 0.9
+lgpl-3-or-later | lgplv3 | lgplv3 or later | 29 | 0.9
+agpl-3-or-later | agplv3 | agplv3 or later | 29 | 0.9
+lgpl-2.1 | lgplv2 1 | lgplv2 1 | 46 | 0.8
+lgpl-3 | lgplv3 | lgplv3 | 46 | 0.8
+agpl-3 | agplv3 | agplv3 | 46 | 0.8
+"""
+
+#: Sentences of license texts and of the notices that go with them, written by hand like SIGNATURES.
+SENTENCES = r"""
+mit | the software is provided as is without warranty | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability | 35 | 0.6
+mit | in no event shall the authors or copyright holders | in no event shall the authors or copyright holders be liable for any claim damages or other liability | 35 | 0.6
+isc | the software is provided as is and the author disclaims | the software is provided as is and the author disclaims all warranties with regard to this software | 35 | 0.8
+bsd | this software is provided by the copyright holders and contributors | this software is provided by the copyright holders and contributors as is and any express or implied warranties | 35 | 0.7
+bsd | this software is provided by the regents | this software is provided by the regents and contributors as is | 34 | 0.8
+apache-2 | unless required by applicable law | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis | 30 | 0.8
+apache-2 | grant of patent license | grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you | 25 | 0.9
+apache-2 | licensed to the apache software foundation | licensed to the apache software foundation asf under one or more contributor license agreements | 25 | 0.9
+apache-2 | terms and conditions for use reproduction | terms and conditions for use reproduction and distribution | 35 | 0.6
+gpl | this program is free software | this program is free software you can redistribute it and or modify it | 64 | 0.6
+gpl | this program is distributed in the hope | this program is distributed in the hope that it will be useful but without any warranty | 64 | 0.5
+gpl | you should have received a copy of the gnu general | you should have received a copy of the gnu general public licen[cs]e along with | 64 | 0.6
+gpl | everyone is permitted to copy | everyone is permitted to copy and distribute verbatim copies of this license document | 66 | 0.5
+gpl | the licenses for most software | the licenses for most software (?:and other practical works )?are designed to take away your freedom | 30 | 0.8
+lgpl | this library is free software | this library is free software you can redistribute it and or modify it | 63 | 0.7
+lgpl | this library is distributed in the hope | this library is distributed in the hope that it will be useful | 63 | 0.6
+lgpl | you should have received a copy of the gnu lesser | you should have received a copy of the gnu lesser general public licen[cs]e | 63 | 0.7
+lgpl | you should have received a copy of the gnu library | you should have received a copy of the gnu library general public licen[cs]e | 63 | 0.7
+lgpl | work that uses the library | a work that uses the library in isolation is not a derivative work of the library | 30 | 0.8
+agpl | remote network interaction | remote network interaction use with the gnu general public license | 20 | 0.9
+agpl | you should have received a copy of the gnu affero | you should have received a copy of the gnu affero general public licen[cs]e | 63 | 0.7
+gfdl | invariant sections | with no invariant sections(?: no front cover texts)?(?: and no back cover texts)? | 30 | 0.8
+mpl-2.0 | covered software is provided under this license | covered software is provided under this license on an as is basis | 20 | 0.9
+mpl-1.1 | the contents of this file are subject to the mozilla | the contents of this file are subject to the mozilla public licen[cs]e version 1 1 | 10 | 1.0
+mpl | the contents of this file are subject to the mozilla | the contents of this file are subject to the mozilla public licen[cs]e | 62 | 0.7
+npl-1.1 | the contents of this file are subject to the netscape | the contents of this file are subject to the netscape public licen[cs]e | 15 | 0.9
+epl | this program and the accompanying materials | this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e | 61 | 0.7
+cpl-1.0 | this program and the accompanying materials | this program and the accompanying materials are made available under the terms of the common public licen[cs]e | 15 | 0.9
+cddl | the contents of this file are subject to the terms of the common | the contents of this file are subject to the terms of the common development and distribution licen[cs]e | 61 | 0.8
+cc | to view a copy of this license | to view a copy of this license visit | 75 | 0.3
+cc0-1.0 | the person who associated a work | the person who associated a work with this deed has dedicated the work to the public domain | 15 | 1.0
+cc-by | you are free to share copy | you are free to share copy and redistribute the material in any medium or format | 65 | 0.5
+cc-by-sa | if you remix transform | if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e | 50 | 0.8
+cc-by-nd | if you remix transform | if you remix transform or build upon the material you may not distribute the modified material | 50 | 0.8
+cc-by-nc | you may not use the material for commercial purposes | you may not use the material for commercial purposes | 50 | 0.8
+wtfpl | everyone is permitted to copy and distribute verbatim or modified | everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed | 15 | 0.95
+unlicense | anyone is free to copy modify publish | anyone is free to copy modify publish use compile sell or distribute this software | 15 | 0.95
+zlib | the origin of this software must not be misrepresented | the origin of this software must not be misrepresented you must not claim that you wrote the original software | 16 | 0.95
+zlib | this notice may not be removed | this notice may not be removed or altered from any source distribution | 17 | 0.9
+bsl-1.0 | permission is hereby granted free of charge to any person or organization | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license | 10 | 1.0
+bsl-1.0 | boost org license | (?:www )?boost org license 1 0(?: txt)? | 18 | 1.0
+openssl | redistributions of any form whatsoever | redistributions of any form whatsoever must retain the following acknowledgment | 17 | 0.9
+postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted | 10 | 1.0
+ncsa | to deal with the software | to deal with the software without restriction including without limitation the rights to use copy modify merge | 14 | 0.9
+mit-0 | permission is hereby granted free of charge to any person obtaining a copy of this software | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is | 9 | 1.0
+curl | permission to use copy modify and distribute this software for any purpose with or without fee | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies | 13 | 0.8
+x11 | except as contained in this notice | except as contained in this notice the name of (?:the x consortium|x consortium) shall not be used in advertising | 13 | 0.95
+python-2.0 | psf is making python available | psf is making python available to licensee on an as is basis | 15 | 1.0
+artistic-2.0 | this license establishes the terms | this license establishes the terms under which a given free software package may be copied modified distributed | 15 | 0.95
+artistic-1.0 | the intent of this document | the intent of this document is to state the conditions under which a package may be copied | 15 | 0.95
+ofl-1.1 | this font software is licensed | this font software is licensed under the sil open font licen[cs]e(?: version 1 1)? | 12 | 1.0
+ofl-1.1 | the goals of the open font license | the goals of the open font license ofl are to stimulate worldwide development | 15 | 0.95
+sspl-1.0 | offering the program as a service | offering the program as a service if you make the functionality of the program or a modified version available | 15 | 0.95
+busl-1.1 | the licensor hereby grants you the right to copy | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use | 15 | 0.95
+elastic-2.0 | you may not provide the software to third parties | you may not provide the software to third parties as a hosted or managed service | 20 | 0.9
+proprietary | this software is the confidential | this software is the confidential and proprietary information of | 20 | 0.95
+proprietary | no part of this | no part of this (?:publication|book|document|work|software) may be reproduced | 60 | 0.7
+proprietary | for internal use only | for internal use only | 70 | 0.4
+proprietary | evaluation purposes only | (?:for )?evaluation purposes only | 65 | 0.5
+"""
+
+
 def _written() -> list[Rule]:
-    lines = [[x.strip() for x in line.split(" | ")] for line in SIGNATURES.strip().splitlines()]
-    return [_rule(int(priority), label, keyword, pattern, float(weight)) for label, keyword, pattern, priority, weight in lines]
+    lines = [[x.strip() for x in line.split(" | ")] for part in (SIGNATURES, PLAIN_FORMS, SENTENCES) for line in part.strip().splitlines()]
+    return [_rule(int(priority), label, keyword, pattern.replace("<granted>", GRANTED), float(weight)) for label, keyword, pattern, priority, weight in lines]
 
 
 def _gnu() -> list[Rule]:
@@ -292,7 +476,7 @@ def _permissive() -> list[Rule]:
                 _rule(30, label, f"{name} license", rf"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?{name} license", 0.95),
                 _rule(31, label, f"{name} licence", rf"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?{name} licence", 0.95),
                 _rule(32, label, name, rf"spdx license identifier {name}", 1.0),
-                _rule(55, label, name, rf"{name} (?:style )?licen[cs]e", 0.7),
+                _rule(55, label, name, rf"{name} (?:style )?licen[cs]e{OTHER_THING}", 0.7),
             ]
     texts = {
         "mit": ("permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
@@ -317,60 +501,95 @@ def rules() -> list[Rule]:
     return sorted([*_written(), *_gnu(), *_creative_commons(), *_versioned(), *_permissive()], key=lambda r: r.priority)
 
 
+#: Keywords of which the rules may go on within the word.
+OPEN = {"gpl", "lgpl", "agpl", "gfdl"}
+
+
 @cache
 def _gate() -> tuple[ahocorasick.Automaton, list[Rule]]:
+    """The automaton of all keywords, each from the beginning of a word on, the short ones to its end too."""
     ordered, gate = rules(), ahocorasick.Automaton()
     by: dict[str, list[int]] = {}
     for i, r in enumerate(ordered):
         by.setdefault(r.keyword, []).append(i)
     for k, of in by.items():
-        gate.add_word(k, of)
+        gate.add_word(f" {k} " if len(k) <= 4 and k not in OPEN else f" {k}", of)
     gate.make_automaton()
     return gate, ordered
 
 
-#: Words of keywords that stand in most of them; the others' keywords are looked for as they are.
-USUAL = ("licen", "gpl", "creative commons", "cc by", "public domain", "permission")
+def tried(text: str) -> list[int]:
+    """Numbers of the rules whose keyword stands in a text of words joined by spaces."""
+    return sorted({i for _, of in _gate()[0].iter(f" {text} ") for i in of})
 
 
-@cache
-def hints() -> list[bytes]:
-    """One of these stands in any text that a rule can match; a plain search is much faster than the automaton."""
-    keys = sorted({r.keyword for r in rules()}, key=len)
-    short = [*USUAL]
-    for k in keys:
-        if not any(h in k for h in short):
-            short.append(f" {k} " if len(k) <= 4 and k != "gfdl" and " " not in k else k)  # whole words in all their rules
-    return [h.encode() for h in short]
+class Hit(NamedTuple):
+    """A match of a rule (its number) at characters [lo, hi), in the order in which detections are taken."""
+
+    priority: int
+    shorter: int
+    lo: int
+    rule: int
+    hi: int
+
+
+def denied(text: str, lo: int) -> bool:
+    return DENIED.search(text, max(0, lo - 80), lo) is not None
 
 
-def detect(words: list[bytes], hinted: bytes | None = None) -> list[Found]:
+def matches(text: str) -> list[Hit]:
+    """All matches of the rules that are tried, but those that are denied."""
+    ordered = _gate()[1]
+    found = [Hit(ordered[i].priority, m.start() - m.end(), m.start(), i, m.end()) for i in tried(text) for m in ordered[i].pattern.finditer(text)]
+    return sorted(h for h in found if not denied(text, h.lo))
+
+
+def covers(label: str, other: str) -> bool:
+    """Whether a license is the other or a more exact form of it."""
+    return label == other or label.startswith((f"{other}-", f"{other}."))
+
+
+def resolved(hits: list[Hit]) -> list[Hit]:
+    """What remains of matches in their order of taking: none lies within one taken before, nor overlaps one of its own license that was, or of a more exact form."""
+    taken: list[Hit] = []
+    begins: list[int] = []  # of the taken ones, those that lie within no other, by place: so their ends rise too
+    ends: list[int] = []
+    for h in hits:
+        k = bisect_right(begins, h.lo)
+        if k and ends[k - 1] >= h.hi:
+            continue
+        taken.append(h)
+        a, b = bisect_left(begins, h.lo), bisect_right(ends, h.hi)  # those within the new one
+        begins[a : max(a, b)], ends[a : max(a, b)] = [h.lo], [h.hi]
+    ordered, order = _gate()[1], {h: n for n, h in enumerate(taken)}
+    out, open_ones = set(taken), []
+    for h in sorted(taken, key=lambda h: (h.lo, h.hi)):
+        open_ones = [o for o in open_ones if o.hi > h.lo]
+        for o in open_ones:
+            mine, its = ordered[h.rule].label, ordered[o.rule].label
+            if mine == its:
+                out.discard(max(h, o, key=order.__getitem__))
+            elif covers(mine, its):
+                out.discard(o)
+            elif covers(its, mine):
+                out.discard(h)
+        open_ones.append(h)
+    return [h for h in taken if h in out]
+
+
+def detect(words: list[bytes], joined: bytes | None = None) -> list[Found]:
     """Detections that remain, in the order of the words; positions count words, both ends included."""
-    joined = b" ".join(words) if hinted is None else hinted
-    spaced = b" %b " % joined
-    if not any(h in spaced for h in hints()):
-        return []
-    text = joined.decode("utf-8", "replace")
-    gate, ordered = _gate()
-    tried = sorted({i for _, of in gate.iter(text) for i in of})
-    if not tried:
+    text = (b" ".join(words) if joined is None else joined).decode("utf-8", "replace")
+    hits = matches(text)
+    if not hits:
         return []
     starts, at = [], 0
     for w in text.split(" "):
         starts.append(at)
         at += len(w) + 1
-    hits = [(r.priority, m.start() - m.end(), m.start(), i, m.end()) for i in tried for r in [ordered[i]] for m in r.pattern.finditer(text)]
-    taken: list[Found] = []
-    begins: list[int] = []  # of the taken ones, those that lie within no other, by place: so their ends rise too
-    ends: list[int] = []
-    for priority, _, lo, i, hi in sorted(hits):
-        k = bisect_right(begins, lo)
-        if k and ends[k - 1] >= hi:
-            continue
-        taken.append(Found(ordered[i].label, bisect_right(starts, lo) - 1, bisect_right(starts, hi - 1) - 1, ordered[i].weight, priority))
-        a, b = bisect_left(begins, lo), bisect_right(ends, hi)  # those within the new one
-        begins[a : max(a, b)], ends[a : max(a, b)] = [lo], [hi]
-    return sorted(taken, key=lambda f: (f.first, f.last, f.label))
+    ordered = _gate()[1]
+    found = [Found(ordered[h.rule].label, bisect_right(starts, h.lo) - 1, bisect_right(starts, h.hi - 1) - 1, ordered[h.rule].weight, h.priority) for h in resolved(hits)]
+    return sorted(found, key=lambda f: (f.first, f.last, f.label))
 
 
 def base_places(words: list[bytes], joined: bytes) -> list[tuple[int, str]]:

@@ -282,7 +282,7 @@ def test_licenses_gate():
     for rule in licenses.rules():
         for text in samples(parser.parse(rule.pattern.pattern)):
             if rule.pattern.fullmatch(text):  # "(" and ")" never stand in words
-                assert rule.keyword in text and any(h in f" {text} ".encode() for h in licenses.hints()), (text, rule)
+                assert licenses.rules().index(rule) in licenses.tried(text), (text, rule)
     for text in ("an mit style license", "zlib style licence", "2 clause bsd style license", "spdx license identifier expat"):
         assert licenses.detect(text.encode().split()), text
 
