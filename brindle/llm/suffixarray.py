@@ -1,13 +1,14 @@
-"""Suffix-array dedup over bytes: a run-length index per shard.
+"""Suffix-array dedup over bytes or words: a run-length index per shard.
 
 Runs of windows meet in shards by their anchors (see `anchors`). Each shard's Burrows-Wheeler transform
-is kept as runs, with the text positions at both ends of each run; the matching statistics of all contents
-streamed through it mark the bytes within long matches.
+is kept as runs, with samples at both ends of each run; the matching statistics of all contents streamed
+through it mark what is within long matches.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import xxhash
@@ -22,6 +23,9 @@ from .suffixes import RunLengthIndex, join_contents
 WINDOW, REPORTED, GRAM = 400, 250, 32
 #: One gram of so many is preferred as anchor.
 SPARSE = 16
+#: Words of the grams that anchor windows of words.
+WORD_GRAM = 5
+PLAIN_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Numbers of ranges: of matches that are removed and of those that are reported.
 REMOVED, SHARED = 0, 1
 
@@ -34,10 +38,14 @@ def held_again(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return n[of] > 1
 
 
-def search_bytes(contents: list[bytes], windows: np.ndarray, count: np.ndarray, window: int, reported: int) -> list[tuple[list[int], list[int], list[int]]]:
+def search_contents(contents: list[bytes], windows: np.ndarray, count: np.ndarray, window: int, reported: int, words: bool = False) -> list[tuple[list[int], list[int], list[int]]]:
     """For each content, ranges of starts of strings that stand elsewhere too, by length. Only its windows are starts: what follows them may start in other contents of its text."""
-    sizes = np.array([len(c) for c in contents])
-    text, begins = join_contents(np.frombuffer(b"".join(contents), np.uint8), sizes)
+    if words:
+        number: dict[bytes, int] = {}
+        flat, sizes = np.array([number.setdefault(w, len(number)) for c in contents for w in c.split(b" ")]), np.array([c.count(b" ") + 1 for c in contents])
+    else:
+        flat, sizes = np.frombuffer(b"".join(contents), np.uint8), np.array([len(c) for c in contents])
+    text, begins = join_contents(flat, sizes)
     longest = RunLengthIndex(text).matching_statistics(begins, sizes)
     start = np.zeros(len(text) + 1, np.int8)
     start[begins] += 1
@@ -49,7 +57,7 @@ def search_bytes(contents: list[bytes], windows: np.ndarray, count: np.ndarray,
         long = np.flatnonzero(longest >= window)
         longest[short[~held_again(text, np.concatenate([short, long]), reported)[: len(short)]]] = 0
     for k in np.flatnonzero(count > 1).tolist():  # equal contents match whole
-        longest[begins[k] : begins[k] + windows[k]] = len(contents[k]) - np.arange(windows[k])
+        longest[begins[k] : begins[k] + windows[k]] = sizes[k] - np.arange(windows[k])
     out: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in contents]
     for least, kind in ((window, REMOVED), (reported, SHARED)):
         lo, hi = ranges(longest >= least)
@@ -61,40 +69,44 @@ def search_bytes(contents: list[bytes], windows: np.ndarray, count: np.ndarray,
     return out
 
 
-def remove_long_repeats(docs: DataFrame, window: int = WINDOW, reported: int = REPORTED, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, carry: bool = False, with_text: bool = True, **others) -> DataFrame:
-    """Remove bytes within strings of `window` bytes that start anywhere else, in the same text or another.
+def remove_long_repeats(docs: DataFrame, window: int = WINDOW, reported: int = REPORTED, gram: int | None = None, shard_bytes: int = SHARD_BYTES, carry: bool = False, with_text: bool = True, words: bool = False, **others) -> DataFrame:
+    """Remove what is within strings of `window` bytes, or words, that start anywhere else, in the same text or another.
 
     docs needs doc_id and text; with carry all columns come along in the struct carried_row, else other
-    columns are left out. Null and empty texts have no bytes. Repeated rows are two places, so that all
+    columns are left out. Null and empty texts have nothing. Repeated rows are two places, so that all
     their strings go; null doc_ids are ordinary rows. An empty table gives no row. Strings are judged on
-    the input. `reported`, at most `window`, is a length from which repeats are counted without being removed. Returns
-    doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left), n_shared (bytes within strings of
-    `reported` bytes that start elsewhere too), spans (array of structs from, to: bytes removed), with_text also
+    the input. Words are `[^\\x20\\x09-\\x0D]+`, whatever stands between them; from the first to the last of a string's all bytes go.
+    `reported`, at most `window`, is a length from which repeats are counted without being removed. Returns
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left), n_shared (bytes, or words, within strings of
+    `reported` that start elsewhere too), spans (array of structs from, to: bytes removed), with_text also
     kept (the bytes left as text; a character that is cut goes whole).
     """
     reported = min(reported, window)
+    gram = gram or (WORD_GRAM if words else GRAM)
 
     def run(doc_id, _, text, found, copy):
         out: list[list] = [[] for _ in range(7 + with_text)]
         for d, t, f, c in zip(doc_id, text, found, copy, strict=True):
             raw = t or b""
-            gone = np.full(len(raw), len(raw) >= window) if c else covered(len(raw), window, f, SHARED) if f else np.zeros(len(raw), bool)
-            shared = len(raw) * (len(raw) >= reported) if c else int(covered(len(raw), reported, f, SHARED + 1).sum()) if f else 0
+            places = [m.span() for m in PLAIN_WORD.finditer(raw)] if words and (c or f) else []
+            size = len(places) if words else len(raw)
+            gone = np.full(size, size >= window) if c else covered(size, window, f, SHARED) if f else np.zeros(size, bool)
+            shared = size * (size >= reported) if c else int(covered(size, reported, f, SHARED + 1).sum()) if f else 0
             lo, hi = ranges(gone) if c or f else ([], [])
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(lo) else raw
-            spans = [{"from": int(a), "to": int(b)} for a, b in zip(lo, hi, strict=True)]
-            row = [d, len(raw), sum(s["to"] - s["from"] for s in spans), len(spans), hashlib.sha256(kept).hexdigest(), shared, spans]
+            edges = [(places[a][0], places[b - 1][1]) if words else (int(a), int(b)) for a, b in zip(lo, hi, strict=True)]
+            ends = [0, *(x for e in edges for x in e), len(raw)]
+            left = [raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
+            row = [d, len(raw), sum(b - a for a, b in edges), len(edges), hashlib.sha256(b"".join(left)).hexdigest(), shared, [{"from": a, "to": b} for a, b in edges]]
             if with_text:
-                edges = [0, *(x for s in spans for x in (s["from"], s["to"])), len(raw)]
-                row.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                row.append("".join(x.decode("utf-8", "ignore") for x in left))
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         return out
 
     def search(contents, windows, least, count):
-        return search_bytes(contents, windows, count, window, reported)
+        return search_contents(contents, windows, count, window, reported, words)
 
-    found = find_repeats(docs, Units(False, reported, gram, False, window, SPARSE), search, shard_bytes, carry, **others)
+    found = find_repeats(docs, Units(words, reported, gram, False, window, 1 if words else SPARSE), search, shard_bytes, carry, **others)
     return map_rows(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, spans array<struct<`from`:int,`to`:int>>" + ", kept string" * with_text, rows=64)
 
 

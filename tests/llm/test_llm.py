@@ -129,6 +129,41 @@ def test_substrings(spark, rows, docs):
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
+def brute_kept(text, flags):
+    """Runs of flagged units as from-to, and the units left."""
+    edges = [p for p in range(len(flags) + 1) if (p < len(flags) and flags[p]) != (p > 0 and flags[p - 1])]
+    return list(zip(edges[::2], edges[1::2], strict=True)), [x for x, g in zip(text, flags, strict=True) if not g]
+
+
+def test_kept_texts_and_spans(spark, rows, docs):
+    """The texts that op2 and op8 leave, and the places that they take out."""
+    raw = [(t or "").encode() for _, t in rows]
+    count = Counter(b[p : p + 60] for b in raw for p in range(len(b) - 59))
+    want = []
+    for (i, _), b in zip(rows, raw, strict=True):
+        flags = [any(count[b[q : q + 60]] > 1 for q in range(max(0, p - 59), min(p, len(b) - 60) + 1)) for p in range(len(b))]
+        spans, left = brute_kept(b, flags)
+        pieces = [b[x:y].decode("utf-8", "ignore") for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(b)], strict=True)]
+        assert bytes(left) == b"".join(b[x:y] for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(b)], strict=True))
+        want.append((i, spans, "".join(pieces)))
+    got = suffixarray.remove_long_repeats(docs, window=60, reported=60, gram=16).collect()
+    assert sorted(((r.doc_id, [(x["from"], x["to"]) for x in r.spans], r.kept) for r in got), key=repr) == sorted(want, key=repr)
+    first = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for p in range(len(w) - 12):
+            k = tuple(w[p : p + 13])
+            first[k] = min(first.get(k, 1 << 62), 1 << 61 if i is None else i)
+    want = []
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        mine = 1 << 61 if i is None else i
+        flags = [any(first[tuple(w[q : q + 13])] < mine for q in range(max(0, p - 12), min(p, len(w) - 13) + 1)) for p in range(len(w))]
+        spans, left = brute_kept(w, flags)
+        want.append((i, ",".join(f"{a}-{b}" for a, b in spans), " ".join(left)))
+    assert results(substrings.remove_repeats(docs).select("doc_id", "spans", "kept")) == sorted(want, key=repr)
+
+
 def brute_bytes(rows, k):
     raw = [(t or "").encode() for _, t in rows]
     count = Counter(b[p : p + k] for b in raw for p in range(len(b) - k + 1))
@@ -543,7 +578,7 @@ def test_search_of_a_shard():
         for least, kind in ((window, suffixarray.REMOVED), (reported, suffixarray.SHARED)):
             seen = Counter(c[p : p + least] for c, n, m in zip(contents, windows.tolist(), count.tolist(), strict=True) for p in range(n) for _ in range(m))
             want = [[seen[c[p : p + least]] > 1 for p in range(n)] for c, n in zip(contents, windows.tolist(), strict=True)]
-            got = [[any(a <= p < b for a, b, x in zip(*f, strict=True) if x == kind) for p in range(n)] for f, n in zip(suffixarray.search_bytes(contents, windows, count, window, reported), windows.tolist(), strict=True)]
+            got = [[any(a <= p < b for a, b, x in zip(*f, strict=True) if x == kind) for p in range(n)] for f, n in zip(suffixarray.search_contents(contents, windows, count, window, reported), windows.tolist(), strict=True)]
             assert got == want
 
 

@@ -5,9 +5,10 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from brindle.llm import toxicity
+from brindle.llm import bpe, toxicity
 
 #: Names that stages use for columns of their own.
 CLASHING = ["predicted", "score", "offending", "held_out", "kept", "spans", "found", "copy", "ord", "uid", "carried_row", "key", "label", "first", "items", "n_bytes", "n_shared", "contaminated", "n_words", "runs", "digest", "band", "hub", "own_text"]
@@ -61,18 +62,22 @@ def drop_near(rows):
 
 
 def cut_repeats(rows, k):
-    raw = [(t or "").encode() for _, t in rows]
+    """Texts without runs of k words that stand elsewhere too, from their first character to their last."""
+    places = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    strings = [[tuple(t[a:b] for a, b in p[q : q + k]) for q in range(len(p) - k + 1)] for (_, t), p in zip(rows, places, strict=True)]
     count = {}
-    for b in raw:
-        for p in range(len(b) - k + 1):
-            count[b[p : p + k]] = count.get(b[p : p + k], 0) + 1
+    for s in strings:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
     out = []
-    for (i, _), b in zip(rows, raw, strict=True):
-        gone = np.zeros(len(b), bool)
-        for p in range(len(b) - k + 1):
-            if count[b[p : p + k]] > 1:
-                gone[p : p + k] = True
-        out.append((i, np.frombuffer(b, np.uint8)[~gone].tobytes().decode()))
+    for (i, t), p, s in zip(rows, places, strings, strict=True):
+        gone = sorted({q + j for q, x in enumerate(s) if count[x] > 1 for j in range(k)})
+        text, at = "", 0
+        for n, q in enumerate(gone):
+            if n == 0 or gone[n - 1] != q - 1:
+                text += t[at : p[q][0]]
+            at = p[q][1]
+        out.append((i, text + (t or "")[at:]))
     return out
 
 
@@ -101,7 +106,11 @@ def test_run_like_plain_python(spark, tables):
         docs = spark.createDataFrame(docs.collect(), SCHEMA)
         assert rows_of(docs) == sorted(expected, key=repr), name
     assert all(r.n_chars == len(r.text) for r in docs.collect())
-    last = sorted(((r.doc_id, r.n_tokens) for r in stages["bpe"](spark, docs, root).collect()), key=repr)
+    encoded = stages["bpe"](spark, docs, root).collect()
+    library = Tokenizer.from_file(bpe.vocabulary())
+    ids = [library.encode(t or "", add_special_tokens=False).ids for _, t in want]
+    assert sorted(((r.doc_id, list(r.ids)) for r in encoded), key=repr) == sorted(((i, x) for (i, _), x in zip(want, ids, strict=True)), key=repr)
+    last = sorted(((r.doc_id, r.n_tokens) for r in encoded), key=repr)
     assert last == sorted(((r.doc_id, r.n_tokens) for r in pipeline.run(spark, root).collect()), key=repr)
     assert [i for i, _ in last] == [i for i, _ in sorted(((i, t) for i, t in want), key=repr)]
 
