@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, decontaminate, similarity, suffixarray, toxicity
-from brindle.llm.common import CARRIED, scratch, table
+from brindle.llm.common import CARRIED, discard, scratch, table
 
-#: Bytes of a repeat that is cut from documents: passages of over 50 words have as many in texts whose words have 4 letters on average.
-LONG_REPEAT = 250
+#: Words of a repeat that is cut from documents.
+LONG_REPEAT = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of long strings that stand elsewhere too; n_chars follows. Null text becomes empty."""
+    """Texts without the passages of LONG_REPEAT words or more that stand elsewhere too; n_chars follows. Null text becomes empty."""
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
-    cut = suffixarray.remove_long_repeats(docs, window=LONG_REPEAT, carry=True)
+    cut = suffixarray.remove_long_repeats(docs, window=LONG_REPEAT, words=True, carry=True)
     return cut.select(*(new.get(c, F.col(f"{CARRIED}.`{c}`")).alias(c) for c in docs.columns))
 
 
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = scratch(stage(spark, docs, sf_dir), name)
+        if before is not None:  # no later step reads it
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
