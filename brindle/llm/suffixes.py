@@ -195,9 +195,9 @@ class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of the contents of a shard, with samples at the ends of its runs.
 
     A run is rows whose suffixes follow the same symbol. They keep their order when that symbol is put in front
-    (LF), so a run's rows go to consecutive rows, from `to` on, and one number a run is enough. Nor do suffix
-    order and text stay: what two neighbouring rows share grows by one from step to step while both are in one
-    run, and only where a run begins there is a new neighbour, with which `shared` symbols are shared.
+    (LF), so that one number a run is enough: how far its rows go. Nor do suffix order and text stay: what two
+    neighbouring rows share grows by one from step to step while both are in one run, and only where a run
+    begins there is a new neighbour, with which `shared` symbols are shared. Where runs begin is kept in bits.
     For texts that aren't in the index (`stream`) the text positions at both ends of each run are kept, and the text.
     """
 
@@ -206,33 +206,36 @@ class RunLengthIndex:
         order = sort_suffixes(text, end)
         bwt = text[order - 1]
         self.contents, self.rows = int((text == 0).sum()), (n := len(text))
-        self.first = np.append(0, np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)) + 1).astype(np.int32)  # zeros differ
-        last = np.append(self.first[1:], n) - 1
-        symbol, head, tail = bwt[self.first], order[self.first], order[last]
-        by = np.argsort(symbol, kind="stable").astype(np.int32)
-        size = (last - self.first + 1)[by]
-        self.to = np.empty(len(by), np.int32)  # LF of each run's first row
-        self.to[by] = np.cumsum(size) - size
+        begins = np.ones(n + 1, bool)  # the last one stands after all rows
+        begins[1:n] = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)  # zeros differ
+        self.heads = BitVector(begins)
+        first = np.flatnonzero(begins[:-1])
+        last = np.append(first[1:], n) - 1
+        symbol, head, tail = bwt[first], order[first], order[last]
+        by = np.argsort(symbol, kind="stable")
+        size = (last - first + 1)[by]
+        to = np.empty(len(by), np.int64)  # LF of each run's first row
+        to[by] = np.cumsum(size) - size
         # runs of one symbol lead to rows one below the other: the head's row meets that of the tail of the run before
         meets = np.flatnonzero((symbol[by[1:]] == symbol[by[:-1]]) & (symbol[by[1:]] > 0)) + 1
         shared = np.zeros(len(by) + 1, np.int32)
         shared[meets] = 1 + common(text, end, head[by[meets]], tail[by[meets - 1]])
-        self.shared, self.below = np.empty(len(by), np.int32), np.empty(len(by), np.int32)  # of the head's new row with that above, of the tail's with that below
-        self.shared[by], self.below[by] = shared[:-1], shared[1:]
-        self.foreign = foreign
+        # of each run: how far its rows go, and what the head's new row shares with that above, the tail's with that below
+        self.table = np.empty((len(by), 3), np.int32)
+        self.table[:, 0] = to - first
+        self.table[by, 1], self.table[by, 2] = shared[:-1], shared[1:]
         if foreign:
-            self.text, self.end, self.head, self.tail = text, end, head, tail
-            begins = np.searchsorted(symbol[by], np.arange(int(text.max(initial=0)) + 2))
-            self.runs_with = [np.sort(by[a:b]) for a, b in zip(begins, begins[1:], strict=False)]
-            self.symbol = symbol
+            self.text, self.end, self.head, self.tail, self.first, self.last, self.symbol = text, end, head, tail, first, last, symbol
+            edges = np.searchsorted(symbol[by], np.arange(int(text.max(initial=0)) + 2))
+            self.runs_with = [np.sort(by[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
     @property
     def runs(self) -> int:
-        return len(self.first)
+        return len(self.table)
 
     @property
     def bytes(self) -> int:
-        return sum(x.nbytes for x in (self.first, self.to, self.shared, self.below))
+        return self.table.nbytes + self.heads.words.nbytes + self.heads.before.nbytes
 
     def matching_statistics(self, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each position of the text the longest match of its suffix with one that starts elsewhere.
@@ -243,19 +246,17 @@ class RunLengthIndex:
         """
         best = np.zeros(self.rows, np.int32)
         by = np.argsort(-sizes, kind="stable")
-        row, above, below = by.astype(np.int32), np.zeros(len(by), np.int32), np.zeros(len(by), np.int32)  # ends sort first, in the order of contents
+        row, above, below = by.astype(np.int64), np.zeros(len(by), np.int32), np.zeros(len(by), np.int32)  # ends sort first, in the order of contents
         at, left = (begins + sizes)[by], sizes[by]
-        last = np.append(self.first[1:], self.rows) - 1
-        table = np.column_stack([self.first, last, self.to - self.first, self.shared, self.below]).astype(np.int32)  # what a step needs, side by side
         for step in range(1, int(left[0]) + 1 if len(left) else 1):
             live = int(np.searchsorted(-left, -step, side="right"))
             row, above, below = row[:live], above[:live], below[:live]
-            run = table.take(self.first.searchsorted(row, side="right") - 1, axis=0)
+            run = self.table.take(self.heads.rank(row + 1) - 1, axis=0)
             above += 1
             below += 1
-            at_head, at_tail = np.flatnonzero(row == run[:, 0]), np.flatnonzero(row == run[:, 1])
-            above[at_head], below[at_tail] = run[at_head, 3], run[at_tail, 4]
-            row = row + run[:, 2]
+            at_head, at_tail = np.flatnonzero(self.heads.get(row)), np.flatnonzero(self.heads.get(row + 1))
+            above[at_head], below[at_tail] = run[at_head, 1], run[at_tail, 2]
+            row = row + run[:, 0]
             best[at[:live] - step] = np.maximum(above, below)
         return best
 
@@ -281,9 +282,9 @@ class RunLengthIndex:
                 shared = common(self.text, self.end, places, np.full(len(ways), place), np.full(len(ways), length))
                 w = int(np.argmax(shared))
                 run, up = int(ways[w][0]), ways[w][1]
-                row = int(self.first[run + 1] if run + 1 < self.runs else self.rows) - 1 if up else int(self.first[run])
+                row = int(self.last[run] if up else self.first[run])
                 place, length = int(places[w]), int(shared[w])
-            row, place, length = int(self.to[run]) + row - int(self.first[run]), (place - 1) % self.rows, length + 1
+            row, place, length = row + int(self.table[run, 0]), (place - 1) % self.rows, length + 1
             out[i] = length
         return out
 
