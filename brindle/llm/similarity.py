@@ -5,7 +5,7 @@ is dropped once the posterior probability that its similarity reaches the thresh
 tolerance. What is left connects vertices to families, and a family's pairs are compared in blocks: again by
 MinHash values, some at a time, and those left exactly on the shingles. A block gives each vertex's number
 of links and a spanning star of its links, never the pairs themselves, so that a family of n texts gives
-about n * n / block rows.
+about n * n / block rows. Blocks whose sets differ too much in size for a link don't meet.
 
 A band that many vertices share is refined by each of the others, so that chance and templates don't draw
 unlike texts into one family; what many share even then is a family without comparing pairs.
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .anchors import Units
@@ -33,6 +34,8 @@ HASHES = BANDS * BAND
 LOOK, TOLERANCE = 32, 1e-8
 #: Vertices in a block, and bytes of their shingles.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Sizes of sets in one level of a family go up by this factor; a little more than 1.25, so that rounding doesn't matter.
+LEVEL = 1.26
 #: Vertices that share a band, beyond which it is refined by each of the NEXT bands. Of two texts with similarity 0.8 five in
 #: 10^7 share no two bands that lie so close together.
 LARGE, NEXT = 256, 8
@@ -274,6 +277,23 @@ def connected(edges: DataFrame, name: str, rounds: int = MOST_ROUNDS) -> DataFra
     raise RuntimeError(f"{name}: labels still change after {rounds} rounds")
 
 
+def blocks_of(sized: DataFrame, block: int) -> DataFrame:
+    """label, level, base (first block), n (blocks of the level) and others (the blocks that its vertices meet).
+
+    Sets of similarity 0.8 differ in size by a quarter at most, so that in a family of several blocks a level meets
+    itself and the next ones alone. A family of one block is left whole. sized: label, level, size of each vertex.
+    """
+    count = lambda n, size: F.ceil(F.greatest(n / block, 8 * size / BLOCK_BYTES)).cast("long")
+    family = W.partitionBy("label")
+    levels = sized.groupBy("label", "level").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    levels = levels.withColumns({"whole": count(F.sum("c").over(family), F.sum("s").over(family)), "n": count(F.col("c"), F.col("s"))})
+    levels = levels.withColumn("of", F.map_from_entries(F.collect_list(F.struct("level", "n")).over(family)))
+    start = lambda level: F.shiftleft(level, 32)
+    near = F.flatten(F.transform(F.filter(F.array(*(F.col("level") + d for d in (-1, 0, 1))), lambda x: F.map_contains_key("of", x)), lambda x: F.sequence(start(x), start(x) + F.element_at("of", x) - 1)))
+    one, zero = F.col("whole") == 1, F.lit(0).cast("long")
+    return levels.select("label", "level", F.when(one, zero).otherwise(start(F.col("level"))).alias("base"), F.when(one, F.lit(1).cast("long")).otherwise(F.col("n")).alias("n"), F.when(one, F.array(zero)).otherwise(near).alias("others"))
+
+
 def join_similar(docs: DataFrame, block: int = BLOCK, large: int = LARGE) -> DataFrame:
     """Classes of texts linked by a Jaccard similarity of 0.8 or more of their shingle sets.
 
@@ -314,17 +334,15 @@ def classes_of(rows: DataFrame, block: int, large: int) -> DataFrame:
     vertex = seen.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "uid"))["uid"].alias("vertex"), F.count("*").alias("n_copies"))
     families = families_of(seen, vertex.select(F.col("vertex").alias("uid")), large)
 
-    blocks = F.ceil(F.greatest(F.count("*") / block, 8 * F.sum("size") / BLOCK_BYTES)).cast("int").alias("n")
-    sizes = families.join(seen.select(F.col("uid").alias("node"), "size"), "node").groupBy("label").agg(blocks)
-    member = families.join(sizes, "label").select(F.col("node").alias("uid"), "label", "n", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("block"))
+    sized = families.join(seen.select(F.col("uid").alias("node"), "size"), "node").withColumn("level", F.floor(F.log("size") / math.log(LEVEL)).cast("long"))
+    member = sized.join(blocks_of(sized, block), ["label", "level"]).select(F.col("node").alias("uid"), "label", "others", (F.col("base") + F.pmod(F.xxhash64("node"), F.col("n"))).alias("block"))
 
-    def detail(uid, text, label, n, at):
+    def detail(uid, text, label, others, at):
         sets = [shingles(t) for t in text]
-        return [uid, label, n, at, [min_hashes(s).tobytes() for s in sets], [s.tobytes() for s in sets]]
+        return [uid, label, others, at, [min_hashes(s).tobytes() for s in sets], [s.tobytes() for s in sets]]
 
-    detailed = map_rows(rows.select("uid", "text").join(member.hint("merge"), "uid").select("uid", "text", "label", "n", "block"), detail, "uid long, label long, n int, block int, hashes binary, shingles binary", as_bytes=True, rows=64)
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    cells = detailed.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "n")
+    detailed = map_rows(rows.select("uid", "text").join(member.hint("merge"), "uid").select("uid", "text", "label", "others", "block"), detail, "uid long, label long, others array<long>, block long, hashes binary, shingles binary", as_bytes=True, rows=64)
+    cells = detailed.withColumn("other", F.explode("others")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "others")
     found = scratch(cells.groupBy("label", "i", "j").applyInArrow(compare_cell, struct_of(CELL)), "links")
 
     degree = found.groupBy(F.col("uid").alias("vertex")).agg(F.sum("links").alias("n_links"))

@@ -253,6 +253,43 @@ def test_similarity_long_chain(spark):
     assert [r.doc_id for r in similarity.keep_one(docs, 32).collect()] == [0]
 
 
+def test_similarity_of_a_template(spark):
+    """More texts share a band than LARGE, and their family has several blocks of sets of different size: links and classes as by comparing all pairs."""
+    rng = np.random.default_rng(23)
+    base = [f"t{k}" for k in range(260)]
+    texts = []
+    for k in range(700):
+        n = int(rng.choice([90, 110, 140, 200, 260]))
+        words = base[:n]
+        for at in rng.integers(0, n, int(rng.integers(0, 5))):
+            words[at] = f"x{k}"
+        texts.append(" ".join(words))
+    sets = [frozenset(zip(*(w[i:] for i in range(5)))) for w in map(str.split, texts)]
+    first = {}
+    vertices = [first.setdefault(s, k) for k, s in enumerate(sets)]
+    own = sorted(set(vertices))
+    number = {w: i for i, w in enumerate({x for s in sets for x in s})}
+    held = np.zeros((len(own), len(number)), np.float32)
+    for r, v in enumerate(own):
+        held[r, [number[x] for x in sets[v]]] = 1
+    common, sizes = held @ held.T, held.sum(1)
+    link = 5 * common >= 4 * (sizes[:, None] + sizes[None] - common)
+    np.fill_diagonal(link, False)
+    root = np.arange(len(own))
+    while (low := np.minimum(root, np.where(link, root[None], len(own)).min(1))).tolist() != root.tolist():
+        root = low
+    row = {v: r for r, v in enumerate(own)}
+    want = sorted((k, own[root[row[v]]], int(link[row[v]].sum()), vertices.count(v)) for k, v in enumerate(vertices))
+    docs = table(spark, list(enumerate(texts)))
+    assert max(Counter(k for t in texts for k in set(similarity.band_keys(similarity.min_hashes(similarity.shingles(t.encode()))).tolist())).values()) > similarity.LARGE
+    for block in (similarity.BLOCK, 40):
+        assert results(similarity.join_similar(docs, block)) == sorted(want, key=repr)
+    # blocks of levels that are two or more apart don't meet
+    levels = spark.createDataFrame([(1, k, size) for k in (3, 4, 5, 9) for size in range(200)], "label long, level long, size int")
+    met = {r.level: {x >> 32 for x in r.others} for r in similarity.blocks_of(levels, 64).collect()}
+    assert met == {3: {3, 4}, 4: {3, 4, 5}, 5: {4, 5}, 9: {9}}
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return bpe.Bpe(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
