@@ -176,7 +176,8 @@ def judged(elements: list[Element], marks: list[int], blocks: list[Block]) -> li
             outside = outside or not (soft[i] > MOST * soft[0] and (holds[i] or not article))
         elif m == HARD:
             outside = outside or elements[i].tag in OUTSIDE or not (every[i] > MOST * every[0] and holds[i] and not article)
-        out[i] = elements[i]._replace(outside=outside, weight=weight)
+        if outside or weight != 1.0:
+            out[i] = elements[i]._replace(outside=outside, weight=weight)
     return out
 
 

@@ -108,10 +108,12 @@ def shares(counts: Column) -> Column:
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two distributions with base 2: 0 for equal, 1 for disjoint ones."""
 
-    def half(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    def part(x: Column, y: Column) -> Column:
+        middle = (x + y) / 2
+        return F.when(x > 0, x * F.log2(x / middle)).otherwise(0.0) + F.when(y > 0, y * F.log2(y / middle)).otherwise(0.0)
 
-    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), (half(p, q) + half(q, p)) / 2)))
+    total = F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, x: s + x)
+    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total / 2)))
 
 
 def js_of(p: list[float], q: list[float]) -> float:
