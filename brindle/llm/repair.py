@@ -313,3 +313,46 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair_conversations(damaged(conversations), conversations)
+
+
+def _options(state: int, kept: str, to: int, role: str) -> str:
+    """SQL of the best of deleting, keeping and setting the row r in a grammar state, from f, the results after the row by state (from 1)."""
+    return f"""list_sort(list_filter([{{'c': f[{state}].c + 4, 'a': 'D' || f[{state}].a, 'o': f[{state}].o}},
+      CASE WHEN NOT gone AND {kept} IS NOT NULL THEN {{'c': f[{kept}].c + extra, 'a': 'K' || f[{kept}].a, 'o': list_prepend(role || ':' || text, f[{kept}].o)}} END,
+      CASE WHEN NOT gone THEN {{'c': f[{to}].c + extra + 3, 'a': 'R' || f[{to}].a, 'o': list_prepend('{role}:' || text, f[{to}].o)}} END], lambda x: x IS NOT NULL))[1]"""
+
+
+def _inserted(rest: str, role: str) -> str:
+    return f"{{'c': {rest}.c + 3, 'a': 'I' || {rest}.a, 'o': list_prepend('{role}:', {rest}.o)}}"
+
+
+def _least(*results: str) -> str:
+    return f"list_sort([{', '.join(results)}])[1]"
+
+
+_U = "CASE WHEN kind = 'u' THEN 3 END"
+ORACLE = rf"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+struck AS (SELECT *, CAST(xor(list_reduce(list_transform(string_split(name, ''), lambda s: CAST(ascii(s) AS BIGINT)),
+  lambda crc, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), 4294967295), 4294967295) % 20 AS INTEGER) AS what FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN what = 3 THEN [0, 1] ELSE [0] END) AS copy FROM struck WHERE what <> 0),
+placed AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS kind,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+faults AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+  lag(kind) OVER (PARTITION BY conv_id ORDER BY i) || kind AS pair FROM placed),
+marked AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM faults),
+facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, n AS i, [{{'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])}}, {{'c': 6, 'a': 'II', 'o': ['user:', 'assistant:']}}, {{'c': 3, 'a': 'I', 'o': ['assistant:']}}, {{'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])}}] AS f FROM facts
+  UNION ALL
+  SELECT conv_id, i, [{_least("g[1]", _inserted("h", "user"))}, {_least("g[2]", _inserted("h", "user"))}, h, {_least("g[4]", _inserted("g[3]", "user"))}]
+  FROM (SELECT conv_id, i, g, {_least("g[3]", _inserted("g[4]", "assistant"))} AS h FROM (SELECT s.conv_id, s.i - 1 AS i, [{_options(1, "CASE kind WHEN 's' THEN 2 WHEN 'u' THEN 3 END", 3, "user")},
+    {_options(2, _U, 3, "user")}, {_options(3, "CASE WHEN kind = 'a' THEN 4 END", 4, "assistant")}, {_options(4, _U, 3, "user")}] AS g
+    FROM steps s JOIN marked r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i))),
+repaired AS (SELECT conv_id, f[1].c AS cost, f[1].a AS audit, f[1].o AS o FROM steps WHERE i = 0)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN facts a ON a.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
