@@ -5,8 +5,8 @@ anchor: one of the grams in it, chosen by hashes alone, so that equal windows ha
 window can occur again only where its anchor does. Consecutive windows with equal anchors make a run.
 
 1. Runs are drawn from each text (`runs_of`): one row for the anchor's hash, its document and place.
-2. Runs are dropped whose anchor stands nowhere else, or nowhere else beside the same units: a window holds, on one side
-   of its anchor at least, half of its other units. Runs of frequent anchors are kept without meeting.
+2. Runs are dropped whose anchor stands nowhere else, or (where Units say so) nowhere else beside the same units: a window
+   holds, on one side of its anchor at least, half of its other units. Runs of frequent anchors are kept without meeting.
 3. The texts of the other runs are cut out. Equal ones are counted once within a task, then once at all.
 4. Runs go to shards by anchor; shards of a bounded size are indexed, and each run's windows searched.
 5. Results go back to every run of the same text, and then to the documents.
@@ -19,6 +19,7 @@ that many runs have nevertheless are cut into parts and dealt out by nearly all
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -59,7 +60,8 @@ class Units(NamedTuple):
 
     by_document: a window must occur in another document, not only elsewhere. reach: units that are cut
     out from each window's start on, the window's or more. sparse: one gram of so many (a power of 2) is
-    preferred as anchor, so that only these need be counted.
+    preferred as anchor, so that only these need be counted. beside: runs are dropped by what stands beside their
+    anchors, which is worth a number a run where windows are long beside grams.
     """
 
     words: bool
@@ -68,12 +70,18 @@ class Units(NamedTuple):
     by_document: bool
     reach: int = 0
     sparse: int = 1
+    beside: bool = False
 
     def hashes(self, text: bytes) -> np.ndarray:
+        return self.together([text])[0]
+
+    def together(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the units of some texts, end to end, and how many each text has."""
         if not self.words:
-            return BYTE_HASHES[np.frombuffer(text, np.uint8)]
-        own = plain_words(text)
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+            return BYTE_HASHES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
+        own = [plain_words(t) for t in texts]
+        sizes = np.array([len(w) for w in own], np.int64)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(own)), np.uint64, int(sizes.sum())), sizes
 
     def grams(self, h: np.ndarray) -> np.ndarray:
         """Hashes of the grams: sums of unit hashes times powers of a multiplier, by doubling."""
@@ -124,56 +132,84 @@ class Sides:
     """Hashes of the units beside anchors, of which equal windows share those on one side at least."""
 
     def __init__(self, units: Units):
-        self.gram, self.size = units.gram, (units.window - units.gram + 1) // 2
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def of(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """32 bits for the units before each anchor and 32 for those after it, 0 where there are too few. h: unit hashes of the text."""
-        if len(self.powers) <= len(h):
-            base = MULTIPLIER | np.uint64(1)
-            times = lambda x: np.cumprod(np.append(np.uint64(1), np.full(2 * len(h) + 1, x, np.uint64)), dtype=np.uint64)
-            self.powers, self.inverse = times(base), times(np.uint64(pow(int(base), -1, 1 << 64)))
-        sums = np.append(np.uint64(0), np.cumsum(h * self.powers[: len(h)], dtype=np.uint64))
+        self.words, self.gram, self.size = units.words, units.gram, (units.window - units.gram + 1) // 2
+
+    def of(self, raw: bytes, h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """32 bits for the units before each anchor and 32 for those after it, 0 where its text [begin, end) has too few. h: unit hashes of the texts."""
         out = np.zeros(len(at), np.uint64)
         for shift, lo in ((32, at - self.size), (0, at + self.gram)):
-            there = np.flatnonzero((lo >= 0) & (lo + self.size <= len(h)))
+            there = np.flatnonzero((lo >= begin) & (lo + self.size <= end))
             lo = lo[there]
-            bits = spread((sums[lo + self.size] - sums[lo]) * self.inverse[lo]) >> np.uint64(32)
-            out[there] |= np.maximum(bits, np.uint64(1)) << np.uint64(shift)
+            if self.words:
+                bits = np.zeros(len(lo), np.uint64)
+                for k in range(self.size):
+                    bits = spread(bits * MULTIPLIER + h[lo + k])
+            else:
+                bits = np.array([xxhash.xxh3_64_intdigest(raw[k : k + self.size]) for k in lo.tolist()], np.uint64)
+            out[there] |= np.maximum(bits >> np.uint64(32), np.uint64(1)) << np.uint64(shift)
         return out
 
 
-def text_runs(text: bytes, units: Units, frequent: Frequent, sides: Sides) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each run in a text: anchor hash, first window, number of windows, kind, and what stands beside the anchor."""
-    h = units.hashes(text)
-    if len(h) < units.window:
+#: Bytes of texts whose runs are drawn together.
+TOGETHER = 1 << 15
+
+
+def batches_of(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Some texts at a time, with the number of the first."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > TOGETHER:
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def text_runs(texts: list[bytes], units: Units, frequent: Frequent, sides: Sides) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each run in some texts: number of the text, anchor hash, first window, number of windows, kind, and perhaps what stands beside the anchor."""
+    h, sizes = units.together(texts)
+    if not (sizes >= units.window).any():
         return
+    raw = b"" if units.words else b"".join(texts)
+    ends = np.cumsum(sizes)
+    begins, counts = ends - sizes, np.maximum(0, sizes - units.window + 1)
     grams = units.grams(h)
     wide = units.window - units.gram + 1
-    often = frequent.holds(grams)
-    level = np.where(grams & np.uint64(units.sparse - 1) != 0, np.uint64(2), often.astype(np.uint64))  # what isn't counted comes last
-    rank = spread(grams ^ MULTIPLIER) >> np.uint64(PLACE + 2) | level << np.uint64(62 - PLACE)
+    counted = np.flatnonzero(grams & np.uint64(units.sparse - 1) == 0)
+    often, level = np.zeros(len(grams), bool), np.full(len(grams), 2 << 62 - PLACE, np.uint64)  # what isn't counted comes last
+    often[counted] = frequent.holds(grams[counted])
+    level[counted] = often[counted].astype(np.uint64) << np.uint64(62 - PLACE)
+    rank = (grams * MULTIPLIER) >> np.uint64(PLACE + 2) | level
+    owners = np.repeat(np.arange(len(texts)), counts)
+    starts = np.arange(len(owners)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins, counts)  # windows that no text's end cuts
     piece = (1 << PLACE) - wide
     for lo in range(0, len(h) - units.window + 1, piece):
         part = rank[lo : lo + piece + wide - 1]
         least = lowest(part << np.uint64(PLACE) | np.arange(len(part), dtype=np.uint64), wide)
-        at = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64) + lo
+        here = slice(*np.searchsorted(starts, [lo, lo + piece]))
+        start, owner = starts[here], owners[here]
+        if not len(start):
+            continue
+        at = (least[start - lo] & np.uint64((1 << PLACE) - 1)).astype(np.int64) + lo
         anchor = grams[at]
-        first = np.append(0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1)
+        first = np.append(0, np.flatnonzero((anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])) + 1)
         n = np.diff(np.append(first, len(at)))
         parts = -(-n // LONGEST)  # a text that repeats itself has one anchor for long
         if (parts > 1).any():
             first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
             n = np.diff(np.append(first, len(at)))
         several = at[first] != at[first + n - 1]
-        yield anchor[first].view(np.int64), first + lo, n, several * SEVERAL | often[at[first]] * FREQUENT, sides.of(h, at[first]).view(np.int64)
+        of, place = owner[first], at[first]
+        run = (of, anchor[first].view(np.int64), start[first] - begins[of], n, several * SEVERAL | often[place] * FREQUENT)
+        yield (*run, sides.of(raw, h, place, begins[of], ends[of]).view(np.int64)) if units.beside else run
 
 
 #: Bits of a run's kind: equal anchors stand in several places; the anchor is a frequent gram.
 SEVERAL, FREQUENT = 1, 2
 #: A run's first window, number of windows and kind are one number: two bits for the kind, PLACES for the windows.
 PLACES = 11
-RUNS = "uid long, g long, place long, beside long"
+RUNS, BESIDE = "uid long, g long, place long", ", beside long"
 
 
 def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
@@ -185,14 +221,15 @@ def runs_of(rows: DataFrame, units: Units, frequent: np.ndarray) -> DataFrame:
     def run(uid, doc_id, ord_, text, *_):
         if not known:
             known.append(Frequent(shared.value))
-        out: list[list[np.ndarray]] = [[] for _ in range(4)]
-        for u, t in zip(uid, text, strict=True):
-            for g, start, n, kind, beside in text_runs(t or b"", units, known[0], sides):
-                for column, values in zip(out, (np.full(len(g), u, np.int64), g, (start << PLACES | n) << 2 | kind, beside), strict=True):
+        out: list[list[np.ndarray]] = [[] for _ in range(3 + units.beside)]
+        uids = np.array(uid, np.int64)
+        for begin, texts in batches_of([t or b"" for t in text]):
+            for of, g, start, n, kind, *beside in text_runs(texts, units, known[0], sides):
+                for column, values in zip(out, (uids[begin + of], g, (start << PLACES | n) << 2 | kind, *beside), strict=True):
                     column.append(values)
         return [np.concatenate(c) if c else [] for c in out]
 
-    return map_rows(rows.select("uid", "doc_id", "ord", "text", *(F.col(c).alias("along") for c in rows.columns if c == CARRIED)), run, RUNS, as_bytes=True)
+    return map_rows(rows.select("uid", "doc_id", "ord", "text", *(F.col(c).alias("along") for c in rows.columns if c == CARRIED)), run, RUNS + BESIDE * units.beside, as_bytes=True)
 
 
 def frequent_grams(rows: DataFrame, units: Units) -> np.ndarray:
@@ -370,19 +407,20 @@ def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int
     # a frequent anchor's runs are all kept, so they needn't meet to be counted: they are dealt out by document and place
     often, several = F.col("place").bitwiseAND(FREQUENT) > 0, F.col("place").bitwiseAND(SEVERAL) > 0
     alone = F.when(often, F.xxhash64("uid", "place"))
-    runs = runs.withColumns({"before": F.shiftrightunsigned("beside", 32), "after": F.col("beside").bitwiseAND(F.lit(0xFFFFFFFF))})
     same_anchor = W.partitionBy("g", alone)
     n = F.count("*").over(same_anchor)
 
     def stands_again(w: W) -> Column:
         return F.min("uid").over(w) != F.max("uid").over(w) if units.by_document else F.count("*").over(w) > 1
 
-    def beside_again(side: str) -> Column:
-        return (F.col(side) != 0) & stands_again(W.partitionBy("g", alone, side))
-
-    # an anchor that stands several times in a run has several neighbourhoods, of which one is known: all runs of it stay
-    any_several = F.max(several).over(same_anchor)
-    again = stands_again(same_anchor) & (any_several | beside_again("before") | beside_again("after"))
+    again = stands_again(same_anchor)
+    if units.beside:
+        runs = runs.withColumns({"before": F.shiftrightunsigned("beside", 32), "after": F.col("beside").bitwiseAND(F.lit(0xFFFFFFFF))})
+        # an anchor that stands several times in a run has several neighbourhoods, of which one is known: all runs of it stay
+        kept = F.max(several).over(same_anchor)
+        for side in ("before", "after"):
+            kept = kept | (F.col(side) != 0) & stands_again(W.partitionBy("g", alone, side))
+        again = again & kept
     if not units.by_document:
         again = again | several
     met = runs.withColumns({"again": often | again, "hot": often | (n >= hot)}).filter("again")

@@ -151,6 +151,9 @@ def halves(digest: Column) -> tuple[Column, Column]:
 def spread(h: np.ndarray) -> np.ndarray:
     """Mix the bits of uint64 values (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+        h = h ^ (h >> np.uint64(30))
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        return h

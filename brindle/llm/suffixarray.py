@@ -106,9 +106,26 @@ def remove_long_repeats(docs: DataFrame, window: int = WINDOW, reported: int = R
     def search(contents, windows, least, count):
         return search_contents(contents, windows, count, window, reported, words)
 
-    found = find_repeats(docs, Units(words, reported, gram, False, window, 1 if words else SPARSE), search, shard_bytes, carry, **others)
+    found = find_repeats(docs, Units(words, reported, gram, False, window, 1 if words else SPARSE, True), search, shard_bytes, carry, **others)
     return map_rows(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, spans array<struct<`from`:int,`to`:int>>" + ", kept string" * with_text, rows=64)
 
 
 def op8_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_long_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return remove_long_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("spans")
+
+
+ORACLE = """
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pieces AS (SELECT r, 1000 * c AS base, x[2000 * c + 1:2000 * c + 2798] AS y FROM (SELECT r, x, unnest(range(0, len(x) // 2000 + 1)) AS c FROM raw)),
+starts AS (SELECT r, k, base, y, unnest(range(0, least(1000, len(y) // 2 - k + 1))) AS p FROM pieces, (VALUES (400), (250)) s(k) WHERE len(y) >= 2 * k),
+strings AS MATERIALIZED (SELECT r, k, base + p AS p, md5_number(y[2 * p + 1:2 * (p + k)]) AS g FROM starts),
+again AS (SELECT k, g FROM strings GROUP BY k, g HAVING count(*) > 1),
+hits AS (SELECT r, k, p, coalesce(p > lag(p) OVER w + k, true) AS new FROM strings JOIN again USING (k, g) WINDOW w AS (PARTITION BY r, k ORDER BY p)),
+runs AS (SELECT r, k, min(p) AS lo, max(p) + k AS hi FROM (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r, k ORDER BY p) AS n FROM hits) GROUP BY r, k, n),
+shared AS (SELECT r, sum(hi - lo) AS n_shared FROM runs WHERE k = 250 GROUP BY r),
+cut AS (SELECT r, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his, sum(hi - lo) AS n_removed FROM runs WHERE k = 400 GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(los), 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN los IS NULL THEN unhex(x) ELSE unhex(list_aggregate(list_transform(range(1, len(los) + 2), lambda i: x[2 * coalesce(his[i - 1], 0) + 1:2 * coalesce(los[i], len(x) // 2)]), 'string_agg', '')) END) AS kept_sha256,
+  CAST(coalesce(n_shared, 0) AS BIGINT) AS n_shared
+FROM raw LEFT JOIN cut USING (r) LEFT JOIN shared USING (r)
+"""
