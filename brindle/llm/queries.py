@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": substrings.ORACLE, "op4_perspectives": chat.ORACLE, "op8_suffixarray": suffixarray.ORACLE, "op9_similarity": similarity.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_trie": trie.ORACLE, "op12_topk": topk.ORACLE, "op13_repair": repair.ORACLE}
+    return {"op1_quality": quality.ORACLE, "op2_substrings": substrings.ORACLE, "op4_perspectives": chat.ORACLE, "op8_suffixarray": suffixarray.ORACLE, "op9_similarity": similarity.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_trie": trie.ORACLE, "op12_topk": topk.ORACLE, "op13_repair": repair.ORACLE}
