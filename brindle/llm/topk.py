@@ -288,12 +288,13 @@ def certain(candidates: DataFrame, classes: DataFrame, keep: int, first: int) ->
         after = candidates.filter(F.col("pos") == upto + 1).select("q", "high", F.col("id").alias("next"))
         kth = best.filter(F.col("n") == keep).select("q", "score", "id")
         still = after.join(kth, "q", "left").filter("score is null or high > score or high = score and next <= id").select("q")
-        old.append(best)
+        still = scratch(still, "open")
         if still.isEmpty():
             break
-        candidates = candidates.join(scratch(still, "open"), "q", "left_semi")
+        old += [best, still]
+        candidates = candidates.join(still, "q", "left_semi")
         done, upto = upto, upto * GROWTH
-    for x in old[:-1]:
+    for x in (*old, still):
         discard(x)
     return best
 
@@ -325,7 +326,10 @@ def search_top_k(vectors: DataFrame, asked: str, k: int = K, scale: int = SCALE,
     asks = rows.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("uid").alias("own"), "vector", F.expr(f"int(pmod(xxhash64(uid), {SALTS}))").alias("salt"))
     others = F.slice(F.filter("top", lambda x: x["uid"] != F.col("own")), 1, k)
     found = asks.join(of_vector, ["vector", "salt"]).select("query_id", F.posexplode(others).alias("pos", "r"))
-    return found.select("query_id", (F.col("pos") + 1).alias("rank"), "r.vec_id", (-F.col("r.minus")).alias("score"))
+    out = scratch(found.select("query_id", (F.col("pos") + 1).alias("rank"), "r.vec_id", (-F.col("r.minus")).alias("score")), "top")
+    for x in (rows, classes, left, best):
+        discard(x)
+    return out
 
 
 def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,7 +175,8 @@ def paths_of(nodes: DataFrame) -> DataFrame:
     keys = own.filter("pd >= 0").select("pd", "p1", "p2").distinct()
     parents = keys.join(nodes.select(F.col("d").alias("pd"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("p")), ["pd", "p1", "p2"])
     parents = parents.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = own.join(parents, ["pd", "p1", "p2", "salt"], "left").select("c", "top", "low", "saved", "p", F.when(F.col("pd") >= 0, F.col("pd")).alias("pd"), "salt")
+    out = scratch(own.join(parents, ["pd", "p1", "p2", "salt"], "left").select("c", "top", "low", "saved", "p", F.when(F.col("pd") >= 0, F.col("pd")).alias("pd"), "salt"), "paths")
+    discard(own)
     return out
 
 
@@ -202,7 +203,9 @@ def tour(paths: DataFrame) -> DataFrame:
     leaf = F.coalesce(col("first_pd") < col("low"), F.lit(True)).cast("long")
     bare = col("first").isNull()
     down = down.select(*columns(col("c"), F.lit(0), F.when(bare & (col("top") > 0), col("c")).otherwise(col("first")), F.when(~bare, F.lit(0)).when(col("top") > 0, one), n + F.when(bare, n).otherwise(col("low") - col("first_pd")), leaf, col("saved")))
-    return within.unionByName(between).unionByName(last).unionByName(down)
+    out = scratch(within.unionByName(between).unionByName(last).unionByName(down), "tour")
+    discard(parts)
+    return out
 
 
 SUMS = ["arcs", "leaves", "saved"]
@@ -295,8 +298,8 @@ def prefix_trie(conversations: DataFrame, short: int = SHORT, spacing: int = SPA
     every = scratch(prefixes(convs, own), "prefixes")
     nodes = every.groupBy("d", "k1", "k2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), *(F.min(c).alias(c) for c in ("x1", "x2", "words")))
     nodes = scratch(nodes.withColumn("saved", (F.col("n_convs") - 1) * F.col("words")), "nodes")
-    paths = scratch(paths_of(nodes), "paths")
-    pieces = scratch(tour(paths), "tour")
+    paths = paths_of(nodes)
+    pieces = tour(paths)
     ranks = rank_list(pieces, short, spacing)
     found = summed_nodes(nodes, paths, ranks)
     ends = end_digests(every.filter(F.col("d") == F.col("size"))).withColumnRenamed("d", "depth")
