@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import repair, topk, trie
+from brindle.llm import chat, repair, topk, trie
 
 PLAIN = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns whose names the operators use inside.
@@ -234,3 +234,25 @@ def test_cells_hold_their_vectors():
     a, b = cells.bounds(v[:20], packed)
     exact = v[:20].astype(np.int64) @ v.astype(np.int64).T
     assert (a <= exact).all() and (exact <= b).all() and (b - a).mean() < 2 * np.abs(exact).max()
+
+
+@pytest.mark.parametrize("block", [3, chat.BLOCK])
+def test_long_dialogues_from_every_side(spark, block):
+    """A long dialogue, and one turn number repeated far beyond a block, by plain loops."""
+    rng = np.random.default_rng(6)
+    rows = [(1, k, str(rng.choice(["user", "assistant", "tool"])), f"{k} {'x' * int(rng.integers(0, 9))}") for k in range(700)]
+    rows += [(2, 5, str(rng.choice(["user", "assistant"])), f"{k % 40}") for k in range(200)] + [(3, 0, "system", "alone"), (4, None, None, None), (4, 1, "user", "é")]
+    want = []
+    for c, turns in in_order(rows).items():
+        spoken = [(t, r or "unknown", x) for t, r, x in turns]
+        spoken.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1].encode(), t[2].encode()))
+        for view in {r for _, r, _ in spoken} - {"system"}:
+            at = 0
+            for n, (t, r, x) in enumerate(spoken):
+                role = "system" if r == "system" else "assistant" if r == view else "user"
+                head = f"<|{role} {r}|>\n" if role == "user" else f"<|{role}|>\n"
+                mask = (at + len(head), at + len(head) + len(x)) if role == "assistant" else (None, None)
+                want.append((c, view, t, n, r, role, r if role == "user" else None, f"{head}{x}\n", at, at + len(head) + len(x) + 1, *mask))
+                at += len(head) + len(x) + 1
+    got = chat.rotate_perspectives(conversations(spark, rows), block).select("conv_id", "perspective", "turn", "position", "speaker", "role", "name", "segment", "char_start", "char_end", "mask_start", "mask_end")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
