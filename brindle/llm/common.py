@@ -80,11 +80,15 @@ def carrying(docs: DataFrame, carry: bool, *without: str) -> list[Column]:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch of rows that Spark hands to Python, in place of Spark's default of 64 MB: both sides hold batches, for each task.
+BATCH_BYTES, BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Spark send this package to the executors, once a context, as --py-files would."""
+    """Let Spark send this package to the executors, once a context, as --py-files would, and bound what it hands to Python at once."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH) == "67108864b":  # as it is where the session doesn't set it
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
     if sc.applicationId in _SHIPPED:
         return
     import tempfile
