@@ -9,7 +9,7 @@ window can occur again only where its anchor does. Consecutive windows with equa
    holds, on one side of its anchor at least, half of its other units. Runs of frequent anchors are kept without meeting.
 3. The texts of the other runs are cut out. Equal ones are counted once within a task, then once at all.
 4. Runs go to shards by anchor; shards of a bounded size are indexed, and each run's windows searched.
-5. Results go back to every run of the same text, and then to the documents.
+5. Results go back to every document with a run of the same text, once for all its places there.
 
 No anchor gathers a large share of the rows. Grams that are frequent in a sample of documents anchor only
 windows made of such grams alone, which are few different texts, however often they stand. Runs of an anchor
@@ -303,17 +303,19 @@ def whole_rows(joined: DataFrame) -> DataFrame:
 
 
 def run_keys(joined: DataFrame, units: Units) -> DataFrame:
-    """Each run's document, first window and a digest of its content."""
+    """Digests of the different contents of each document's runs, with the first windows of those that have it: a text that repeats itself has few, at many places."""
 
     def run(uid, doc_id, ord_, text, runs, *_):
         out: list[list] = [[] for _ in range(3)]
         for u, t, own in zip(uid, text, runs, strict=True):
+            starts: dict[bytes, list[int]] = {}
             for _, _, start, n, content in cut(t, units, own):
-                for column, value in zip(out, (u, start, content_key(content, n)), strict=True):
-                    column.append(value)
+                starts.setdefault(content_key(content, n), []).append(start)
+            for column, values in zip(out, ([u] * len(starts), starts.values(), starts), strict=True):
+                column.extend(values)
         return out
 
-    return map_rows(whole_rows(joined), run, "uid long, start int, key binary", as_bytes=True, rows=64)
+    return map_rows(whole_rows(joined), run, "uid long, starts array<int>, key binary", as_bytes=True, rows=64)
 
 
 def contents_of(joined: DataFrame, units: Units) -> DataFrame:
@@ -388,7 +390,7 @@ def search_shards(contents: DataFrame, search: Search, shard_bytes: int) -> Data
 
 
 def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int = SHARD_BYTES, carry: bool = False, hot: int = HOT) -> DataFrame:
-    """doc_id, ord, text (binary), found and copy: the runs of each text with windows that occur elsewhere (start, los, his, least).
+    """doc_id, ord, text (binary), found and copy: the runs of each text with windows that occur elsewhere (starts, los, his, least), equal ones together.
 
     docs needs doc_id and text. One row comes back for each, found is null where nothing was. Of texts
     that are equal (by MD5) one is indexed; copy marks, with by_document, those after the smallest doc_id,
@@ -427,7 +429,7 @@ def find_repeats(docs: DataFrame, units: Units, search: Search, shard_bytes: int
     own = met.groupBy("uid").agg(F.collect_list(F.struct("place", "g", "hot")).alias("runs"))
     joined = texts.join(own, "uid")
     found = search_shards(contents_of(joined, units), search, shard_bytes)
-    placed = run_keys(joined, units).join(found, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "los", "his", "least")).alias("found"))
+    placed = run_keys(joined, units).join(found, "key").groupBy("uid").agg(F.collect_list(F.struct("starts", "los", "his", "least")).alias("found"))
     both = texts.join(placed, "uid", "left").join(copies.filter("copy").select("uid", "copy"), "uid", "left")
     return both.select("doc_id", "ord", "text", "found", "copy", *([CARRIED] if carry else []))
 
@@ -438,8 +440,9 @@ def covered(size: int, window: int, found: list | None, below: int) -> np.ndarra
     for run in found or ():
         for lo, hi, least in zip(run["los"], run["his"], run["least"], strict=True):
             if least < below:
-                change[run["start"] + lo] += 1
-                change[run["start"] + hi + window - 1] -= 1
+                for start in run["starts"]:
+                    change[start + lo] += 1
+                    change[start + hi + window - 1] -= 1
     return np.cumsum(change[:-1]) > 0
 
 

@@ -535,6 +535,22 @@ def test_frequent_and_hot_anchors(spark, monkeypatch):
     assert results(substrings.remove_repeats(docs, hot=2)) == results(substrings.remove_repeats(docs))
 
 
+def test_hot_anchors_in_texts_that_repeat_themselves(spark, monkeypatch):
+    """Each different content of a text is asked for once, not once for each of its places; all places are found."""
+    asked, keys = [], anchors.run_keys
+    monkeypatch.setattr(anchors, "run_keys", lambda *a: asked.append(keys(*a)) or asked[-1])
+    again = [" ".join(x) for x in (["wa"] * 150, ["wb", "wc", "wd"] * 50)]
+    own = [(i, f"head{i} {again[i % 2]} mid{i} {again[i // 2 % 2]} tail{i}") for i in range(12)]
+    docs = table(spark, own)
+    cut = suffixarray.remove_long_repeats(docs, window=50, words=True, hot=2)
+    assert results(cut.select("doc_id", "kept", "n_shared")) == results(spark.createDataFrame([(i, f"head{i}  mid{i}  tail{i}", 300) for i, _ in own]), "_1")
+    cut = suffixarray.remove_long_repeats(docs, window=60, reported=60, gram=16, hot=2)
+    assert results(cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(own, 60)
+    assert results(substrings.remove_repeats(docs, hot=2)) == results(substrings.remove_repeats(docs))
+    for rows in [asked[0].collect(), asked[1].collect(), asked[2].collect()]:
+        assert len(rows) == len({(r.uid, bytes(r.key)) for r in rows}) <= 60 * len(own)
+
+
 def common_length(a, b):
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
