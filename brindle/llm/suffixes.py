@@ -15,16 +15,17 @@ def ends_of(text: np.ndarray) -> np.ndarray:
     return np.repeat(zeros, np.diff(zeros, prepend=-1)).astype(np.int32)
 
 
-def in_order(high: np.ndarray, low: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions by (high, low, position), numbers of width bits each, and where (high, low) changes."""
-    if 3 * width <= 64:
+def in_order(key: np.ndarray, at: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions by (key, position), uint64 keys of `bits` bits and positions of `width` bits, and where the key changes."""
+    if bits + width <= 64:
         w = np.uint64(width)
-        packed = (high.astype(np.uint64) << w | low.astype(np.uint64)) << w | at.astype(np.uint64)
+        packed = key << w
+        packed |= at.astype(np.uint64)
         packed.sort()
         key = packed >> w
-        at = (packed & np.uint64((1 << width) - 1)).astype(np.int32)
+        packed &= np.uint64((1 << width) - 1)
+        at = packed.astype(np.int32)
     else:
-        key = high.astype(np.int64) << width | low
         by = np.lexsort((at, key))
         key, at = key[by], at[by]
     new = np.ones(len(at), bool)
@@ -41,15 +42,14 @@ def sort_suffixes(text: np.ndarray, end: np.ndarray) -> np.ndarray:
     keys, padded = np.zeros(n, np.uint64), np.append(text, np.zeros(span, text.dtype))
     for k in range(span):
         keys = keys << np.uint64(bits) | np.where(rest >= k, padded[k : k + n], 0).astype(np.uint64)
-    low = np.uint64(width)
-    order, first = in_order(keys >> low, keys & np.uint64((1 << width) - 1), np.arange(n, dtype=np.int32), width)
+    order, first = in_order(keys, np.arange(n, dtype=np.int32), span * bits, width)
     first |= rest[order] < span
     rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
     while len(tied := np.flatnonzero(~(first & np.append(first[1:], True)))):
         at = order[tied]
         # where the rest is no longer than span, its rank is its own, so that places decide between equal contents
-        at, new = in_order(rank[at], rank[at + span], at, width)
+        at, new = in_order(rank[at].astype(np.uint64) << np.uint64(width) | rank[at + span].astype(np.uint64), at, 2 * width, width)
         order[tied] = at
         first[tied] = new
         rank[at] = np.maximum.accumulate(np.where(new, tied, 0))

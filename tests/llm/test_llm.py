@@ -635,6 +635,29 @@ def test_search_of_a_shard():
             assert got == want
 
 
+def test_suffixes_of_a_large_shard():
+    """From 2^21 symbols on three positions don't fit into one number."""
+    rng = np.random.default_rng(18)
+    again = rng.integers(1, 27, 100_000)
+    text = np.concatenate([x for _ in range(11) for x in (rng.integers(1, 27, 100_000), again, [0])]).astype(np.uint8)
+    order = suffixes.sort_suffixes(text, suffixes.ends_of(text))
+    rank = np.empty(len(text) + 1, np.int64)
+    rank[order], rank[-1] = np.arange(len(text)), -1
+    a, b = order[:-1], order[1:]
+    assert len(text) > 1 << 21 and (np.sort(order) == np.arange(len(text))).all()
+    assert ((text[a] < text[b]) | (text[a] == text[b]) & np.where(text[a] == 0, a < b, rank[a + 1] < rank[b + 1])).all()
+
+
+def test_a_passage_in_many_different_texts(spark):
+    """What stands around it differs, so that the strings at its edges are one anchor's and more than 2 MB."""
+    rng = np.random.default_rng(19)
+    prose = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = prose(420)
+    own = [(i, prose(60) + passage + prose(60)) for i in range(6000)]
+    got = suffixarray.remove_long_repeats(table(spark, own), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert results(got) == brute_bytes(own, 400)
+
+
 def test_chance_bands_make_no_families(spark, monkeypatch):
     """Neighbours in a chain of similarity 0.25: some share a band by chance, which alone would draw them into families."""
     words = np.random.default_rng(14).integers(0, 1 << 40, 60 * 200 + 104)
